@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubelark.session import ship_package
+
 #: Folds by ``crc32(doc_id as text) mod 4``; this one is never learned from.
 FOLDS, HELD_OUT_FOLD = 4, 2
 
@@ -48,5 +50,6 @@ def partitions(spark: SparkSession) -> int:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out evenly when the input has fewer splits than the cluster has cores; otherwise leave the scan as it is."""
+    ship_package(df.sparkSession)
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
