@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cubelark.llm.exact_dedup import exact_dedup
 from cubelark.llm.packing import pack
+from cubelark.llm.simhash import simhash_components
 from cubelark.llm.token_counts import token_counts
 
 
@@ -31,13 +32,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, size=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op7_simhash, op9_packing)}
 
 
 OP1 = r"""
