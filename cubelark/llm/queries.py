@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubelark.llm.common import held_out
 from cubelark.llm.exact_dedup import exact_dedup
 from cubelark.llm.packing import pack
 from cubelark.llm.simhash import simhash_components
 from cubelark.llm.token_counts import token_counts
+from cubelark.llm.toxicity import toxicity, train
 
 
 def tokenizer(name: str) -> str:
@@ -37,13 +39,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, size=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op7_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op7_simhash, op8_toxicity, op9_packing)}
 
 
 OP1 = r"""
