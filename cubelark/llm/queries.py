@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cubelark.llm.common import held_out
 from cubelark.llm.exact_dedup import exact_dedup
+from cubelark.llm import langid
 from cubelark.llm.packing import pack
 from cubelark.llm.simhash import simhash_components
 from cubelark.llm.token_counts import token_counts
@@ -34,6 +35,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,7 +58,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op7_simhash, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op5_langid, op7_simhash, op8_toxicity, op9_packing)}
 
 
 OP1 = r"""
