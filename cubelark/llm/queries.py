@@ -11,6 +11,7 @@ from cubelark.llm.common import held_out
 from cubelark.llm.exact_dedup import exact_dedup
 from cubelark.llm import langid
 from cubelark.llm.packing import pack
+from cubelark.llm.pii import KINDS, personal_data
 from cubelark.llm.simhash import simhash_components
 from cubelark.llm.token_counts import token_counts
 from cubelark.llm.toxicity import toxicity, train
@@ -35,6 +36,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    rank = {k: i for i, k in enumerate(KINDS)}
+    place = lambda s: F.coalesce(*[F.when(s["kind"] == k, F.lit(i)) for k, i in rank.items()], F.lit(len(rank)))
+    both = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(place(a) != place(b), place(a) - place(b)).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(a["end"] - b["end"]))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined(both).alias("spans"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs))
@@ -58,7 +75,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op5_langid, op7_simhash, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_pii, op5_langid, op7_simhash, op8_toxicity, op9_packing)}
 
 
 OP1 = r"""
