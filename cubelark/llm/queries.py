@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubelark.llm.ann import nearest
 from cubelark.llm.common import held_out
 from cubelark.llm.exact_dedup import exact_dedup
 from cubelark.llm import langid
@@ -32,6 +33,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, k=10)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
@@ -75,7 +80,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_pii, op5_langid, op7_simhash, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op7_simhash, op8_toxicity, op9_packing)}
 
 
 OP1 = r"""
