@@ -11,6 +11,7 @@ from cubelark.llm.ann import nearest
 from cubelark.llm.common import held_out
 from cubelark.llm.exact_dedup import exact_dedup
 from cubelark.llm import langid
+from cubelark.llm.mixing import mix, tokens_of, topic_of
 from cubelark.llm.packing import pack
 from cubelark.llm.pii import KINDS, personal_data
 from cubelark.llm.simhash import simhash_components
@@ -63,6 +64,13 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"))}
+    mixed = mix(docs.select("doc_id", "source", "lang", "text"), dimensions, tokens_of(F.col("text")), keep_share=0.5)
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -80,7 +88,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op7_simhash, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op6_mixing, op7_simhash, op8_toxicity, op9_packing)}
 
 
 OP1 = r"""
