@@ -13,6 +13,7 @@ from cubelark.llm.exact_dedup import exact_dedup
 from cubelark.llm import langid
 from cubelark.llm.mixing import mix, tokens_of, topic_of
 from cubelark.llm.packing import pack
+from cubelark.llm.passages import repeated_passages
 from cubelark.llm.pii import KINDS, personal_data
 from cubelark.llm.simhash import simhash_components
 from cubelark.llm.token_counts import token_counts
@@ -87,8 +88,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), length=50, similarity=0.8, shingle=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op6_mixing, op7_simhash, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op6_mixing, op7_simhash, op8_toxicity, op9_packing, op10_passages)}
 
 
 OP1 = r"""
