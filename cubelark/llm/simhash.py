@@ -152,14 +152,14 @@ def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Da
     return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, f"id {kind}, fp long, same long, least array<long>, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", paired: int = 4 * PAIRED) -> DataFrame:
     """(id, component_id) of every row: documents linked by a Jaccard similarity of word shingles of at least ``similarity``.
 
     A pair at 0.8 meets in some band with a chance of 0.998. Documents with
     equal shingle sets are one class from the start; null and wordless texts
     are one class. A bucket of over ``paired`` members is parted by twice as
-    many min-hashes, up to the fourth time; what is still together then is
-    verified against its first member. Ids must be long and not null.
+    many min-hashes, up to four times as many, and its members are verified
+    against its first one each time. Ids must be long and not null.
     """
     own = written(_signatures(docs, shingle, id_col, text_col), "signatures")
     classes = cut(own.groupBy("same").agg(F.min("id").alias("rep")))
@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         if none:
             break
         at = keyed.join(large.select("key", "first"), "key")
+        met = met.unionByName(at.where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")))
         if rows >= 4 * ROWS:
-            met = met.unionByName(at.where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")))
             break
         at = at.drop("key", "first")
         rows *= 2

@@ -16,7 +16,6 @@ them is fitted on labelled texts and gives the score.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -165,20 +164,22 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return fit([r["text"] for r in rows], [r["y"] for r in rows])
 
 
-def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted) of each row's whole text.
+def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(id, score, predicted) of each row's whole text and, with ``carry``, the whole input row as ``row``.
 
     Null, empty and blank texts get the share of toxic labels among such texts,
     drawn towards the share among all. Every row gives one row, repeated and
-    null ids included; other columns are ignored.
+    null ids included; other columns are ignored unless carried inside ``row``.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)  # two dictionaries of a fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
         own = sent.value
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": [own.score(t) for t in b["text"]]})
+        return pd.Series([own.score(t) for t in texts], dtype="float64")
 
-    out = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, f"id {kind}, score double")
-    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    columns = [F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *([row] if carry else [])]
+    scored = spread(docs.select(*columns)).withColumn("score", score("_text"))
+    return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["row"] if carry else []))
