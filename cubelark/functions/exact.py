@@ -30,12 +30,12 @@ def quantile(x: Column, q: float, over: WindowSpec | None = None, digits: int =
     return F.round(p if over is None else p.over(over), digits)
 
 
-def weighted_mean(value: Column, weight: Column, digits: int = 4) -> Column:
+def weighted_mean(value: Column, weight: Column) -> Column:
     """Sum of value times weight over the sum of weights, over rows with a value and a positive weight; the plain mean where there is none."""
     valid = value.isNotNull() & (weight > 0)
     top = F.sum(F.when(valid, value.cast(EXACT) * weight.cast("bigint"))).cast("double")
     bottom = F.sum(F.when(valid, weight.cast("bigint"))).cast("double")
-    return F.round(F.coalesce(top / F.nullif(bottom, F.lit(0.0)), exact_mean(value)), digits)
+    return F.coalesce(top / F.nullif(bottom, F.lit(0.0)), exact_mean(value))
 
 
 def ratio(a: Column, b: Column) -> Column:

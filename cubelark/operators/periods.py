@@ -81,7 +81,7 @@ def rolling(df: DataFrame, keys: Keys, order: str, column: str, width: int = 2)
     """WIN-12: mean and deviation of the last rows, null until there are enough."""
     w = along(keys, order).rowsBetween(-(width - 1), 0)
     full = F.count(column).over(w) == width
-    return df.withColumns({f"{column}_rolling_mean_{width}": F.when(full, F.round(exact_mean(F.col(column), w), 6)), f"{column}_rolling_std_{width}": F.when(full, F.round(F.stddev_samp(column).over(w), 4))})
+    return df.withColumns({f"{column}_rolling_mean_{width}": F.when(full, exact_mean(F.col(column), w)), f"{column}_rolling_std_{width}": F.when(full, F.round(F.stddev_samp(column).over(w), 4))})
 
 
 def impute_by_group(df: DataFrame, column: str, keys: Keys) -> DataFrame:

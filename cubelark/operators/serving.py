@@ -56,11 +56,11 @@ class Mart:
     def overview(self, filters: Filters, period: str | None = None) -> DataFrame:
         """API-02, AGG-14; no row where nothing matches."""
         at = self._at(filters, period)
-        return at.groupBy(F.lit(self.granularity).alias("granularity"), F.col(self.period).alias("period")).agg(F.count(F.lit(1)).alias("segment_count"), quantile(F.col("median_salary_mid"), 0.5).alias("median_salary_mid"), F.sum("vacancy_count").cast("bigint").alias("vacancy_count"), F.round(ratio(F.sum("salary_count"), F.sum("vacancy_count")), 6).alias("salary_coverage"), F.round(exact_mean(F.col("data_quality_score")), 4).alias("data_quality_score"))
+        return at.groupBy(F.lit(self.granularity).alias("granularity"), F.col(self.period).alias("period")).agg(F.count(F.lit(1)).alias("segment_count"), quantile(F.col("median_salary_mid"), 0.5, digits=4).alias("median_salary_mid"), F.sum("vacancy_count").cast("bigint").alias("vacancy_count"), F.round(ratio(F.sum("salary_count"), F.sum("vacancy_count")), 6).alias("salary_coverage"), F.round(exact_mean(F.col("data_quality_score")), 4).alias("data_quality_score"))
 
     def trend(self, filters: Filters) -> DataFrame:
         """API-03, AGG-15."""
-        return self._where(filters).groupBy(F.col(self.period).alias("period")).agg(quantile(F.col("median_salary_mid"), 0.5).alias("median_salary_mid"), F.sum("vacancy_count").cast("bigint").alias("vacancy_count"), F.round(ratio(F.sum("salary_count"), F.sum("vacancy_count")), 6).alias("salary_coverage")).orderBy("period")
+        return self._where(filters).groupBy(F.col(self.period).alias("period")).agg(quantile(F.col("median_salary_mid"), 0.5, digits=4).alias("median_salary_mid"), F.sum("vacancy_count").cast("bigint").alias("vacancy_count"), F.round(ratio(F.sum("salary_count"), F.sum("vacancy_count")), 6).alias("salary_coverage")).orderBy("period")
 
     def segments(self, filters: Filters, period: str | None = None, limit: int = 50) -> DataFrame:
         """API-04, SORT-02: the largest segments; 1 to 500 rows; ties by the keys."""
@@ -72,7 +72,7 @@ class Mart:
     def history(self, source: str | None, region: str | None, occupation: str) -> DataFrame:
         """API-05, AGG-16."""
         rows = self.data.where(exact_segment(source, region, occupation, self.groups or SOURCE_GROUPS))
-        medians = [quantile(F.col(c), 0.5).alias(c) for c in ("median_salary_mid", "p25_salary_mid", "p75_salary_mid")]
+        medians = [quantile(F.col(c), 0.5, digits=4).alias(c) for c in ("median_salary_mid", "p25_salary_mid", "p75_salary_mid")]
         sums = [F.sum(c).cast("bigint").alias(c) for c in ("vacancy_count", "salary_count", "employer_count")]
         return rows.groupBy(F.col(self.period).alias("period")).agg(*medians, *sums).orderBy("period")
 

@@ -29,7 +29,7 @@ def part(c: str) -> str:
 
 def weighted(v: str, w: str) -> str:
     ok = f"CASE WHEN {v} IS NOT NULL AND {w} > 0 THEN"
-    return f"round(coalesce(CAST(sum({ok} CAST({v} AS DECIMAL(18,6)) * {w} END) AS DOUBLE) / nullif(CAST(sum({ok} {w} END) AS DOUBLE), 0), {mean(v)}), 4) AS {v}"
+    return f"coalesce(CAST(sum({ok} CAST({v} AS DECIMAL(18,6)) * {w} END) AS DOUBLE) / nullif(CAST(sum({ok} {w} END) AS DOUBLE), 0), {mean(v)}) AS {v}"
 
 
 def cube(keys: str, name: str = "cube", source: str = "star") -> str:
@@ -102,7 +102,7 @@ Q4 = ", ".join([
     q4("q4_to_q1_historical_transition_median", "median_salary_mid * rd", "median_salary_mid * rd IS NOT NULL"),
 ])
 FOLDS = "(SELECT unnest([24000, 24006, 24012, 24015, 24018]) AS fold)"
-OVERVIEW = f"count(*) AS segment_count, round(quantile_cont(median_salary_mid, 0.5), 6) AS median_salary_mid, CAST(sum(vacancy_count) AS BIGINT) AS vacancy_count, round({ratio('sum(salary_count)', 'sum(vacancy_count)')}, 6) AS salary_coverage"
+OVERVIEW = f"count(*) AS segment_count, round(quantile_cont(median_salary_mid, 0.5), 4) AS median_salary_mid, CAST(sum(vacancy_count) AS BIGINT) AS vacancy_count, round({ratio('sum(salary_count)', 'sum(vacancy_count)')}, 6) AS salary_coverage"
 FILTERED = "source_dataset IN ('N', 'R') AND region = 'ASIA'"
 BUCKET = "CASE WHEN {n} <= 10 THEN 'very_low' WHEN {n} <= 30 THEN 'low' WHEN {n} <= 60 THEN 'medium' WHEN {n} <= 150 THEN 'high' ELSE 'very_high' END"
 SP = "[\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -155,7 +155,7 @@ ORACLES = {
     "api_overview": f"{MONTHLY}, f AS (SELECT *, {MONTHLY_LABEL} AS period FROM monthly WHERE {FILTERED}) SELECT 'monthly' AS granularity, period, {OVERVIEW}, round({mean('data_quality_score')}, 4) AS data_quality_score FROM f WHERE period = (SELECT max(period) FROM f) GROUP BY period",
     "api_trend": f"{MONTHLY} SELECT {MONTHLY_LABEL} AS period, {OVERVIEW.removeprefix('count(*) AS segment_count, ')} FROM monthly WHERE {FILTERED} GROUP BY 1",
     "api_segments": f"{MONTHLY}, f AS (SELECT *, {MONTHLY_LABEL} AS period FROM monthly) SELECT {SEGMENT}, period, median_salary_mid, vacancy_count, salary_count FROM f WHERE period = '1999-12' ORDER BY vacancy_count DESC, median_salary_mid DESC NULLS LAST, source_dataset NULLS LAST, region NULLS LAST, occupation_group NULLS LAST LIMIT 20",
-    "api_history": f"{MONTHLY} SELECT {MONTHLY_LABEL} AS period, round(quantile_cont(median_salary_mid, 0.5), 6) AS median_salary_mid, round(quantile_cont(p25_salary_mid, 0.5), 6) AS p25_salary_mid, round(quantile_cont(p75_salary_mid, 0.5), 6) AS p75_salary_mid, CAST(sum(vacancy_count) AS BIGINT) AS vacancy_count, CAST(sum(salary_count) AS BIGINT) AS salary_count, CAST(sum(employer_count) AS BIGINT) AS employer_count FROM monthly WHERE source_dataset IN ('N', 'R') AND region IS NULL AND occupation_group = 'BUILDING' GROUP BY 1",
+    "api_history": f"{MONTHLY} SELECT {MONTHLY_LABEL} AS period, round(quantile_cont(median_salary_mid, 0.5), 4) AS median_salary_mid, round(quantile_cont(p25_salary_mid, 0.5), 4) AS p25_salary_mid, round(quantile_cont(p75_salary_mid, 0.5), 4) AS p75_salary_mid, CAST(sum(vacancy_count) AS BIGINT) AS vacancy_count, CAST(sum(salary_count) AS BIGINT) AS salary_count, CAST(sum(employer_count) AS BIGINT) AS employer_count FROM monthly WHERE source_dataset IN ('N', 'R') AND region IS NULL AND occupation_group = 'BUILDING' GROUP BY 1",
     "api_forecast_row": f"{MONTHLY} SELECT {SEGMENT}, {MONTHLY_LABEL} AS period, vacancy_count, median_salary_mid FROM monthly WHERE source_dataset IN ('N', 'R') AND region = 'ASIA' AND occupation_group = 'BUILDING' ORDER BY period DESC, vacancy_count DESC, region NULLS LAST LIMIT 1",
     "value_counts": "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1",
     "top_values": "SELECT p_brand AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM part), 2) AS pct FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
@@ -184,7 +184,7 @@ ORACLES = {
     "union_sources": f"WITH {STAR} SELECT source_dataset, region, count(*) AS n FROM star GROUP BY 1, 2",
     "distinct_values": f"WITH {STAR} SELECT DISTINCT region, occupation_group FROM star",
     "unique_segments": f"WITH {STAR} SELECT count(*) AS segments FROM (SELECT DISTINCT {SEGMENT} FROM star)",
-    "rolling2": f"""{MONTHLY} SELECT {SEGMENT}, month_idx, CASE WHEN count(median_salary_mid) OVER y = 2 THEN round({mean("median_salary_mid", "y")}, 6) END AS median_salary_mid_rolling_mean_2, CASE WHEN count(median_salary_mid) OVER y = 2 THEN round(stddev_samp(median_salary_mid) OVER y, 4) END AS median_salary_mid_rolling_std_2
+    "rolling2": f"""{MONTHLY} SELECT {SEGMENT}, month_idx, CASE WHEN count(median_salary_mid) OVER y = 2 THEN {mean("median_salary_mid", "y")} END AS median_salary_mid_rolling_mean_2, CASE WHEN count(median_salary_mid) OVER y = 2 THEN round(stddev_samp(median_salary_mid) OVER y, 4) END AS median_salary_mid_rolling_std_2
       FROM monthly WINDOW y AS (PARTITION BY {SEGMENT} ORDER BY month_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""",
     "group_median_impute": f"{MONTHLY} SELECT {SEGMENT}, month_idx, coalesce(median_salary_mid, round(quantile_cont(median_salary_mid, 0.5) OVER (PARTITION BY source_dataset, occupation_group), 6), (SELECT round(quantile_cont(median_salary_mid, 0.5), 6) FROM monthly)) AS median_salary_mid_imputed FROM monthly",
     "cyclic_month": "SELECT CAST(m AS INT) AS month, round(sin(m * 2.0 * pi() / 12.0), 9) AS month_sin, round(cos(m * 2.0 * pi() / 12.0), 9) AS month_cos FROM range(1, 13) t(m)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,10 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(target)
     sc._cubelark_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, or in a temporary one where none is set (tests)."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="cubelark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
