@@ -152,7 +152,7 @@ def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Da
     return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, f"id {kind}, fp long, same long, least array<long>, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", paired: int = 4 * PAIRED) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
     """(id, component_id) of every row: documents linked by a Jaccard similarity of word shingles of at least ``similarity``.
 
     A pair at 0.8 meets in some band with a chance of 0.998. Documents with
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     own = written(_signatures(docs, shingle, id_col, text_col), "signatures")
     classes = cut(own.groupBy("same").agg(F.min("id").alias("rep")))
     reps = own.join(classes.withColumnRenamed("rep", "id").withColumnRenamed("same", "own_same"), "id", "left_semi")
-    sketch = with_pivots(reps.select("id", "fp", "least"))
+    sketch = with_pivots(written(reps.select("id", "fp", "least"), "sketches"))
     columns = ["id", "fp", *[f"d{i}" for i in range(PIVOTS)]]
     met, at = None, sketch.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
     rows = ROWS
