@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 EXACT = "decimal(18,6)"
 
 
+def rounded(x: Column | str, digits: int = 0) -> Column:
+    """Round a double half away from zero in binary, as SQL engines do that scale, round and scale back; F.round rounds the shortest decimal form, which differs at ties."""
+    x, scale = (F.col(x) if isinstance(x, str) else x).cast("double"), F.lit(float(10**digits))
+    return F.signum(x) * F.round(F.abs(x) * scale) / scale
+
+
 def exact_sum(x: Column, over: WindowSpec | None = None) -> Column:
     s = F.sum(x.cast(EXACT))
     return (s if over is None else s.over(over)).cast("double")
@@ -27,7 +33,7 @@ def share(condition: Column) -> Column:
 def quantile(x: Column, q: float, over: WindowSpec | None = None, digits: int = 6) -> Column:
     """Exact quantile with linear interpolation."""
     p = F.percentile(x.cast("double"), F.lit(q))
-    return F.round(p if over is None else p.over(over), digits)
+    return rounded(p if over is None else p.over(over), digits)
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubelark.functions.exact import exact_mean, quantile, share, weighted_mean
+from cubelark.functions.exact import exact_mean, quantile, rounded, share, weighted_mean
 
 MONTHLY_KEYS = ("source_dataset", "vacancy_month", "country", "region", "federal_district", "occupation_group", "occupation_code", "experience_group", "employment_type", "schedule_type")
 SALARY_MEASURES = ("median_salary_mid", "mean_salary_mid", "p25_salary_mid", "p75_salary_mid", "median_salary_from", "median_salary_to")
@@ -90,7 +90,7 @@ def top_values(df: DataFrame, column: str, limit: int) -> DataFrame:
     """AGG-08 and AGG-10: the most frequent values with their share of all rows."""
     counts = value_counts(df, column)
     total = counts.agg(F.sum("n").alias("total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select("value", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct")).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(limit)
+    return counts.crossJoin(F.broadcast(total)).select("value", "n", rounded(100.0 * F.col("n") / F.col("total"), 2).alias("pct")).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(limit)
 
 
 def flag_counts(df: DataFrame, column: str = "quality_flags") -> DataFrame:
@@ -115,4 +115,4 @@ def pass_counts(df: DataFrame, filters: dict[str, Column]) -> DataFrame:
 def within_group_share(df: DataFrame, group: str, value: str) -> DataFrame:
     """JOIN-04: the share of each value in its group, without a join."""
     counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(group)), 4))
+    return counts.withColumn("pct", rounded(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(group)), 4))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubelark.functions.exact import exact_mean, exact_sum, quantile, ratio
+from cubelark.functions.exact import exact_mean, exact_sum, quantile, ratio, rounded
 
 ALPHAS = tuple(i / 10 for i in range(11))
 LARGE_LOG_DELTA = 0.35
@@ -20,7 +20,7 @@ def scorecard(actual: Column, predicted: Column, digits: int = 4) -> list[Column
     e = p - a
     ape = 100.0 * ratio(F.abs(e), F.abs(a))
     sape = 200.0 * ratio(F.abs(e), F.abs(a) + F.abs(p))
-    r = lambda c, n: F.round(c, digits).alias(n)
+    r = lambda c, n: rounded(c, digits).alias(n)
     return [
         F.count(F.lit(1)).alias("row_count"), F.count(a).alias("valid_row_count"), r(exact_mean(F.abs(e)), "mae"), r(quantile(F.abs(e), 0.5), "medae"), r(F.sqrt(F.avg(e * e)), "rmse"),
         r(exact_mean(ape), "mape"), r(exact_mean(sape), "smape"), r(100.0 * ratio(exact_sum(F.abs(e)), exact_sum(F.abs(a))), "wape"),
@@ -45,8 +45,8 @@ def compare(df: DataFrame, actual: str, model: str, baseline: str, keys: Sequenc
     a, m, b = F.col(actual), F.col(model), F.col(baseline)
     ape = lambda p: 100.0 * ratio(F.abs(p - a), F.abs(a))
     better = F.when(a.isNotNull() & m.isNotNull() & b.isNotNull(), (F.abs(m - a) < F.abs(b - a)).cast("int"))
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.round(exact_mean(ape(m)), 4).alias("model_mape"), F.round(exact_mean(ape(b)), 4).alias("baseline_mape"), F.sum(better).cast("bigint").alias("better_rows"))
-    return out.where(F.col("row_count") >= min_rows).withColumn("mape_delta", F.round(F.col("model_mape") - F.col("baseline_mape"), 4))
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), rounded(exact_mean(ape(m)), 4).alias("model_mape"), rounded(exact_mean(ape(b)), 4).alias("baseline_mape"), F.sum(better).cast("bigint").alias("better_rows"))
+    return out.where(F.col("row_count") >= min_rows).withColumn("mape_delta", rounded(F.col("model_mape") - F.col("baseline_mape"), 4))
 
 
 def strategies(model: Column, baseline: Column, log_delta: Column | None = None, segment_bucket: Column | None = None, region_bucket: Column | None = None, alphas: Sequence[float] = ALPHAS) -> dict[str, Column]:
@@ -94,8 +94,8 @@ def evaluate_strategies(df: DataFrame, actual: str, options: dict[str, Column],
 def fold_summary(folds: DataFrame, by: Sequence[str], label: str, metric: str = "mape", baseline: str | None = None) -> DataFrame:
     """EVAL-05 and SORT-06: mean, population deviation, worst value and its label, share of folds better than the baseline's metric."""
     worst = F.max(F.struct(F.col(metric), F.col(label)))
-    better = [F.round(F.avg((F.col(metric) < F.col(baseline)).cast("double")), 4).alias("better_share")] if baseline else []
-    return folds.groupBy(*by).agg(F.count(F.lit(1)).alias("folds"), F.round(exact_mean(F.col(metric)), 4).alias(f"mean_{metric}"), F.round(F.stddev_pop(metric), 3).alias(f"std_{metric}"), worst[metric].alias(f"worst_{metric}"), worst[label].alias("worst_fold"), *better)
+    better = [rounded(F.avg((F.col(metric) < F.col(baseline)).cast("double")), 4).alias("better_share")] if baseline else []
+    return folds.groupBy(*by).agg(F.count(F.lit(1)).alias("folds"), rounded(exact_mean(F.col(metric)), 4).alias(f"mean_{metric}"), rounded(F.stddev_pop(metric), 3).alias(f"std_{metric}"), worst[metric].alias(f"worst_{metric}"), worst[label].alias("worst_fold"), *better)
 
 
 def time_split(df: DataFrame, order: str) -> DataFrame:
@@ -116,7 +116,7 @@ def group_errors(df: DataFrame, actual: str, predicted: str, keys: Sequence[str]
     e = F.abs(F.col(predicted) - F.col(actual))
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), exact_sum(e).alias("abs_error_sum"), quantile(e, 0.5).alias("abs_error_median"))
     total = g.agg(F.sum(F.col("abs_error_sum").cast("decimal(30,6)")).cast("double").alias("_total"))
-    return g.crossJoin(F.broadcast(total)).withColumn("abs_error_share", F.round(ratio(F.col("abs_error_sum"), F.col("_total")), 6)).withColumn("abs_error_sum", F.round("abs_error_sum", 4)).drop("_total")
+    return g.crossJoin(F.broadcast(total)).withColumn("abs_error_share", rounded(ratio(F.col("abs_error_sum"), F.col("_total")), 6)).withColumn("abs_error_sum", rounded("abs_error_sum", 4)).drop("_total")
 
 
 def slices(df: DataFrame, masks: dict[str, Column], actual: str, predicted: str) -> DataFrame:
@@ -136,7 +136,7 @@ def support_masks(actual: str, predicted: str) -> dict[str, Column]:
 
 def largest_errors(df: DataFrame, actual: str, predicted: str, tie: Sequence[str], n: int = 25) -> DataFrame:
     """EVAL-09."""
-    return df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).withColumn("abs_error", F.round(F.abs(F.col(predicted) - F.col(actual)), 6)).orderBy(F.desc("abs_error"), *[F.asc_nulls_last(t) for t in tie]).limit(n)
+    return df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).withColumn("abs_error", rounded(F.abs(F.col(predicted) - F.col(actual)), 6)).orderBy(F.desc("abs_error"), *[F.asc_nulls_last(t) for t in tie]).limit(n)
 
 
 def period_profile(df: DataFrame, order: str, period: int, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubelark.functions.exact import exact_mean, exact_sum, pct_change, quantile, ratio
+from cubelark.functions.exact import exact_mean, exact_sum, pct_change, quantile, ratio, rounded
 
 Keys = Sequence[str]
 
@@ -43,7 +43,7 @@ def observed(df: DataFrame, keys: Keys, order: str, value: str, target: str, gap
 def past_statistics(df: DataFrame, keys: Keys, order: str, value: str, prefix: str = "segment_previous") -> DataFrame:
     """WIN-04 to WIN-07: number, mean, median and sample deviation of the earlier rows."""
     w, x = past(keys, order), F.col(value)
-    return df.withColumns({f"{prefix}_observation_count": F.row_number().over(along(keys, order)) - 1, f"{prefix}_salary_mean": exact_mean(x, w), f"{prefix}_salary_median": quantile(x, 0.5, w), f"{prefix}_salary_std": F.round(F.stddev_samp(x).over(w), 4)})
+    return df.withColumns({f"{prefix}_observation_count": F.row_number().over(along(keys, order)) - 1, f"{prefix}_salary_mean": exact_mean(x, w), f"{prefix}_salary_median": quantile(x, 0.5, w), f"{prefix}_salary_std": rounded(F.stddev_samp(x).over(w), 4)})
 
 
 def changes(df: DataFrame, keys: Keys, order: str, columns: Sequence[str]) -> DataFrame:
@@ -51,7 +51,7 @@ def changes(df: DataFrame, keys: Keys, order: str, columns: Sequence[str]) -> Da
     w, out = along(keys, order), {}
     for c in columns:
         before = F.lag(c).over(w)
-        out |= {f"{c}_delta_lag_1": F.round(F.col(c) - before, 6), f"{c}_pct_change_lag_1": F.round(pct_change(F.col(c), before), 6)}
+        out |= {f"{c}_delta_lag_1": rounded(F.col(c) - before, 6), f"{c}_pct_change_lag_1": rounded(pct_change(F.col(c), before), 6)}
     return df.withColumns(out)
 
 
@@ -59,7 +59,7 @@ def lag_changes(df: DataFrame, keys: Keys, order: str, column: str) -> DataFrame
     """WIN-08 between the two rows before."""
     w = along(keys, order)
     one, two = F.lag(column, 1).over(w), F.lag(column, 2).over(w)
-    return df.withColumns({f"{column}_lag_1_to_lag_2_delta": F.round(one - two, 6), f"{column}_lag_1_to_lag_2_pct_change": F.round(pct_change(one, two), 6)})
+    return df.withColumns({f"{column}_lag_1_to_lag_2_delta": rounded(one - two, 6), f"{column}_lag_1_to_lag_2_pct_change": rounded(pct_change(one, two), 6)})
 
 
 def seasonal_history(df: DataFrame, transition: str, order: str, value: str, target: str) -> DataFrame:
@@ -69,7 +69,7 @@ def seasonal_history(df: DataFrame, transition: str, order: str, value: str, tar
     by_period = valid.groupBy(transition, order).agg(F.count(F.lit(1)).alias("_n"), exact_sum(change).alias("_sum"), exact_sum(F.ln(change)).alias("_log"), quantile(change, 0.5).alias("_median"))
     w = past([transition], order)
     n = F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint")
-    return by_period.select(transition, order, n.alias("seasonal_transition_previous_count"), F.round(ratio(exact_sum(F.col("_sum"), w), n), 6).alias("seasonal_transition_salary_ratio_mean"), quantile(F.col("_median"), 0.5, w).alias("seasonal_transition_salary_ratio_median"), F.round(ratio(exact_sum(F.col("_log"), w), n), 6).alias("seasonal_transition_log_delta_mean"))
+    return by_period.select(transition, order, n.alias("seasonal_transition_previous_count"), rounded(ratio(exact_sum(F.col("_sum"), w), n), 6).alias("seasonal_transition_salary_ratio_mean"), quantile(F.col("_median"), 0.5, w).alias("seasonal_transition_salary_ratio_median"), rounded(ratio(exact_sum(F.col("_log"), w), n), 6).alias("seasonal_transition_log_delta_mean"))
 
 
 def with_seasonal(df: DataFrame, transition: str, order: str, value: str, target: str) -> DataFrame:
@@ -81,7 +81,7 @@ def rolling(df: DataFrame, keys: Keys, order: str, column: str, width: int = 2)
     """WIN-12: mean and deviation of the last rows, null until there are enough."""
     w = along(keys, order).rowsBetween(-(width - 1), 0)
     full = F.count(column).over(w) == width
-    return df.withColumns({f"{column}_rolling_mean_{width}": F.when(full, exact_mean(F.col(column), w)), f"{column}_rolling_std_{width}": F.when(full, F.round(F.stddev_samp(column).over(w), 4))})
+    return df.withColumns({f"{column}_rolling_mean_{width}": F.when(full, exact_mean(F.col(column), w)), f"{column}_rolling_std_{width}": F.when(full, rounded(F.stddev_samp(column).over(w), 4))})
 
 
 def impute_by_group(df: DataFrame, column: str, keys: Keys) -> DataFrame:

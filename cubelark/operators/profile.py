@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubelark.functions.exact import exact_mean, quantile
+from cubelark.functions.exact import exact_mean, quantile, rounded
 from cubelark.functions.text import MISSING_PLACEHOLDERS
 from cubelark.operators.cube import count_if
 
@@ -31,7 +31,7 @@ def missing_values(df: DataFrame, examples: int = 10) -> DataFrame:
 
 def null_percent(df: DataFrame, warning: float = 30.0, critical: float = 70.0) -> DataFrame:
     """DQ-12."""
-    pct = {c: F.round(100.0 * count_if(F.col(f"`{c}`").isNull()).cast("double") / F.count(F.lit(1)).cast("double"), 4).alias(f"{c}__pct") for c in df.columns}
+    pct = {c: rounded(100.0 * count_if(F.col(f"`{c}`").isNull()).cast("double") / F.count(F.lit(1)).cast("double"), 4).alias(f"{c}__pct") for c in df.columns}
     return _long(df.agg(*pct.values()), df.columns, {"pct": "double"}).withColumn("level", F.when(F.col("pct") >= critical, "critical").when(F.col("pct") >= warning, "warning").otherwise("ok"))
 
 
@@ -56,26 +56,26 @@ def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5, both: bool = T
     q = q.withColumns({"low": F.col("q1") - factor * (F.col("q3") - F.col("q1")), "high": F.greatest(high, F.lit(floor)) if floor is not None else high})
     x = F.col(column)
     joined = df.select(column).crossJoin(F.broadcast(q))
-    return joined.agg(F.count(x).alias("n"), F.round(F.max("q1"), 6).alias("q1"), F.round(F.max("q3"), 6).alias("q3"), count_if(x < F.col("low") if both else F.lit(False)).alias("below"), count_if(x > F.col("high")).alias("above"))
+    return joined.agg(F.count(x).alias("n"), rounded(F.max("q1"), 6).alias("q1"), rounded(F.max("q3"), 6).alias("q3"), count_if(x < F.col("low") if both else F.lit(False)).alias("below"), count_if(x > F.col("high")).alias("above"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str], least: float = 0.0, top: int = 30) -> DataFrame:
     """AGG-18: all pairs in one aggregation."""
     pairs = list(combinations(columns, 2))
     one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    long = one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"r{i}"), 6).alias("r")) for i, (a, b) in enumerate(pairs)])))
+    long = one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rounded(F.col(f"r{i}"), 6).alias("r")) for i, (a, b) in enumerate(pairs)])))
     return long.where(F.abs("r") >= least).orderBy(F.desc(F.abs("r")), "a", "b").limit(top)
 
 
 def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """AGG-19."""
     x = F.col(column)
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(exact_mean(x), 4).alias("mean"), quantile(x, 0.5).alias("median"), F.round(F.stddev_samp(x), 3).alias("std"))
+    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), rounded(exact_mean(x), 4).alias("mean"), quantile(x, 0.5).alias("median"), rounded(F.stddev_samp(x), 3).alias("std"))
 
 
 def text_lengths(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """STR-12."""
-    aggs = [a for c in columns for a in (F.round(exact_mean(F.char_length(c)), 4).alias(f"{c}__mean_length"), F.max(F.char_length(c)).alias(f"{c}__longest"))]
+    aggs = [a for c in columns for a in (rounded(exact_mean(F.char_length(c)), 4).alias(f"{c}__mean_length"), F.max(F.char_length(c)).alias(f"{c}__longest"))]
     return _long(df.agg(*aggs), columns, {"mean_length": "double", "longest": "bigint"})
 
 
@@ -114,4 +114,4 @@ def issues(df: DataFrame, nearly_unique: float = 0.98) -> DataFrame:
 
 def split_summary(df: DataFrame, condition: Column, value: str) -> DataFrame:
     """AGG-11: count and median on either side of a condition, in one row."""
-    return df.agg(count_if(condition).alias("n_yes"), count_if(~condition).alias("n_no"), F.round(F.percentile(F.when(condition, F.col(value)).cast("double"), F.lit(0.5)), 6).alias("median_yes"), F.round(F.percentile(F.when(~condition, F.col(value)).cast("double"), F.lit(0.5)), 6).alias("median_no"))
+    return df.agg(count_if(condition).alias("n_yes"), count_if(~condition).alias("n_no"), rounded(F.percentile(F.when(condition, F.col(value)).cast("double"), F.lit(0.5)), 6).alias("median_yes"), rounded(F.percentile(F.when(~condition, F.col(value)).cast("double"), F.lit(0.5)), 6).alias("median_no"))

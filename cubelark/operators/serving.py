@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubelark.functions.exact import exact_mean, quantile, ratio
+from cubelark.functions.exact import exact_mean, quantile, ratio, rounded
 
 #: A source of the interface that stands for two of the data (fixed values).
 SOURCE_GROUPS = {"hh": ("hh_github", "hh_kaggle")}
@@ -56,11 +56,11 @@ class Mart:
     def overview(self, filters: Filters, period: str | None = None) -> DataFrame:
         """API-02, AGG-14; no row where nothing matches."""
         at = self._at(filters, period)
-        return at.groupBy(F.lit(self.granularity).alias("granularity"), F.col(self.period).alias("period")).agg(F.count(F.lit(1)).alias("segment_count"), quantile(F.col("median_salary_mid"), 0.5, digits=4).alias("median_salary_mid"), F.sum("vacancy_count").cast("bigint").alias("vacancy_count"), F.round(ratio(F.sum("salary_count"), F.sum("vacancy_count")), 6).alias("salary_coverage"), F.round(exact_mean(F.col("data_quality_score")), 4).alias("data_quality_score"))
+        return at.groupBy(F.lit(self.granularity).alias("granularity"), F.col(self.period).alias("period")).agg(F.count(F.lit(1)).alias("segment_count"), quantile(F.col("median_salary_mid"), 0.5, digits=4).alias("median_salary_mid"), F.sum("vacancy_count").cast("bigint").alias("vacancy_count"), rounded(ratio(F.sum("salary_count"), F.sum("vacancy_count")), 6).alias("salary_coverage"), rounded(exact_mean(F.col("data_quality_score")), 4).alias("data_quality_score"))
 
     def trend(self, filters: Filters) -> DataFrame:
         """API-03, AGG-15."""
-        return self._where(filters).groupBy(F.col(self.period).alias("period")).agg(quantile(F.col("median_salary_mid"), 0.5, digits=4).alias("median_salary_mid"), F.sum("vacancy_count").cast("bigint").alias("vacancy_count"), F.round(ratio(F.sum("salary_count"), F.sum("vacancy_count")), 6).alias("salary_coverage")).orderBy("period")
+        return self._where(filters).groupBy(F.col(self.period).alias("period")).agg(quantile(F.col("median_salary_mid"), 0.5, digits=4).alias("median_salary_mid"), F.sum("vacancy_count").cast("bigint").alias("vacancy_count"), rounded(ratio(F.sum("salary_count"), F.sum("vacancy_count")), 6).alias("salary_coverage")).orderBy("period")
 
     def segments(self, filters: Filters, period: str | None = None, limit: int = 50) -> DataFrame:
         """API-04, SORT-02: the largest segments; 1 to 500 rows; ties by the keys."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cubelark.functions.categories import support_bucket
 from cubelark.functions.dates import cyclic, date_flags, month_label, month_label_of, quarter_label
-from cubelark.functions.exact import exact_mean, quantile, share
+from cubelark.functions.exact import exact_mean, quantile, rounded, share
 from cubelark.functions.money import bound_type, log_ratio, midpoint
 from cubelark.functions.text import json_key, keyword_category
 from cubelark.operators import cube as C
@@ -126,7 +126,7 @@ def seasonal_transition(spark, d):
 
 @query
 def broad_quarterly_dataset(spark, d):
-    out = D.broad_quarterly(cube(spark, d), SEGMENT).withColumn("target_log_salary_delta", F.round("target_log_salary_delta", 8))
+    out = D.broad_quarterly(cube(spark, d), SEGMENT).withColumn("target_log_salary_delta", rounded("target_log_salary_delta", 8))
     return out.select(*SEGMENT, "quarter_idx", "vacancy_count", "median_salary_mid", D.BROAD_QUARTERLY_TARGET, "gap_to_target_quarters", "quarter_transition", "is_q4_to_q1", "seasonal_transition_previous_count", "seasonal_transition_salary_ratio_mean", "seasonal_transition_salary_ratio_median", "target_log_salary_delta")
 
 
@@ -137,7 +137,7 @@ def support_features(spark, d):
 
 @query
 def residual_target(spark, d):
-    return observed(spark, d).select(*SEGMENT, "month_idx", F.round(log_ratio(F.col("target"), F.col("median_salary_mid")), 8).alias("target_log_salary_delta"))
+    return observed(spark, d).select(*SEGMENT, "month_idx", rounded(log_ratio(F.col("target"), F.col("median_salary_mid")), 8).alias("target_log_salary_delta"))
 
 
 @query
@@ -212,7 +212,7 @@ def period_profile(spark, d):
 def forecast_decision(spark, d):
     base = F.col("median_salary_mid")
     model, turn = 0.9 * base + 1000, (F.col("quarter_transition") == "Q4_to_Q1").cast("int")
-    return transitions(spark, d).select(*SEGMENT, "quarter_idx", F.round(M.forecast_decision(model, base, "quarterly", turn), 6).alias("quarterly"), F.round(M.forecast_decision(model, base, "monthly"), 6).alias("monthly"))
+    return transitions(spark, d).select(*SEGMENT, "quarter_idx", rounded(M.forecast_decision(model, base, "quarterly", turn), 6).alias("quarterly"), rounded(M.forecast_decision(model, base, "monthly"), 6).alias("monthly"))
 
 
 def mart(spark: SparkSession, d: str) -> Mart:
@@ -277,7 +277,7 @@ def pivot_compare(spark, d):
     kind = F.when(F.col("is_remote"), "remote").otherwise("onsite")
     wide = records(spark, d).withColumn("kind", kind).groupBy("occupation_group").pivot("kind", ["remote", "onsite"]).agg(F.count(F.lit(1)).alias("n"), quantile(F.col("salary_mid"), 0.5).alias("m"))
     out = wide.select("occupation_group", (F.coalesce("remote_n", F.lit(0)) + F.coalesce("onsite_n", F.lit(0))).alias("n"), F.col("remote_m").alias("remote"), F.col("onsite_m").alias("onsite"))
-    return out.where("n >= 10").withColumn("pct_difference", F.round((F.col("remote") - F.col("onsite")) / F.nullif(F.col("onsite"), F.lit(0.0)) * 100, 4))
+    return out.where("n >= 10").withColumn("pct_difference", rounded((F.col("remote") - F.col("onsite")) / F.nullif(F.col("onsite"), F.lit(0.0)) * 100, 4))
 
 
 @query
@@ -417,7 +417,7 @@ def group_median_impute(spark, d):
 @query
 def cyclic_month(spark, d):
     s, c = cyclic(F.col("month"))
-    return spark.range(1, 13).select(F.col("id").cast("int").alias("month")).select("month", F.round(s, 9).alias("month_sin"), F.round(c, 9).alias("month_cos"))
+    return spark.range(1, 13).select(F.col("id").cast("int").alias("month")).select("month", rounded(s, 9).alias("month_sin"), rounded(c, 9).alias("month_cos"))
 
 
 @query
@@ -459,7 +459,7 @@ def feature_mart(spark, d):
 @query
 def top_share_regions(spark, d):
     """H-04: districts with enough rows by their share of a kind of work."""
-    g = records(spark, d).groupBy("federal_district").agg(F.count(F.lit(1)).alias("n"), F.round(100.0 * share(F.col("is_remote")), 4).alias("remote_pct"))
+    g = records(spark, d).groupBy("federal_district").agg(F.count(F.lit(1)).alias("n"), rounded(100.0 * share(F.col("is_remote")), 4).alias("remote_pct"))
     return g.where("n >= 100").orderBy(F.desc("remote_pct"), "federal_district").limit(15)
 
 
@@ -468,4 +468,4 @@ def event_windows(spark, d):
     """Tumbling hours of events, the batch form of the streaming cube."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("s"))
-    return g.select(F.unix_timestamp("w.start").alias("window_start"), "event_type", "n", F.round(F.col("s") / F.col("n"), 4).alias("mean_value"))
+    return g.select(F.unix_timestamp("w.start").alias("window_start"), "event_type", "n", rounded(F.col("s") / F.col("n"), 4).alias("mean_value"))
