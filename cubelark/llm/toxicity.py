@@ -161,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     chosen = F.broadcast(known.where(share < limit))  # about two times ``most`` ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(chosen, "id").select("id", "text", "y").collect()
     rows = sorted({r["id"]: r for r in rows}.values(), key=lambda r: r["id"])
-    return fit([r["text"] for r in rows], [r["y"] for r in rows])
+    model = fit([r["text"] for r in rows], [r["y"] for r in rows])
+    distance.cache_clear()  # the driver scores nothing after this
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
