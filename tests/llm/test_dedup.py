@@ -163,3 +163,23 @@ def test_passages(spark, named, empty):
     assert set(got) == {*places, 40, 41}  # texts without a repeat, and those too short for one, have none
     assert repeated_passages(empty).count() == 0
     assert {r.doc_id for r in repeated_passages(named).collect()} <= {7}  # only the long text repeats itself
+
+
+def test_passages_behind_a_first_place_without_them(spark):
+    """Two documents share a line and the words after it; a document with a smaller id has the line only."""
+    draw = random.Random(17)
+    words = [f"u{i}" for i in range(20_000)]
+    text = lambda k: draw.choices(words, k=k)
+    rows, want = [], {}
+    for k in range(30):
+        line, after = text(38 + k % 10), text(12)
+        for i in range(5):
+            rows.append((k * 10 + i, " ".join(text(40) + line + text(60))))
+        for i in (5, 6):
+            rows.append((k * 10 + i, " ".join(text(40) + line + after + text(40))))
+            want[k * 10 + i] = 40, 40 + len(line) + len(after)
+    got = {}
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {i for i, (a, b) in want.items() if any(s <= a and e >= b for s, e in got.get(i, ()))} == set(want)
+    assert set(got) == set(want)
