@@ -143,10 +143,9 @@ def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Da
         for b in batches:
             rows = []
             for i, t in zip(b["id"], b["text"], strict=True):
-                own = shingle_hashes(t, shingle)
-                once = np.unique(own)
+                once = np.unique(shingle_hashes(t, shingle))  # the similarity is that of sets
                 least = [int((once * m).min()) if len(once) else 0 for m in _MULTIPLIERS]
-                rows.append((i, signed(fingerprint(own)), signed(xxhash.xxh64_intdigest(once.tobytes())), [signed(x) for x in least], np.unique((once >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes()))
+                rows.append((i, signed(fingerprint(once)), signed(xxhash.xxh64_intdigest(once.tobytes())), [signed(x) for x in least], np.unique((once >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes()))
             yield pd.DataFrame(rows, columns=["id", "fp", "same", "least", "shingles"])
 
     return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, f"id {kind}, fp long, same long, least array<long>, shingles binary")

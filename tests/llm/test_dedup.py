@@ -130,6 +130,20 @@ def test_near_duplicates(spark, empty):
     assert S.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_repeats(spark):
+    """Equal bodies but for an edit, one with a word many times over: the sets are similar, whatever the counts."""
+    draw = random.Random(11)
+    words = [f"r{i}" for i in range(5000)]
+    rows = []
+    for k in range(12):
+        body, line = draw.choices(words, k=200), [f"again{k}"]
+        edited = [*body[:100], "edit", *body[101:]]
+        rows += [(2 * k, " ".join(body + line * 5)), (2 * k + 1, " ".join(edited + line * 400))]
+    want = near_brute(rows)
+    assert all(want[2 * k + 1] == 2 * k for k in range(12))
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_compact_windows_are_the_minima_of_stretches():
     import numpy as np
 
