@@ -35,6 +35,9 @@ PIVOTS, PAIRED = 16, 64
 SEED = 42
 #: near_duplicates: min-hashes of a band, bands; bits by which verified pairs may differ at most (9.7 and a deviation of 2.9 are expected at 0.8).
 ROWS, BANDS, FAR_BITS = 2, 6, 26
+#: Of each further level, for members of large buckets: min-hashes of a band, bands. A pair at 0.8 meets at a level with a chance of 0.9998.
+LEVELS = ((4, 16), (8, 46))
+_FRESH = [np.array([xxhash.xxh64_intdigest(b"level %d %d" % (k, i)) | 1 for i in range(r * b)], np.uint64) for k, (r, b) in enumerate(LEVELS)]
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"min-hash %d" % i) | 1 for i in range(ROWS * BANDS)], np.uint64)
 _PIVOT_VALUES = [xxhash.xxh64_intdigest(b"pivot %d" % i) - (1 << 63) for i in range(PIVOTS)]
 
@@ -151,43 +154,47 @@ def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Da
     return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, f"id {kind}, fp long, same long, least array<long>, shingles binary")
 
 
+def _fresh_keys(members: DataFrame, level: int) -> DataFrame:
+    """(id, key) for each band of a level, from min-hashes that no other level has; ``members`` is (id, shingles)."""
+    rows, bands = LEVELS[level]
+    powers = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(rows)], np.uint64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = []
+            for s in b["shingles"]:
+                own = np.frombuffer(s, "<u4").astype(np.uint64) + np.uint64(1)
+                least = np.zeros(rows * bands, np.uint64)
+                for i, m in enumerate(_FRESH[level] if len(own) else ()):
+                    x = own * m
+                    x ^= x >> np.uint64(32)
+                    least[i] = (x * np.uint64(0xD6E8FEB86659FD93)).min()
+                key = (least.reshape(bands, rows) * powers).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
+                key ^= key >> np.uint64(31)
+                keys.append((key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+            yield pd.DataFrame({"id": b["id"], "keys": keys})
+
+    return spread(members).mapInPandas(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
     """(id, component_id) of every row: documents linked by a Jaccard similarity of word shingles of at least ``similarity``.
 
     A pair at 0.8 meets in some band with a chance of 0.998. Documents with
     equal shingle sets are one class from the start; null and wordless texts
-    are one class. A bucket of over ``paired`` members is parted by twice as
-    many min-hashes, up to four times as many, and its members are verified
-    against its first one each time. Ids must be long and not null.
+    are one class. The members of buckets of over ``paired`` meet again by
+    longer bands of fresh min-hashes, twice (``LEVELS``), which takes a pair at
+    0.8 to 0.997 in all. In buckets that are large even then, members are
+    verified against the first; those that fail are verified against all others
+    of the bucket, so that no link of the bucket is lost. Ids must be long and
+    not null.
     """
     own = written(_signatures(docs, shingle, id_col, text_col), "signatures")
     classes = cut(own.groupBy("same").agg(F.min("id").alias("rep")))
     reps = own.join(classes.withColumnRenamed("rep", "id").withColumnRenamed("same", "own_same"), "id", "left_semi")
     sketch = with_pivots(written(reps.select("id", "fp", "least"), "sketches"))
     columns = ["id", "fp", *[f"d{i}" for i in range(PIVOTS)]]
-    met, at = None, sketch.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
-    rows = ROWS
-    while True:
-        n_hashes = ROWS * BANDS
-        key = F.xxhash64("band", *[F.element_at("least", F.pmod(F.col("band") * ROWS + i, F.lit(n_hashes)).cast("int") + 1) for i in range(rows)])
-        keyed = at.withColumn("key", key)
-        large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > paired))
-        none = large.isEmpty()
-        small = (keyed if none else keyed.join(large, "key", "left_anti")).select("key", *columns)
-        a, b = small.alias("a"), small.alias("b")
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & near("a", "b", FAR_BITS)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-        met = pairs if met is None else met.unionByName(pairs)
-        if none:
-            break
-        at = keyed.join(large.select("key", "first"), "key")
-        met = met.unionByName(at.where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")))
-        if rows >= 4 * ROWS:
-            break
-        at = at.drop("key", "first")
-        rows *= 2
-    met = cut(met.distinct())
     sets = own.select("id", "shingles")
-    joined = met.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -198,7 +205,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 same.append(both >= similarity * (len(a) + len(b) - both))
             yield p.loc[same, ["u", "v"]]
 
-    found = components(joined.mapInPandas(verify, "u long, v long"))
+    def verified(met: DataFrame) -> DataFrame:
+        joined = met.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+        return joined.mapInPandas(verify, "u long, v long")
+
+    hashes = F.array(*[F.xxhash64(F.lit(k), *[F.element_at("least", k * ROWS + i + 1) for i in range(ROWS)]) for k in range(BANDS)])
+    keyed, met = sketch.select("id", "fp", *columns[2:], F.explode(hashes).alias("key")), None
+    for level in range(len(LEVELS) + 1):
+        large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > paired))
+        none = large.isEmpty()
+        small = (keyed if none else keyed.join(large, "key", "left_anti")).select("key", *columns)
+        a, b = small.alias("a"), small.alias("b")
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & near("a", "b", FAR_BITS)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+        met = pairs if met is None else met.unionByName(pairs)
+        if none:
+            break
+        at = keyed.join(large.select("key", "first"), "key")
+        if level < len(LEVELS):
+            members = sets.join(cut(at.select("id").distinct()), "id", "left_semi")
+            keyed = written(_fresh_keys(members, level), "keys").join(sketch.select(*columns), "id").select("key", *columns)
+    edges = cut(verified(cut(met.distinct())))
+    if not none:
+        # Those linked to the first of a bucket need no link to each other; the others are held against all of the bucket.
+        of = cut(at.select("key", "first", *columns))
+        star = cut(verified(of.where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()))
+        apart = of.join(star.select(F.col("u").alias("first"), F.col("v").alias("id")), ["first", "id"], "left_anti").where("id <> first")
+        a, b = apart.alias("a"), of.alias("b")
+        rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & near("a", "b", FAR_BITS)).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
+        edges = edges.unionByName(star).unionByName(verified(cut(rest.distinct())))
+    found = components(edges)
     labelled = cut(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", "rep", F.coalesce("label", "rep").alias("label")))
     least = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
     by_class = labelled.join(least, "label").select("same", "component_id")

@@ -130,6 +130,25 @@ def test_near_duplicates(spark, empty):
     assert S.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_template(spark):
+    """A bucket of hundreds of documents, most of a template, whose similar pairs are not similar to the first."""
+    draw = random.Random(29)
+    words = [f"t{i}" for i in range(30_000)]
+    template, rows = draw.choices(words, k=180), []
+    for k in range(300):
+        own = draw.choices(words, k=60)
+        other = list(own)
+        for at in (10, 30):
+            other[at] = draw.choice(words)
+        edited = list(template)
+        edited[90] = draw.choice(words)
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(edited + other))]
+    want = near_brute(rows)
+    assert sum(a != b for a, b in want.items()) == 300
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 598  # a pair meets with a chance of 0.997
+
+
 def test_near_duplicates_with_repeats(spark):
     """Equal bodies but for an edit, one with a word many times over: the sets are similar, whatever the counts."""
     draw = random.Random(11)
