@@ -27,7 +27,7 @@ from cubelark.llm.queries import table, tokenizer
 from cubelark.llm.simhash import near_duplicates
 
 #: A document goes if it is toxic with at least this probability.
-REJECTED = 0.5
+REJECTED = 0.3
 #: Share of the tokens that mixing keeps.
 KEPT_TOKENS = 0.5
 

@@ -9,9 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cubelark.llm.common import held_out
 from cubelark.llm import queries, token_counts, toxicity
 from cubelark.llm.packing import chained, pack
-from tests.llm.conftest import SMALL
+from tests.llm.conftest import MEDIUM, SMALL
 from tests.llm.test_dedup import exact_brute, near_brute, pairs_of
 
 MODEL, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -130,6 +131,19 @@ def test_pipeline_stages(spark):
     packed_checked(pieces, dict(pairs_of(mixed)), 4096, 0.02)
 
 
+def test_pipeline_rejects_held_out_toxic_documents(spark):
+    """Recall and false alarms of the stage itself on labels that no model learned from."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet").where("toxic is not null").join(docs.where(held_out()), "doc_id", "left_semi").select("doc_id", "toxic").distinct().collect()
+    kept = {r[0] for r in corpus_pipeline.remove_toxic(spark, docs, MEDIUM).select("doc_id").collect()}
+    predicted = {r.doc_id for r in queries.op8_toxicity(spark, MEDIUM).where("predicted = 1").select("doc_id").collect()}
+    assert predicted and kept.isdisjoint(predicted)
+    rejected = {k: [r.doc_id not in kept for r in labels if r.toxic == k] for k in (0, 1)}
+    recall, alarms = (sum(rejected[k]) / len(rejected[k]) for k in (1, 0))
+    print("stage", corpus_pipeline.REJECTED, recall, alarms, len(rejected[1]), len(rejected[0]))
+    assert recall >= 0.6 and alarms <= 0.05
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
