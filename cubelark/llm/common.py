@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ FOLDS, HELD_OUT_FOLD = 4, 2
 
 
 def held_out(id_column: str = "doc_id"):
-    """Column: true for rows that no model may learn from."""
-    return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(FOLDS)) == F.lit(HELD_OUT_FOLD)
+    """Column: true for rows that no model may learn from; false for a null id, which no model learns from either."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(FOLDS)) == F.lit(HELD_OUT_FOLD), F.lit(False))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cubelark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -44,6 +48,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, eager steps hand Python workers at most so many rows at once: for rows that hold whole sequences."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,8 +27,8 @@ from cubelark.llm.common import spread, written
 
 #: Open windows of a partition; the smallest gap that is filled by a cut; partitions whose open windows are merged together.
 OPEN_WINDOWS, LEAST_CUT, MERGED_PARTITIONS = 32, 16, 64
-#: Words whose ids a worker keeps before it starts anew; rows of a batch that a worker returns.
-MOST_WORDS, ROWS = 400_000, 1_000
+#: Words whose ids a worker keeps before it starts anew, and characters of the longest that it keeps; rows of a batch that a worker returns.
+MOST_WORDS, KEPT_CHARS, ROWS = 60_000, 48, 500
 WIDTH = 4  # bytes of an id, little-endian
 COUNTER_BITS, MERGED = 33, 1 << 29
 
@@ -42,8 +42,9 @@ SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <=
 class WordEncoder:
     """Ids of whole texts, as little-endian bytes, for byte-level tokenizers that lower-case, drop white space and never merge across it.
 
-    Each word is encoded by the library once and kept. A simple word goes to the
-    library's merges as letters and punctuation, which are kept apart.
+    Each word is encoded by the library once and kept, unless it is long. A
+    simple word goes to the library's merges as letters and punctuation, which
+    are kept apart.
     """
 
     def __init__(self, path: str):
@@ -56,7 +57,9 @@ class WordEncoder:
         self.parts: dict[str, bytes] = {"": b""}
 
     def _part(self, part: str) -> bytes:
-        found = self.parts[part] = b"".join([t.id.to_bytes(WIDTH, "little") for t in self.merges(part.encode().decode("latin-1").translate(SPELT))])
+        found = b"".join([t.id.to_bytes(WIDTH, "little") for t in self.merges(part.encode().decode("latin-1").translate(SPELT))])
+        if len(part) <= KEPT_CHARS:
+            self.parts[part] = found
         return found
 
     def _word(self, word: str) -> bytes:
@@ -74,8 +77,11 @@ class WordEncoder:
             if len(kept) > MOST_WORDS:
                 kept.clear()
                 kept[""] = b""
+        long = {}
         for w in {w for s in split for w in s}.difference(words):
-            words[w] = self._word(w)
+            (words if len(w) <= KEPT_CHARS else long)[w] = self._word(w)
+        if long:
+            return [b"".join([long[w] if len(w) > KEPT_CHARS else words[w] for w in s]) + end for s in split]
         return [b"".join(map(words.__getitem__, s)) + end for s in split]
 
 

@@ -11,8 +11,8 @@ at the values one bit away from them (for two bits), of which each has 65.
 
 ``near_duplicates`` is for documents whose shingle sets have a Jaccard
 similarity of 0.8 or more. Such fingerprints differ in some 15 % of their bits,
-a radius at which equal blocks prune nothing; so its pairs meet by min-hashes of
-the shingles, SimHash and the pivot table discard, and whole shingle sets verify.
+a radius at which equal blocks prune nothing; so its pairs meet by their rarest
+shingles, SimHash and the pivot table discard, and whole shingle sets verify.
 """
 
 from __future__ import annotations
@@ -23,22 +23,21 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubelark.llm.common import cut, spread, written
+from cubelark.llm.common import batches_of, cut, spread, written
 from cubelark.llm.components import components
 
 #: Reference fingerprints; members of a bucket that are paired up.
 PIVOTS, PAIRED = 16, 64
 SEED = 42
-#: near_duplicates: min-hashes of a band, bands; bits by which verified pairs may differ at most (9.7 and a deviation of 2.9 are expected at 0.8).
-ROWS, BANDS, FAR_BITS = 2, 6, 26
-#: Of each further level, for members of large buckets: min-hashes of a band, bands. A pair at 0.8 meets at a level with a chance of 0.9998.
-LEVELS = ((4, 16), (8, 46))
-_FRESH = [np.array([xxhash.xxh64_intdigest(b"level %d %d" % (k, i)) | 1 for i in range(r * b)], np.uint64) for k, (r, b) in enumerate(LEVELS)]
-_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"min-hash %d" % i) | 1 for i in range(ROWS * BANDS)], np.uint64)
+#: near_duplicates: bits by which verified pairs may differ at most (9.7 and a deviation of 2.9 are expected at 0.8), shingles below which fingerprints discard nothing.
+FAR_BITS, FEW = 28, 40
+#: Pivots in the packed table, a byte each; cells of the frequency sketch; rows that a worker takes at once.
+PACKED, CELLS, CELL_SHIFT, BATCH = 8, 1 << 16, np.uint64(48), 1_000
 _PIVOT_VALUES = [xxhash.xxh64_intdigest(b"pivot %d" % i) - (1 << 63) for i in range(PIVOTS)]
 
 
@@ -139,102 +138,133 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_
     return own.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Of each of ``CELLS`` cells, the shingles of all texts that fall into it: a fixed-size sketch of how common a shingle is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for whole in batches:
+            for t in whole.column(0):
+                total += np.bincount((np.unique(shingle_hashes(t.as_py(), shingle)) >> CELL_SHIFT).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    for r in texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def prefix(n: int, similarity: float) -> int:
+    """Elements of which two sets with that Jaccard similarity share one at least, if both take their first in one order."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def _signatures(texts: DataFrame, shingle: int, similarity: float, frequencies: np.ndarray) -> DataFrame:
+    """(id, same, n, fp, pivots, shingles, keys): the set of shingles, its prefix by rising frequency, and the distances of its fingerprint to the pivots, a byte each."""
+    kind = texts.schema["id"].dataType.simpleString()
+    sent = texts.sparkSession.sparkContext.broadcast(frequencies)
+    pivots = np.array([v % (1 << 64) for v in _PIVOT_VALUES[:PACKED]], np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = sent.value
         for b in batches:
             rows = []
             for i, t in zip(b["id"], b["text"], strict=True):
                 once = np.unique(shingle_hashes(t, shingle))  # the similarity is that of sets
-                least = [int((once * m).min()) if len(once) else 0 for m in _MULTIPLIERS]
-                rows.append((i, signed(fingerprint(once)), signed(xxhash.xxh64_intdigest(once.tobytes())), [signed(x) for x in least], np.unique((once >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "fp", "same", "least", "shingles"])
+                rare = once[np.argsort(common[(once >> CELL_SHIFT).astype(np.int64)], kind="stable")[: prefix(len(once), similarity)]] if len(once) else once
+                fp = fingerprint(once)
+                apart = np.bitwise_count(pivots ^ np.uint64(fp)).astype(np.uint8).tobytes()
+                rows.append((i, signed(xxhash.xxh64_intdigest(once.tobytes())), len(once), signed(fp), int.from_bytes(apart, "little", signed=True), np.unique((once >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes(), rare.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "same", "n", "fp", "pivots", "shingles", "keys"])
 
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, f"id {kind}, fp long, same long, least array<long>, shingles binary")
+    return texts.mapInPandas(run, f"id {kind}, same long, n int, fp long, pivots long, shingles binary, keys array<long>")
 
 
-def _fresh_keys(members: DataFrame, level: int) -> DataFrame:
-    """(id, key) for each band of a level, from min-hashes that no other level has; ``members`` is (id, shingles)."""
-    rows, bands = LEVELS[level]
-    powers = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(rows)], np.uint64)
+def _candidates(a: str, b: str, similarity: float):
+    """Condition: sizes, places of the shared shingle, pivot coordinates and fingerprints of two rows allow the similarity.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys = []
-            for s in b["shingles"]:
-                own = np.frombuffer(s, "<u4").astype(np.uint64) + np.uint64(1)
-                least = np.zeros(rows * bands, np.uint64)
-                for i, m in enumerate(_FRESH[level] if len(own) else ()):
-                    x = own * m
-                    x ^= x >> np.uint64(32)
-                    least[i] = (x * np.uint64(0xD6E8FEB86659FD93)).min()
-                key = (least.reshape(bands, rows) * powers).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
-                key ^= key >> np.uint64(31)
-                keys.append((key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
-            yield pd.DataFrame({"id": b["id"], "keys": keys})
-
-    return spread(members).mapInPandas(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
+    A set has n shingles of which ``at`` come before the shared one. Fingerprints of sets of few shingles say nothing.
+    """
+    n, m, at, to = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
+    sizes = (F.least(n, m) >= F.greatest(n, m) * similarity) & ((F.least(n - at, m - to)) * (1 + similarity) + 1e-9 >= (n + m) * similarity)
+    part = lambda c, i: F.shiftrightunsigned(F.col(f"{c}.pivots"), 8 * i).bitwiseAND(F.lit(255))
+    coordinates = reduce(lambda x, y: x & y, [F.abs(part(a, i) - part(b, i)) <= FAR_BITS for i in range(PACKED)])
+    return sizes & ((F.least(n, m) < FEW) | (coordinates & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= FAR_BITS)))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every row: documents linked by a Jaccard similarity of word shingles of at least ``similarity``.
 
-    A pair at 0.8 meets in some band with a chance of 0.998. Documents with
-    equal shingle sets are one class from the start; null and wordless texts
-    are one class. The members of buckets of over ``paired`` meet again by
-    longer bands of fresh min-hashes, twice (``LEVELS``), which takes a pair at
-    0.8 to 0.997 in all. In buckets that are large even then, members are
-    verified against the first; those that fail are verified against all others
-    of the bucket, so that no link of the bucket is lost. Ids must be long and
-    not null.
+    Two such documents share one of the rarest shingles of either (a fifth of
+    them at 0.8), so all links are found, but for pairs whose fingerprints
+    differ in over ``FAR_BITS`` of 64 bits. Documents with equal shingle sets
+    are one class from the start. The members of each shared shingle are first
+    held against one leader; then only members of different components are
+    held against each other, so a group of copies costs a link for each.
+
+    Null and wordless texts are one class. Repeated rows of an id give repeated
+    rows; rows that share an id but not the text share the component of the id.
+    Other columns are ignored, an empty table gives an empty result. Ids must be
+    long and not null.
     """
-    own = written(_signatures(docs, shingle, id_col, text_col), "signatures")
+    spark = docs.sparkSession
+    texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    with batches_of(spark, BATCH):
+        own = written(_signatures(texts, shingle, similarity, _frequencies(texts, shingle)), "signatures")
     classes = cut(own.groupBy("same").agg(F.min("id").alias("rep")))
-    reps = own.join(classes.withColumnRenamed("rep", "id").withColumnRenamed("same", "own_same"), "id", "left_semi")
-    sketch = with_pivots(written(reps.select("id", "fp", "least"), "sketches"))
-    columns = ["id", "fp", *[f"d{i}" for i in range(PIVOTS)]]
-    sets = own.select("id", "shingles")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reps = own.join(classes.select(F.col("rep").alias("id"), "same"), ["id", "same"], "left_semi")
+    keyed = reps.select("id", "n", "fp", "pivots", F.posexplode("keys").alias("at", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    met = written(keyed.join(shared, "key", "left_semi"), "shared-shingles")
+    # The fewer shingles of its own a member has, the more of the others are near it: it leads.
+    met = written(met.join(met.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id"), "members")
+    sets = own.select("id", "same", "shingles").join(classes.select(F.col("rep").alias("id"), "same"), ["id", "same"], "left_semi").select("id", "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            same = []
-            for x, y in zip(p["a"], p["b"], strict=True):
-                a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
-                same.append(both >= similarity * (len(a) + len(b) - both))
-            yield p.loc[same, ["u", "v"]]
-
-    def verified(met: DataFrame) -> DataFrame:
-        joined = met.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-        return joined.mapInPandas(verify, "u long, v long")
-
-    hashes = F.array(*[F.xxhash64(F.lit(k), *[F.element_at("least", k * ROWS + i + 1) for i in range(ROWS)]) for k in range(BANDS)])
-    keyed, met = sketch.select("id", "fp", *columns[2:], F.explode(hashes).alias("key")), None
-    for level in range(len(LEVELS) + 1):
-        large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > paired))
-        none = large.isEmpty()
-        small = (keyed if none else keyed.join(large, "key", "left_anti")).select("key", *columns)
-        a, b = small.alias("a"), small.alias("b")
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & near("a", "b", FAR_BITS)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-        met = pairs if met is None else met.unionByName(pairs)
-        if none:
+            same = np.zeros(p.num_rows, bool)
+            for k, (x, y) in enumerate(zip(p.column("a"), p.column("b"), strict=True)):
+                a, b = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                if min(len(a), len(b)) >= similarity * max(len(a), len(b)):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    same[k] = both >= similarity * (len(a) + len(b) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([p.column("u").filter(pa.array(same)), p.column("v").filter(pa.array(same))], names=["u", "v"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+        with batches_of(spark, BATCH):
+            return cut(joined.mapInArrow(verify, "u long, v long"))
+
+    def pairs_of(a: DataFrame, b: DataFrame, apart) -> DataFrame:
+        """Pairs (u, v), u the smaller id, of rows of ``a`` and ``b`` with a shingle in common."""
+        a, b = a.alias("a"), b.alias("b")
+        return a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _candidates("a", "b", similarity)).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
+
+    row = ["id", "n", "fp", "pivots", "at"]
+    by_weight = F.struct(F.col("weight"), (-F.col("id")).alias("order"), *row)
+    different, other = F.col("a.id") != F.col("b.id"), F.col("a.label") != F.col("b.label")
+    leaders = met.groupBy("key").agg(F.max(by_weight).alias("l")).select("key", *[F.col(f"l.{c}").alias(c) for c in row])
+    label = components(verified(pairs_of(met, leaders, different)))
+    for last in (False, True):
+        at = met.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        parted = cut(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", by_weight).alias("main")).where("low <> high").select("key", "main"))
+        if parted.isEmpty():
             break
-        at = keyed.join(large.select("key", "first"), "key")
-        if level < len(LEVELS):
-            members = sets.join(cut(at.select("id").distinct()), "id", "left_semi")
-            keyed = written(_fresh_keys(members, level), "keys").join(sketch.select(*columns), "id").select("key", *columns)
-    edges = cut(verified(cut(met.distinct())))
-    if not none:
-        # Those linked to the first of a bucket need no link to each other; the others are held against all of the bucket.
-        of = cut(at.select("key", "first", *columns))
-        star = cut(verified(of.where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()))
-        apart = of.join(star.select(F.col("u").alias("first"), F.col("v").alias("id")), ["first", "id"], "left_anti").where("id <> first")
-        a, b = apart.alias("a"), of.alias("b")
-        rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & near("a", "b", FAR_BITS)).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
-        edges = edges.unionByName(star).unionByName(verified(cut(rest.distinct())))
-    found = components(edges)
-    labelled = cut(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", "rep", F.coalesce("label", "rep").alias("label")))
+        at = written(at.join(parted, "key"), "parted")
+        aside = at.where("label <> main")
+        if last:  # exact: each that is aside of its key's main component against all of the key in other components
+            found = pairs_of(aside, at, other)
+        else:  # a second leader of those aside, for all of the key in other components
+            found = pairs_of(at, aside.groupBy("key").agg(F.max(by_weight).alias("l"), F.max_by("label", by_weight).alias("label")).select("key", "label", *[F.col(f"l.{c}").alias(c) for c in row]), other)
+        more = verified(found)
+        if not more.isEmpty():
+            ends = more.join(label.select(F.col("node").alias("u"), F.col("label").alias("x")), "u", "left").join(label.select(F.col("node").alias("v"), F.col("label").alias("y")), "v", "left")
+            over = components(ends.select(F.coalesce("x", "u").alias("u"), F.coalesce("y", "v").alias("v")))
+            grown = label.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
+            label = cut(grown.unionByName(grown.select(F.col("label").alias("node"), "label")).distinct())
+    labelled = cut(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("same", "rep", F.coalesce("label", "rep").alias("label")))
     least = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
     by_class = labelled.join(least, "label").select("same", "component_id")
     return own.select("id", "same").join(by_class, "same").select(F.col("id").alias(id_col), "component_id")

@@ -1,16 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: on ordinary text, and on the windows
-that set toxic texts apart. Both hold the same ordinary background, so that a
-window's compressed lengths differ only by what the toxic windows add. A window
-is a few whole words, by default one: it is compressed between two fixed
-phrases that both dictionaries hold, since zstandard stores very short input
-raw and starts no match near its end. A window's advantage, the bytes by which
-the toxic dictionary is ahead, depends on its words alone and is kept.
+zstandard trains two dictionaries: one on ordinary text, one on the windows of
+toxic texts that set them apart, as those texts have and repeat them. Both hold
+the same ordinary background, so that a window's compressed lengths differ only
+by what the toxic windows add. A window is a few whole words, by default one:
+it is compressed between two fixed phrases that both dictionaries hold, since
+zstandard stores very short input raw and starts no match near its end. A
+window's advantage, the bytes by which the toxic dictionary is ahead, depends on
+its words alone and is kept.
 
 Features of a text are the numbers and shares of its windows whose advantage
-reaches each of a few thresholds, over the whole text; a logistic curve over
-them is fitted on labelled texts and gives the score.
+reaches each of a few thresholds, over the whole text; their weights are
+calibrated by a logistic curve on labelled texts that no dictionary has seen,
+which gives the score.
 """
 
 from __future__ import annotations
@@ -22,21 +24,23 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubelark.llm.common import held_out, spread
 
-#: Labelled rows of either class that are learned from at most; least bytes of a window; bytes of the dictionaries' background and of their own parts.
-TRAINED, WINDOW, BACKGROUND, OWN = 4_000, 1, 16_384, 16_384
+#: Labelled rows of either class that are learned from at most, their characters in all, and those of one row.
+TRAINED, TRAINED_CHARS, LONGEST = 4_000, 8_000_000, 200_000
+#: Least bytes of a window; bytes of the dictionaries' background and of their own parts; segment and hash lengths of the training of the latter, times that it sees its samples.
+WINDOW, BACKGROUND, OWN, SEGMENT, HASHED, SEEN = 1, 16_384, 4_096, 16, 6, 8
 #: Toxic texts that a window must be in, and how much likelier there than in ordinary ones, to enter the toxic dictionary.
 LEAST_TEXTS, LEAST_ODDS = 3, 25
 #: Bytes by which the toxic dictionary must be ahead, and the share of the window's bytes, for each feature.
 AHEAD, AHEAD_SHARE = (1, 2, 3, 4, 6), (0.25, 0.35, 0.45, 0.55)
 #: Fixed phrases around a window, in capitals, which no lower-cased text has.
 BEFORE, AFTER = b" THE QUICK ONYX GOBLIN JUMPS OVER A LAZY DWARF ", b" PACK MY BOX WITH FIVE DOZEN LIQUOR JUGS "
-#: Windows whose advantage a worker keeps before it starts anew; samples of ordinary text that its dictionary is trained on at most.
-MOST_WINDOWS, SAMPLES = 400_000, 60_000
+#: Windows whose advantage a worker keeps before it starts anew, and bytes of the longest that it keeps.
+MOST_WINDOWS, KEPT_BYTES = 60_000, 64
 PARAMETERS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 5, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY, "write_checksum": 0, "write_content_size": 0, "write_dict_id": 0}
 
 
@@ -73,7 +77,9 @@ class Distance:
         toxic, ordinary = self.lengths
         framed = b"".join((BEFORE, b" ", window, b" ", AFTER))
         ahead = len(ordinary(framed)) - len(toxic(framed))
-        found = self.kept[window] = ahead, ahead / (len(window) + 1)
+        found = ahead, ahead / (len(window) + 1)
+        if len(window) <= KEPT_BYTES:
+            self.kept[window] = found
         return found
 
     def features(self, text: str | None) -> np.ndarray:
@@ -120,13 +126,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 
 def _background(texts: list[str]) -> bytes:
-    samples = [w for t in texts for w in windows(t, 200)][:SAMPLES]
+    samples = [w for t in texts for w in windows(t, 200)]
     try:
         return zstandard.train_dictionary(BACKGROUND, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: they are the dictionary themselves
         return b" ".join(samples)[-BACKGROUND:] or b" "
 
 
+def _own(chosen: list[bytes], texts: list[str]) -> bytes:
+    """The dictionary that is trained on the chosen windows as the texts have them, in their order."""
+    apart = set(chosen)
+    samples = [b" ".join([b"", *found, b""]) for t in texts if (found := [w for w in windows(t) if w in apart])]
+    if sum(map(len, samples)) <= OWN:  # all of it fits
+        return b" ".join([b"", *chosen, b""])
+    try:
+        return zstandard.train_dictionary(OWN, samples * SEEN, k=SEGMENT, d=HASHED).as_bytes()
+    except zstandard.ZstdError:  # too few samples to train on
+        return b" ".join([b"", *chosen, b""])[-OWN:]
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     """The dictionaries learn from every other text, the curve from the rest, whose features are those of unseen texts."""
     toxic, ordinary = ([t for t, y in zip(texts, labels, strict=True) if y == k] for k in (1, 0))
@@ -140,7 +158,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     least = min(LEAST_TEXTS, -(-len(toxic) // 20))
     odds = {w: (n / len(toxic[::2])) / ((in_ordinary[w] + 0.5) / (len(ordinary[::2]) + 1)) for w, n in in_toxic.items() if n >= least}
     chosen = sorted((w for w, o in odds.items() if o >= min(LEAST_ODDS, len(ordinary) / 4)), key=lambda w: (in_toxic[w], w))
-    own = b" ".join([b"", *chosen, b""])[-OWN:]
+    own = _own(chosen, toxic[::2])
     background = _background(ordinary[1::2])
     both = background + own, (background * (1 + len(own) // len(background)))[: len(own)] + background
     prepared = distance(*both)
@@ -149,19 +167,23 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(*both, empty, tuple(map(float, weights)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = TRAINED) -> Model:
-    """Fit on at most about ``most`` labelled rows of either class, chosen by a hash of the id, outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = TRAINED, most_chars: int = TRAINED_CHARS, longest: int = LONGEST) -> Model:
+    """Fit on whole labelled texts outside the held-out fold: of either class the first ``most`` rows by a hash of the id, with ``most_chars`` characters in all.
 
-    Rows with a null id, label or text are not learned from.
+    Rows with a null id, label or text are not learned from, nor are texts of
+    over ``longest`` characters; of repeated labels the largest counts, of
+    repeated ids one row.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
-    share = F.pmod(F.xxhash64(F.col("id"), F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(8)), F.lit(1 << 30))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     limit = F.when(F.col("y") == 1, F.lit(most / max(1, sizes.get(1, 0)))).otherwise(F.lit(most / max(1, sizes.get(0, 0))))
-    chosen = F.broadcast(known.where(share < limit))  # about two times ``most`` ids
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(chosen, "id").select("id", "text", "y").collect()
-    rows = sorted({r["id"]: r for r in rows}.values(), key=lambda r: r["id"])
-    model = fit([r["text"] for r in rows], [r["y"] for r in rows])
+    chosen = F.broadcast(known.where(draw / F.lit(float(1 << 30)) < limit))  # about two times ``most`` ids
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.char_length("text") <= longest)).join(chosen, "id")
+    first = Window.partitionBy("y").orderBy(draw, "id", "text")  # over about two times ``most`` rows
+    bounded = rows.withColumn("n", F.sum(F.char_length("text")).over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("n") <= most_chars)
+    found = sorted({r["id"]: r for r in bounded.select("id", "text", "y").collect()}.values(), key=lambda r: r["id"])
+    model = fit([r["text"] for r in found], [r["y"] for r in found])
     distance.cache_clear()  # the driver scores nothing after this
     return model
 
