@@ -26,6 +26,13 @@ def parse_failed(raw: Column, parsed: Column) -> Column:
     return raw.isNotNull() & (strip(raw) != "") & parsed.isNull()
 
 
+def first_date(candidates: dict[str, Column]) -> tuple[Column, Column]:
+    """DT-03: the first candidate that parses, in order, and its name."""
+    parsed = {n: parse_date(c) for n, c in candidates.items()}
+    name = F.coalesce(*[F.when(when.isNotNull(), F.lit(n)) for n, when in parsed.items()])
+    return F.coalesce(*parsed.values()), name
+
+
 def month_label(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 

@@ -153,6 +153,28 @@ def diagnostic_notes(rows: Sequence[dict]) -> list[str]:
     return out
 
 
+def note(group: Column) -> Column:
+    """EVAL-10: the sentence for a row of ``compare``, as a column."""
+    better = F.when(F.coalesce(F.col("mape_delta"), F.lit(0.0)) < 0, "better").otherwise("not better")
+    figure = lambda c: F.coalesce(F.format_string("%.2f", F.col(c)), F.lit("none"))
+    return F.concat(group, F.lit(": model MAPE "), figure("model_mape"), F.lit(" against "), figure("baseline_mape"), F.lit(", "), better, F.lit(" than the baseline"))
+
+
+def size_hypothesis(df: DataFrame, size: str, small: Sequence[str], large: str, most_large: float = 15.0, least_small: float = 60.0) -> DataFrame:
+    """H-01: rows and shares of the sizes, and whether the small ones and the large one are within bounds."""
+    pct = lambda c: rounded(100.0 * F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n"), 4)
+    counts = df.where(F.col(size).isNotNull()).groupBy(size).agg(F.count(F.lit(1)).alias("n"))
+    one = counts.agg(F.sum("n").cast("bigint").alias("rows"), pct(F.col(size).isin(*small)).alias("small_pct"), pct(F.col(size) == large).alias("large_pct"))
+    return one.withColumn("holds", (F.col("small_pct") > least_small) & (F.col("large_pct") < most_large))
+
+
+def share_difference(df: DataFrame, group: str, condition: Column, a: str, b: str, least: float) -> DataFrame:
+    """H-02: the share of a condition in two groups, their difference in points and whether it is at least so much."""
+    rate = lambda g: rounded(100.0 * F.sum(F.when(F.col(group) == g, F.coalesce(condition, F.lit(False)).cast("int"))) / F.nullif(F.sum((F.col(group) == g).cast("int")), F.lit(0)), 4)
+    one = df.agg(rate(a).alias("a_pct"), rate(b).alias("b_pct"))
+    return one.withColumn("difference", rounded(F.col("a_pct") - F.col("b_pct"), 4)).withColumn("holds", F.col("difference") >= least)
+
+
 def forecast_decision(model: Column, baseline: Column, granularity: str, is_q4_to_q1: Column | None = None) -> Column:
     """EVAL-11: a blend for months; for quarters the lower value where quarter four leads to quarter one."""
     if granularity == "monthly":

@@ -97,6 +97,13 @@ def last_rows(df: DataFrame, keys: Keys, order: str, n: int = 2) -> DataFrame:
     return df.withColumn("from_last", F.row_number().over(w)).where(F.col("from_last") <= n)
 
 
+def last_deltas(df: DataFrame, order: str, columns: Sequence[str], n: int) -> DataFrame:
+    """WIN-14: change against the period before, for the last n periods, the latest first. The table has a row for each period, so they are few."""
+    few = df.orderBy(F.desc(order)).limit(n + 1)
+    w = Window.orderBy(order)
+    return few.withColumns({f"{c}_delta": F.col(c) - F.lag(c).over(w) for c in columns}).orderBy(F.desc(order)).limit(n)
+
+
 def observation_counts(df: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
     """AGG-21: numbers of rows by keys, at each row."""
     return df.withColumns({n: F.count(F.lit(1)).over(Window.partitionBy(*keys)) for n, keys in columns.items()})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -79,6 +80,36 @@ def text_lengths(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _long(df.agg(*aggs), columns, {"mean_length": "double", "longest": "bigint"})
 
 
+def salary_summary(df: DataFrame, low: str, high: str, extreme: float = 1_000_000) -> DataFrame:
+    """DQ-03: what is filled, zero, inverted and extreme, and the ends of either bound; one aggregation, one row."""
+    a, b = F.col(low).cast("double"), F.col(high).cast("double")
+    ends = [x for c, n in ((a, "low"), (b, "high")) for x in (count_if(c.isNotNull()).alias(f"{n}_filled"), F.min(c).alias(f"{n}_least"), F.max(c).alias(f"{n}_most"), rounded(exact_mean(c), 4).alias(f"{n}_mean"))]
+    return df.agg(F.count(F.lit(1)).alias("rows"), *ends, count_if((a <= 0) | (b <= 0)).alias("not_positive"), count_if(a > b).alias("inverted"), count_if((a > extreme) | (b > extreme)).alias("extreme"), count_if(a.isNull() & b.isNull()).alias("missing"))
+
+
+def profile_all(frames: dict[str, DataFrame]) -> DataFrame:
+    """DQ-04: rows, nulls, empty strings, distinct values and a warning level of every column of every source, in one table."""
+    parts = []
+    for name, df in frames.items():
+        aggs = []
+        for f in df.schema.fields:
+            c = F.col(f"`{f.name}`")
+            aggs += [F.max(F.lit(f.dataType.simpleString())).alias(f"{f.name}__type"), F.count(F.lit(1)).alias(f"{f.name}__rows"), count_if(c.isNull()).alias(f"{f.name}__nulls"), count_if(F.trim(c.cast("string")) == "").alias(f"{f.name}__empty"), F.count_distinct(c).alias(f"{f.name}__distinct")]
+        parts.append(_long(df.agg(*aggs), df.columns, {"type": "string", "rows": "bigint", "nulls": "bigint", "empty": "bigint", "distinct": "bigint"}).select(F.lit(name).alias("source"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """RSH-03: n rows by a hash of key and seed: the same ones whatever the order and partitions."""
+    return df.withColumn("_draw", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)).orderBy("_draw", key).limit(n).drop("_draw")
+
+
+def against(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
+    """H-06: per numeric column the share that is filled, the mean, and the correlation with the target; one aggregation."""
+    aggs = [a for c in columns for a in (rounded(100.0 * F.count(c) / F.count(F.lit(1)), 4).alias(f"{c}__filled_pct"), rounded(exact_mean(F.col(c)), 4).alias(f"{c}__mean"), rounded(F.corr(F.col(c).cast("double"), F.col(target).cast("double")), 4).alias(f"{c}__r"))]
+    return _long(df.agg(*aggs), columns, {"filled_pct": "double", "mean": "double", "r": "double"})
+
+
 def date_coverage(df: DataFrame, column: str) -> DataFrame:
     """DT-09: rows by year, with the ends of the range at each."""
     return df.groupBy(F.year(column).alias("year")).agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min(column), "yyyy-MM-dd").alias("first"), F.date_format(F.max(column), "yyyy-MM-dd").alias("last"))
@@ -89,7 +120,7 @@ def roles(df: DataFrame) -> DataFrame:
     aggs, out = [F.count(F.lit(1)).alias("_rows")], []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`").cast("string")
-        aggs += [F.approx_count_distinct(c).alias(f"{f.name}__distinct"), F.avg(F.char_length(c)).alias(f"{f.name}__length"), F.avg(c.try_cast("timestamp").isNotNull().cast("double")).alias(f"{f.name}__dates")]
+        aggs += [F.count_distinct(c).alias(f"{f.name}__distinct"), F.avg(F.char_length(c)).alias(f"{f.name}__length"), F.avg(c.try_cast("timestamp").isNotNull().cast("double")).alias(f"{f.name}__dates")]
     for f in df.schema.fields:
         unique = F.col(f"`{f.name}__distinct`") / F.col("_rows")
         named = any(w in f.name.lower() for w in ("id", "uuid", "guid", "url", "link"))

@@ -94,6 +94,11 @@ class Mart:
         return facets.select("f.facet", "f.value").where("value is not null").distinct()
 
 
+    def health(self) -> DataFrame:
+        """API-07 over the mart: its rows and latest period; the status is ok if there is a row."""
+        return self.data.agg(F.count(F.lit(1)).alias("rows"), F.max(self.period).cast("string").alias("latest")).select(F.when(F.col("rows") > 0, "ok").otherwise("empty").alias("status"), "rows", "latest")
+
+
 def health() -> dict[str, str]:
     """API-07."""
     return {"status": "ok"}

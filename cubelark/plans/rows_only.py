@@ -1,21 +1,13 @@
-"""Queries that SQL cannot express: models, streams and file formats."""
+"""Queries that SQL cannot express: models."""
 
 from __future__ import annotations
 
-import os
-import sqlite3
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cubelark.operators import metrics as M
-from cubelark.plans import canonical, model
-from cubelark.plans.queries import Query, monthly, observed
-from cubelark.plans.star import SEGMENT, table
-from cubelark.session import scratch
-from cubelark.sources import readers
-from cubelark.streaming import event_stream, run_to_table, windowed_cube
+from cubelark.plans import model
+from cubelark.plans.queries import Query, observed
+from cubelark.plans.star import SEGMENT
 
 ROWS_ONLY: dict[str, Query] = {}
 NUMERIC = ("median_salary_mid", "mean_salary_mid", "vacancy_count", "salary_count", "remote_share", "full_time_share", "data_quality_score", "gap_to")
@@ -40,45 +32,3 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
     rows = M.time_split(observed(spark, d).where("target is not null and median_salary_mid is not null"), "month_idx")
     found = model.grid_search(rows, "target", NUMERIC, SEGMENT, {"maxDepth": (2, 4), "maxIter": (5,)})
     return spark.createDataFrame([(int(r["maxDepth"]), int(r["maxIter"]), r["mape"], r["mae"]) for r in found], "max_depth int, max_iter int, mape double, mae double")
-
-
-@query
-def stream_cube(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly windows of the event stream; the last one stays open."""
-    to = scratch(spark, "stream")
-    run_to_table(windowed_cube(event_stream(spark, f"{d}/events.parquet")), f"{to}/out", f"{to}/checkpoint")
-    return spark.read.parquet(f"{to}/out")
-
-
-@query
-def sqlite_scan(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-05 over a database that is made of the 25 nations."""
-    path = os.path.join(tempfile.mkdtemp(prefix="cubelark-"), "nations.sqlite")
-    rows = [tuple(r) for r in table(spark, d, "nation").limit(25).collect()]
-    with sqlite3.connect(path) as c:
-        c.execute("create table nation (n_nationkey, n_name, n_regionkey)")
-        c.executemany("insert into nation values (?, ?, ?)", rows)
-    return readers.read_sqlite(spark, path, table="nation", columns=())
-
-
-@query
-def ragged_csv(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-03: lines with surplus separators, made of parts' names."""
-    to = scratch(spark, "ragged")
-    lines = table(spark, d, "part").select(F.concat_ws("|", F.col("p_partkey").cast("string"), F.replace("p_name", F.lit(" "), F.lit("|")), F.col("p_brand")).alias("value"))
-    lines.write.text(to)
-    return readers.read_ragged(spark, to, ["id", "resp", "brand"], merged="resp")
-
-
-@query
-def canonical_records(spark: SparkSession, d: str) -> DataFrame:
-    """The canonical plan over customers as rows of a raw source."""
-    c = table(spark, d, "customer")
-    raw = c.select(F.col("c_custkey").cast("string").alias("id"), F.lit("open").alias("type"), F.lit("2022-03-04").alias("date_of_post"), F.col("c_mktsegment").alias("title"), F.col("c_name").alias("company"), F.lit("Москва").alias("location"), F.concat(F.lit("от "), F.format_string("%.0f", F.abs("c_acctbal") + 1), F.lit(" RUR")).alias("salary"), F.lit("between1And3").alias("experience"), F.lit("Полный день").alias("job_type"), F.lit("").alias("description"), F.lit("").alias("key_skills"))
-    return canonical.process_source(raw, "hh_kaggle").records.select("source_key", "vacancy_month", "salary_from", "salary_currency", "experience_group", "schedule_type", "is_duplicate", F.array_join("quality_flags", ",").alias("flags"))
-
-
-@query
-def naive_cube_report(spark: SparkSession, d: str) -> DataFrame:
-    """The monthly cube's conservation check."""
-    return monthly(spark, d).agg(F.sum("vacancy_count").alias("vacancies"), F.count(F.lit(1)).alias("segments"))

@@ -38,5 +38,9 @@ def ship_package(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder, or in a temporary one where none is set (tests)."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="cubelark-")
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="cubelark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Sequence
 from functools import reduce
@@ -37,7 +38,7 @@ def require_path(spark: SparkSession, path: str, hint: str = "") -> str:
 
 def header(spark: SparkSession, path: str, separator: str) -> list[str]:
     first = spark.read.text(path).limit(1).first()
-    return [] if first is None else [c.strip().strip('"') for c in first[0].split(separator)]
+    return [] if first is None else [c.strip() for c in next(csv.reader([first[0]], delimiter=separator), [])]
 
 
 def read_ragged(spark: SparkSession, path: str, columns: Sequence[str] | None = None, separator: str = "|", merged: str = MERGED_COLUMN) -> DataFrame:
@@ -102,7 +103,7 @@ def read_any(spark: SparkSession, path: str, limit: int | None = None, columns:
     if suffix == ".parquet":
         df = spark.read.parquet(path)
     elif suffix in (".sqlite", ".db"):
-        df = read_sqlite(spark, path, table=None)
+        df = read_sqlite(spark, path, table=None, limit=limit)
     elif suffix == ".csv":
         df = read_csv(spark, path, sniff_separator(spark, path))
     else:

@@ -8,7 +8,7 @@ from datetime import date, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", partition_by: Sequence[str] = ()) -> None:
@@ -24,11 +24,21 @@ def plain(value: Any) -> Any:
     return value.item() if hasattr(value, "item") else str(value)
 
 
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small document through the file system of its path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def write_json(report: dict | DataFrame, path: str) -> None:
     """SNK-03: a report of one row, or a small dictionary."""
     found = report.first() if isinstance(report, DataFrame) else None
     data = found.asDict(recursive=True) if found is not None else ({} if isinstance(report, DataFrame) else report)
-    Path(path).write_text(json.dumps(data, ensure_ascii=False, indent=2, default=plain), encoding="utf-8")
+    put(SparkSession.active(), path, json.dumps(data, ensure_ascii=False, indent=2, default=plain))
 
 
 def write_metrics(df: DataFrame, path: str, separator: str = ",") -> None:
@@ -36,9 +46,10 @@ def write_metrics(df: DataFrame, path: str, separator: str = ",") -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
 
 
-def write_excel_csv(df: DataFrame, path: str, rows: int = 100_000) -> None:
-    """SNK-05: a small table for spreadsheets: semicolons and a byte order mark, written by the driver, ``rows`` at most."""
-    df.limit(rows).toPandas().to_csv(path, sep=";", index=False, encoding="utf-8-sig")
+def write_excel_csv(df: DataFrame, path: str) -> None:
+    """SNK-05: one file for spreadsheets: semicolons and a byte order mark, all rows, written by a task."""
+    first, *rest = df.columns
+    df.coalesce(1).toDF("\ufeff" + first, *rest).write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
 
 
 def markdown(df: DataFrame, title: str, rows: int = 50) -> str:

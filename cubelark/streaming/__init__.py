@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubelark.functions.exact import exact_sum
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Events of a folder (or of one table's file) as a stream; event time is a timestamp, as watermarks ask."""
@@ -22,7 +24,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def windowed_cube(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Tumbling windows by kind of event; rows later than ``late`` are left out."""
     g = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum"), F.max("value").alias("value_max")).select(F.col("w.start").alias("window_start"), "event_type", "n", "value_sum", "value_max")
+    return g.agg(F.count(F.lit(1)).alias("n"), exact_sum(F.col("value")).alias("value_sum"), F.max("value").alias("value_max")).select(F.col("w.start").alias("window_start"), "event_type", "n", "value_sum", "value_max")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -31,7 +33,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return g.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "user_id", "n")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """All that is there now, exactly once, to a table of files."""
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", seconds: int | None = None) -> None:
+    """All that is there now, exactly once, to a table of files; with ``seconds`` no longer than that, to go on from the checkpoint next time."""
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    if not q.awaitTermination(*([seconds] if seconds else [])) and seconds:
+        q.stop()

@@ -6,8 +6,14 @@ import os
 import duckdb
 import pytest
 
+from cubelark.plans.cleaning import CLEANING
+from cubelark.plans.cleaning_sql import CLEANING_SQL
+from cubelark.plans.files import FILES, FILES_SQL
 from cubelark.plans.oracles import ORACLES
 from cubelark.plans.queries import QUERIES
+from cubelark.plans.rows_only import ROWS_ONLY
+
+ALL, SQL = QUERIES | CLEANING | FILES, ORACLES | CLEANING_SQL | FILES_SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,12 +38,13 @@ def bag(rows, order):
 
 
 def test_catalogues_match():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) and set(CLEANING) == set(CLEANING_SQL) and set(FILES) == set(FILES_SQL)
+    assert len(ALL) == len(QUERIES) + len(CLEANING) + len(FILES) and not set(ALL) & set(ROWS_ONLY)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, sql, name):
-    df, ref = QUERIES[name](spark, DATA), sql.sql(ORACLES[name])
+    df, ref = ALL[name](spark, DATA), sql.sql(SQL[name])
     assert sorted(df.columns) == sorted(ref.columns)
     names = sorted(df.columns)
     assert bag(df.collect(), [df.columns.index(n) for n in names]) == bag(ref.fetchall(), [ref.columns.index(n) for n in names])

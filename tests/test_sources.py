@@ -59,7 +59,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_metrics(df, str(tmp_path / "m"))
     assert readers.read_metrics(spark, str(tmp_path / "m")).first()["n"] == 1
     sinks.write_excel_csv(df, str(tmp_path / "x.csv"))
-    assert (tmp_path / "x.csv").read_bytes().startswith(b"\xef\xbb\xbf")
+    sheet = next((tmp_path / "x.csv").glob("part-*")).read_bytes()
+    assert sheet.startswith(b"\xef\xbb\xbf") and sheet.decode("utf-8-sig") == "n;s\n1;a|b\n"
     assert "a\\|b" in sinks.markdown(df, "t")
 
 
