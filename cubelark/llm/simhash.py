@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     differ in over ``FAR_BITS`` of 64 bits. Documents with equal shingle sets
     are one class from the start. The members of each shared shingle are first
     held against one leader; then only members of different components are
-    held against each other, so a group of copies costs a link for each.
+    held against each other, so a group of copies costs about a link for each.
 
     Null and wordless texts are one class. Repeated rows of an id give repeated
     rows; rows that share an id but not the text share the component of the id.
@@ -244,26 +244,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     row = ["id", "n", "fp", "pivots", "at"]
     by_weight = F.struct(F.col("weight"), (-F.col("id")).alias("order"), *row)
-    different, other = F.col("a.id") != F.col("b.id"), F.col("a.label") != F.col("b.label")
     leaders = met.groupBy("key").agg(F.max(by_weight).alias("l")).select("key", *[F.col(f"l.{c}").alias(c) for c in row])
-    label = components(verified(pairs_of(met, leaders, different)))
-    for last in (False, True):
-        at = met.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        parted = cut(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", by_weight).alias("main")).where("low <> high").select("key", "main"))
-        if parted.isEmpty():
-            break
+    label = components(verified(pairs_of(met, leaders, F.col("a.id") != F.col("b.id"))))
+    # Of each key, the members aside of the leader's component against all that are in another component than they.
+    at = met.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    parted = cut(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", by_weight).alias("main")).where("low <> high").select("key", "main"))
+    if not parted.isEmpty():
         at = written(at.join(parted, "key"), "parted")
-        aside = at.where("label <> main")
-        if last:  # exact: each that is aside of its key's main component against all of the key in other components
-            found = pairs_of(aside, at, other)
-        else:  # a second leader of those aside, for all of the key in other components
-            found = pairs_of(at, aside.groupBy("key").agg(F.max(by_weight).alias("l"), F.max_by("label", by_weight).alias("label")).select("key", "label", *[F.col(f"l.{c}").alias(c) for c in row]), other)
-        more = verified(found)
-        if not more.isEmpty():
-            ends = more.join(label.select(F.col("node").alias("u"), F.col("label").alias("x")), "u", "left").join(label.select(F.col("node").alias("v"), F.col("label").alias("y")), "v", "left")
-            over = components(ends.select(F.coalesce("x", "u").alias("u"), F.coalesce("y", "v").alias("v")))
-            grown = label.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
-            label = cut(grown.unionByName(grown.select(F.col("label").alias("node"), "label")).distinct())
+        more = verified(pairs_of(at.where("label <> main"), at, F.col("a.label") != F.col("b.label")))
+        ends = more.join(label.select(F.col("node").alias("u"), F.col("label").alias("x")), "u", "left").join(label.select(F.col("node").alias("v"), F.col("label").alias("y")), "v", "left")
+        over = components(ends.select(F.coalesce("x", "u").alias("u"), F.coalesce("y", "v").alias("v")))
+        grown = label.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
+        label = grown.unionByName(grown.select(F.col("label").alias("node"), "label")).distinct()
     labelled = cut(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("same", "rep", F.coalesce("label", "rep").alias("label")))
     least = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
     by_class = labelled.join(least, "label").select("same", "component_id")
