@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 EXACT = "decimal(18,6)"
+#: Of the approximate pass of exact quantiles of a whole table.
+ACCURACY = 100_000
 
 
 def rounded(x: Column | str, digits: int = 0) -> Column:
@@ -36,6 +40,40 @@ def quantile(x: Column, q: float, over: WindowSpec | None = None, digits: int =
     return rounded(p if over is None else p.over(over), digits)
 
 
+def quantiles(x: Column, at: Sequence[float], digits: int = 6) -> list[Column]:
+    """Several exact quantiles of one column from one state."""
+    found = F.percentile(x.cast("double"), F.array(*[F.lit(q) for q in at]))
+    return [rounded(F.get(found, F.lit(i)), digits) for i in range(len(at))]
+
+
+def global_quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a whole table's column, none of whose states holds more than a sliver of the values.
+
+    An approximate pass bounds the two ranks that a quantile lies between; an
+    exact one counts what is below and keeps only the values within the bounds.
+    """
+    x = F.col(column).cast("double")
+    rows = df.where(x.isNotNull())
+    margin = 2 / ACCURACY
+    bounds = F.percentile_approx(x, F.array(*[F.lit(b) for q in at for b in (max(0.0, q - margin), min(1.0, q + margin))]), ACCURACY)
+    n, ends = rows.agg(F.count(F.lit(1)), bounds).first()
+    if not n:
+        return [None] * len(at)
+    spans = [(q * (n - 1), *ends[2 * i : 2 * i + 2]) for i, q in enumerate(at)]
+    below = rows.agg(*[F.sum((x < low).cast("bigint")) for _, low, _ in spans]).first()
+    out: list[float | None] = []
+    for (place, low, high), skipped in zip(spans, below, strict=True):
+        within = rows.where(x.between(low, high)).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()  # about 4 / ACCURACY of the values, or a few that are frequent
+        ranks, seen = [], skipped
+        for r in within:
+            ranks.append((seen, seen + r["n"], r["v"]))
+            seen += r["n"]
+        value = lambda k: next(v for a, b, v in ranks if a <= k < b)  # noqa: E731, B023
+        a = value(int(place))
+        out.append(a + (value(min(int(place) + 1, n - 1)) - a) * (place - int(place)) if place > int(place) else a)
+    return out
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Sum of value times weight over the sum of weights, over rows with a value and a positive weight; the plain mean where there is none."""
     valid = value.isNotNull() & (weight > 0)

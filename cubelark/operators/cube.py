@@ -1,4 +1,4 @@
-"""Segment cubes, shares and re-aggregation. Null is a group of its own, and nothing is joined back by nullable keys."""
+"""Segment cubes, shares and re-aggregation. Null is a group of its own, and is one in the joins as well."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubelark.functions.exact import exact_mean, quantile, rounded, share, weighted_mean
+from cubelark.functions.exact import exact_mean, quantile, quantiles, rounded, share, weighted_mean
 
 MONTHLY_KEYS = ("source_dataset", "vacancy_month", "country", "region", "federal_district", "occupation_group", "occupation_code", "experience_group", "employment_type", "schedule_type")
 SALARY_MEASURES = ("median_salary_mid", "mean_salary_mid", "p25_salary_mid", "p75_salary_mid", "median_salary_from", "median_salary_to")
@@ -41,10 +41,8 @@ def monthly_cube(rows: DataFrame, keys: Sequence[str] = MONTHLY_KEYS) -> DataFra
     measures = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("vacancy_count"),
         F.count("salary_mid").alias("salary_count"),
-        quantile(F.col("salary_mid"), 0.5).alias("median_salary_mid"),
+        *[c.alias(f"{n}_salary_mid") for n, c in zip(("p25", "median", "p75"), quantiles(F.col("salary_mid"), (0.25, 0.5, 0.75)), strict=True)],
         exact_mean(F.col("salary_mid")).alias("mean_salary_mid"),
-        quantile(F.col("salary_mid"), 0.25).alias("p25_salary_mid"),
-        quantile(F.col("salary_mid"), 0.75).alias("p75_salary_mid"),
         quantile(F.col("salary_from"), 0.5).alias("median_salary_from"),
         quantile(F.col("salary_to"), 0.5).alias("median_salary_to"),
         share(F.col("is_remote")).alias("remote_share"),

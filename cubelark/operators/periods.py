@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubelark.functions.exact import exact_mean, exact_sum, pct_change, quantile, ratio, rounded
+from cubelark.functions.exact import exact_mean, exact_sum, global_quantiles, pct_change, quantile, ratio, rounded
+from cubelark.operators.cube import null_safe_join
 
 Keys = Sequence[str]
 
@@ -41,7 +42,11 @@ def observed(df: DataFrame, keys: Keys, order: str, value: str, target: str, gap
 
 
 def past_statistics(df: DataFrame, keys: Keys, order: str, value: str, prefix: str = "segment_previous") -> DataFrame:
-    """WIN-04 to WIN-07: number, mean, median and sample deviation of the earlier rows."""
+    """WIN-04 to WIN-07: number, mean, median and sample deviation of the earlier rows.
+
+    The median's frame grows with the periods of a segment: meant for months
+    and quarters, some hundreds at most, not for finer periods.
+    """
     w, x = past(keys, order), F.col(value)
     return df.withColumns({f"{prefix}_observation_count": F.row_number().over(along(keys, order)) - 1, f"{prefix}_salary_mean": exact_mean(x, w), f"{prefix}_salary_median": quantile(x, 0.5, w), f"{prefix}_salary_std": rounded(F.stddev_samp(x).over(w), 4)})
 
@@ -86,9 +91,10 @@ def rolling(df: DataFrame, keys: Keys, order: str, column: str, width: int = 2)
 
 def impute_by_group(df: DataFrame, column: str, keys: Keys) -> DataFrame:
     """NULL-03 and WIN-13: the group's median, else the global one, which is one row."""
-    everything = df.agg(quantile(F.col(column), 0.5).alias("_all"))
-    own = quantile(F.col(column), 0.5, Window.partitionBy(*keys))
-    return df.crossJoin(F.broadcast(everything)).withColumn(f"{column}_imputed", F.coalesce(F.col(column), own, F.col("_all"))).drop("_all")
+    everything = global_quantiles(df, column, [0.5])[0]
+    own = df.groupBy(*keys).agg(quantile(F.col(column), 0.5).alias("_own"))  # a row for each group, joined as Spark finds its size
+    filled = F.coalesce(F.col(column), F.col("_own"), rounded(F.lit(everything).cast("double"), 6))
+    return null_safe_join(df, own, keys, "left").withColumn(f"{column}_imputed", filled).drop("_own")
 
 
 def last_rows(df: DataFrame, keys: Keys, order: str, n: int = 2) -> DataFrame:
@@ -105,8 +111,11 @@ def last_deltas(df: DataFrame, order: str, columns: Sequence[str], n: int) -> Da
 
 
 def observation_counts(df: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
-    """AGG-21: numbers of rows by keys, at each row."""
-    return df.withColumns({n: F.count(F.lit(1)).over(Window.partitionBy(*keys)) for n, keys in columns.items()})
+    """AGG-21: numbers of rows by keys, at each row: counted before the shuffle and joined, so no task holds a key's rows."""
+    out = df
+    for n, keys in columns.items():
+        out = null_safe_join(out, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)), keys)
+    return out
 
 
 def transition(quarter: Column, target_quarter: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubelark.functions.exact import exact_mean, quantile, rounded
+from cubelark.functions.exact import exact_mean, global_quantiles, quantile, rounded
 from cubelark.functions.text import MISSING_PLACEHOLDERS
 from cubelark.operators.cube import count_if
 
@@ -52,12 +52,11 @@ def duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5, both: bool = True, floor: float | None = None) -> DataFrame:
     """AGG-20: rows outside the quartiles by a factor of their distance; upper side only with ``both`` off, never below ``floor``."""
-    q = df.agg(F.percentile(F.col(column).cast("double"), F.lit(0.25)).alias("q1"), F.percentile(F.col(column).cast("double"), F.lit(0.75)).alias("q3"))
-    high = F.col("q3") + factor * (F.col("q3") - F.col("q1"))
-    q = q.withColumns({"low": F.col("q1") - factor * (F.col("q3") - F.col("q1")), "high": F.greatest(high, F.lit(floor)) if floor is not None else high})
+    q1, q3 = (F.lit(q).cast("double") for q in global_quantiles(df, column, [0.25, 0.75]))
+    low, high = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
+    high = F.greatest(high, F.lit(floor)) if floor is not None else high
     x = F.col(column)
-    joined = df.select(column).crossJoin(F.broadcast(q))
-    return joined.agg(F.count(x).alias("n"), rounded(F.max("q1"), 6).alias("q1"), rounded(F.max("q3"), 6).alias("q3"), count_if(x < F.col("low") if both else F.lit(False)).alias("below"), count_if(x > F.col("high")).alias("above"))
+    return df.agg(F.count(x).alias("n"), rounded(q1, 6).alias("q1"), rounded(q3, 6).alias("q3"), count_if(x < low if both else F.lit(False)).alias("below"), count_if(x > high).alias("above"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str], least: float = 0.0, top: int = 30) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cubelark.functions.text import hash_form, strip
 from cubelark.operators.cube import count_if
+from cubelark.session import scratch
 
 # Columns of the row hash and of the fallback key, in order.
 HASH_COLUMNS = ("source_dataset", "source_vacancy_id", "source_url", "title_raw", "employer_name", "region", "city", "vacancy_date_raw", "salary_from", "salary_to")
@@ -48,9 +49,21 @@ def quality_flags(flags: dict[str, Column]) -> tuple[Column, Column]:
 
 
 def numbered_groups(df: DataFrame, key: str) -> DataFrame:
-    """WIN-16: a dense number of each duplicated key; only those keys are ordered."""
+    """WIN-16: a dense number of each duplicated key, in the order of the keys.
+
+    The keys are dealt out by range and sorted in their partitions; a number is
+    the place in the partition, which the low bits of the increasing id are,
+    after the keys of the partitions before.
+    """
+    spark = df.sparkSession
     twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.withColumn("group_number", F.dense_rank().over(Window.orderBy(key)) - 1)
+    dealt = twice.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+    to = scratch(spark, "numbered")
+    dealt.withColumn("_id", F.monotonically_increasing_id()).write.parquet(to)  # once: the ranges come from a sample
+    placed = spark.read.parquet(to).withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row for each partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    return placed.join(F.broadcast(before), "_part").select(key, "n", (F.col("_before") + F.col("_place")).cast("int").alias("group_number"))
 
 
 def schema_gate(frames: dict[str, DataFrame], required: Sequence[str]) -> dict[str, dict[str, list[str]]]:

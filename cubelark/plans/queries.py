@@ -20,6 +20,7 @@ from cubelark.operators import quality as Q
 from cubelark.operators.serving import Mart
 from cubelark.plans import datasets as D
 from cubelark.plans.star import KEYS, SEGMENT, records, table
+from cubelark.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,7 +133,7 @@ def broad_quarterly_dataset(spark, d):
 
 @query
 def support_features(spark, d):
-    return D.with_support(monthly(spark, d).select(*SEGMENT, "month_idx"), SEGMENT)
+    return D.with_support(mart(spark, d).data.select(*SEGMENT, "month_idx"), SEGMENT)
 
 
 @query
@@ -215,8 +216,17 @@ def forecast_decision(spark, d):
     return transitions(spark, d).select(*SEGMENT, "quarter_idx", rounded(M.forecast_decision(model, base, "quarterly", turn), 6).alias("quarterly"), rounded(M.forecast_decision(model, base, "monthly"), 6).alias("monthly"))
 
 
+MARTS: dict[tuple[str, str], DataFrame] = {}
+
+
 def mart(spark: SparkSession, d: str) -> Mart:
-    return Mart(monthly(spark, d).withColumn("period", month_label_of(F.col("month_idx"))), "period", "monthly", GROUPS)
+    """The mart that the interface reads: stored once for a session and its tables, in folders by period."""
+    key = spark.sparkContext.applicationId, d
+    if key not in MARTS:
+        to, rows = scratch(spark, "mart"), monthly(spark, d).withColumn("period", month_label_of(F.col("month_idx")))
+        rows.repartition("period").write.partitionBy("period").parquet(to)
+        MARTS[key] = spark.read.schema(rows.schema).parquet(to)
+    return Mart(MARTS[key], "period", "monthly", GROUPS)
 
 
 CHOSEN = {"source_dataset": "nr", "region": "ASIA", "occupation_group": None}
@@ -411,7 +421,7 @@ def rolling2(spark, d):
 
 @query
 def group_median_impute(spark, d):
-    return P.impute_by_group(monthly(spark, d), "median_salary_mid", ["source_dataset", "occupation_group"]).select(*SEGMENT, "month_idx", "median_salary_mid_imputed")
+    return P.impute_by_group(mart(spark, d).data, "median_salary_mid", ["source_dataset", "occupation_group"]).select(*SEGMENT, "month_idx", "median_salary_mid_imputed")
 
 
 @query
