@@ -50,11 +50,31 @@ def _library():
 
 
 def test_chunks_compose(monkeypatch):
-    text = "Reihen von  Wörtern, words and   numbers 123456 unbelievablyinternationalisation " * 5
-    want = len(_library().encode(text))
-    for chunk in (1, 2, 3, 7, 64):
-        monkeypatch.setattr(token_counts, "CHUNK", chunk)
-        assert token_counts.transducer(MODEL).count(text) == want
+    """Any chunk size and any head, short ones that don't forget the entry state included; with and without spaces."""
+    spaced = "Some  words, 12345 and ünïcödé 你好 😀 tokens-with-dashes " * 4
+    machine = token_counts.transducer(MODEL)
+    for text in (spaced, spaced.replace(" ", ""), "abcabdabe" * 40):
+        want = len(_library().encode(text))
+        for chunk in (1, 2, 3, 7, 64):
+            for head in (0, 1, 5, 512):
+                monkeypatch.setattr(token_counts, "CHUNK", chunk)
+                monkeypatch.setattr(token_counts, "HEAD", head)
+                assert machine.count(text) == want
+                marked = token_counts.MARK + text.replace(" ", token_counts.MARK)
+                maps = [machine.chunk(marked[i : i + chunk]) for i in range(0, len(marked), chunk)]
+                left = maps[0]
+                for m in maps[1:]:
+                    left = machine.then(left, m)
+                assert machine.apply(machine.start, left) == machine.apply(machine.start, machine.composed(maps))
+
+
+def test_long_texts_over_several_tasks(spark, docs):
+    """Long texts, one of them without a space, in chunks that are rows of their own; repeated and null ids among them."""
+    rows = [(1, "abc" * 70_000), (1, "abc" * 70_000), (None, "word " * 40_000), (2, "short"), (3, None), (4, "你好" * 50_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_counts.token_counts(table, MODEL, limit=4096, long=1_000).collect()
+    want = [(i, len((t or "").encode()), len(_library().encode(t or ""))) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=str) == sorted(want, key=str)
 
 
 def encoded(text):
