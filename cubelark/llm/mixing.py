@@ -1,10 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token weights of the cells (source, language, topic) are raked: dimension by
-dimension they are scaled to the target marginals, until the largest relative
-error of a marginal is small. A cell's factor, its raked weight over its tokens,
-times the one constant that meets the wanted number of tokens, capped at 1, is
-the probability with which its documents are kept, by a hash of the identifier.
+The tokens to keep of the cells (source, language, topic) are raked: dimension
+by dimension they are scaled to the target marginals of the wanted number of
+tokens, none above the tokens that the cell has, until the largest relative
+error of a marginal or the change of a round is small. A cell's raked tokens
+over its tokens are the probability with which its documents are kept, by a hash
+of the identifier; as no cell goes beyond its own tokens, the probabilities meet
+the marginals wherever the corpus can. A value without enough tokens is kept
+whole, and its shortfall is not made up for by others.
 
 Cells are aggregated by Spark. Up to ``MOST_CELLS`` of them are raked as one
 small array; beyond that the same steps run as DataFrame aggregations.
@@ -21,8 +24,8 @@ from pyspark.sql import types as T
 
 from cubelark.llm.common import cut
 
-#: Rounds of raking at most, relative error at which it ends, cells that are raked on the driver, halvings of the constant's interval.
-ROUNDS, CLOSE, MOST_CELLS, HALVINGS = 200, 1e-9, 50_000, 60
+#: Rounds of raking at most, relative error or change at which it ends, cells that are raked on the driver.
+ROUNDS, CLOSE, MOST_CELLS = 200, 1e-9, 50_000
 NONE = "(none)"
 Targets = Mapping[str, Mapping[str, float] | None]
 
@@ -33,45 +36,35 @@ def tokens_of(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by the form of the text."""
+    """A coarse topic by what the text holds, the first that applies: tables, license terms, contacts, listings of short lines, prose."""
     t = F.coalesce(text, F.lit(""))
-    return F.when(F.instr(t, " | ") > 0, "table").when(F.lower(t).rlike("licen[sc]e"), "legal").when(F.char_length(t) >= 4000, "long").when(F.char_length(t) < 200, "short").otherwise("prose")
+    lines = F.char_length(t) - F.char_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    return F.when(F.instr(t, " | ") > 0, "table").when(F.lower(t).rlike("licen[sc]e|copyright"), "legal").when(t.rlike("@[A-Za-z0-9-]+[.]|[+][0-9]{2}"), "contact").when(lines * 60 > F.char_length(t) + 60, "listing").otherwise("prose")
 
 
-def rake(cells: np.ndarray, codes: list[np.ndarray], wanted: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
-    """Weights of the cells whose sums over each dimension are proportional to ``wanted``; a value without tokens cannot get any and its share is spread over the others."""
-    w = cells.astype(float).copy()
-    total = w.sum()
+def rake(cells: np.ndarray, codes: list[np.ndarray], wanted: list[np.ndarray], budget: float, rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
+    """Tokens to keep of the cells, none above ``cells``: their sums over each dimension are ``budget`` in the shares ``wanted``, where the cells allow it.
+
+    A value without tokens cannot get any; its share is spread over the others.
+    """
+    total = cells.sum()
+    w = cells * (min(1.0, budget / total) if total > 0 else 0.0)
     for _ in range(rounds):
-        worst = 0.0
+        before, worst = w, 0.0
         for code, want in zip(codes, wanted, strict=True):
             have = np.bincount(code, w, minlength=len(want))
             goal = np.where(have > 0, want, 0)
             if goal.sum() <= 0:
                 continue
-            goal = goal / goal.sum() * total
+            goal = goal / goal.sum() * budget
             factor = np.divide(goal, have, out=np.zeros_like(have), where=have > 0)
             worst = max(worst, float(np.abs(factor[(have > 0) & (goal > 0)] - 1).max(initial=0)))
-            w *= factor[code]
-        if worst <= close:
+            w = np.minimum(cells, w * factor[code])
+        if worst <= close or np.abs(w - before).max(initial=0) <= close * max(budget, 1e-300):
             break
     return w
 
 
-def constant(tokens: np.ndarray, factor: np.ndarray, budget: float) -> float:
-    """c with sum(tokens * min(1, c * factor)) equal to the budget, or as near as it can be."""
-    if not (factor > 0).any():
-        return 0.0
-    low, high = 0.0, 1 / factor[factor > 0].min()
-    for _ in range(HALVINGS):
-        mid = (low + high) / 2
-        if (tokens * np.minimum(1, mid * factor)).sum() < budget:
-            low = mid
-        else:
-            high = mid
-    return high
-
-
 def _tempered(sums: dict[str, float], power: float) -> dict[str, float]:
     """Shares that a value's tokens to a power give: between those of the input (1) and equal ones (0)."""
     raised = {k: v**power if v > 0 else 0.0 for k, v in sums.items()}
@@ -80,7 +73,7 @@ def _tempered(sums: dict[str, float], power: float) -> dict[str, float]:
 
 
 def mix(docs: DataFrame, dimensions: Mapping[str, Column], tokens: Column, targets: Targets | None = None, keep_share: float = 0.5, power: float = 0.5, seed: int = 17, id_col: str = "doc_id", most_cells: int = MOST_CELLS) -> DataFrame:
-    """Every row as ``row`` with its cell (one string column per dimension), tokens, weight, probability and kept.
+    """Every row as ``row`` with its cell (one string column per dimension), tokens, weight (its chance over ``keep_share``), probability and kept.
 
     ``targets`` gives a dimension the shares its values should have; a dimension
     without any gets the shares of its token sums to the power ``power``. A
@@ -89,64 +82,59 @@ def mix(docs: DataFrame, dimensions: Mapping[str, Column], tokens: Column, targe
     is a hash of the identifier, so repeated rows are kept or left together; a
     null id is hashed as such. An empty table gives an empty result.
     """
-    names = list(dimensions)
+    names = [f"_d{i}" for i in range(len(dimensions))]  # so that no name clashes
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("_id"), F.greatest(F.coalesce(tokens, F.lit(0)).cast("long"), F.lit(0)).alias("tokens"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in dimensions.items()])
-    cells = cut(rows.groupBy(*names).agg(F.sum("tokens").alias("sum")))
-    shares = {}
-    for n in names:
-        given = (targets or {}).get(n)
-        sums = {r[n]: float(r["s"] or 0) for r in cells.groupBy(n).agg(F.sum("sum").alias("s")).collect()}  # values of one dimension
-        shares[n] = {k: float(given.get(k, 0.0)) for k in sums} if given is not None else _tempered(sums, power)
-    if cells.count() <= most_cells:
-        factors = _raked_here(cells, names, shares, keep_share)
-    else:
-        factors = _raked_by_spark(cells, names, shares, keep_share)
+    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("_id"), F.greatest(F.coalesce(tokens, F.lit(0)).cast("long"), F.lit(0)).alias("_tokens"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in zip(names, dimensions.values(), strict=True)])
+    cells = cut(rows.groupBy(*names).agg(F.sum("_tokens").alias("_sum")))
+    given = {n: (targets or {}).get(d) for n, d in zip(names, dimensions, strict=True)}
+    few = cells.count() <= most_cells
+    factors = (_raked_here if few else _raked_by_spark)(cells, names, given, keep_share, power)
     drawn = F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    joined = rows.join(F.broadcast(factors) if cells.count() <= most_cells else factors, names, "left")
-    return joined.select("row", *names, "tokens", "weight", "probability", (drawn < F.col("probability")).alias("kept"))
+    joined = rows.join(F.broadcast(factors) if few else factors, names, "left")
+    return joined.select("row", *[F.col(n).alias(d) for n, d in zip(names, dimensions, strict=True)], F.col("_tokens").alias("tokens"), "weight", "probability", (drawn < F.col("probability")).alias("kept"))
 
 
-def _raked_here(cells: DataFrame, names: list[str], shares: dict[str, dict[str, float]], keep_share: float) -> DataFrame:
+def _raked_here(cells: DataFrame, names: list[str], given: Targets, keep_share: float, power: float) -> DataFrame:
     spark = cells.sparkSession
-    found = sorted(tuple(r) for r in cells.select(*names, "sum").collect())
+    found = sorted(tuple(r) for r in cells.select(*names, "_sum").collect())
     sums = np.array([r[-1] or 0 for r in found], float)
     codes, wanted = [], []
     for i, n in enumerate(names):
-        values = sorted(shares[n])
+        values = sorted({r[i] for r in found})
         place = {v: k for k, v in enumerate(values)}
         codes.append(np.array([place[r[i]] for r in found], int))
-        wanted.append(np.array([shares[n][v] for v in values], float))
-    raked = rake(sums, codes, wanted)
-    factor = np.divide(raked, sums, out=np.zeros_like(sums), where=sums > 0)
-    c = constant(sums, factor, keep_share * sums.sum())
+        own = np.bincount(codes[-1], sums, minlength=len(values))
+        shares = _tempered(dict(zip(values, own.tolist(), strict=True)), power) if given[n] is None else given[n]
+        wanted.append(np.array([float(shares.get(v, 0.0)) for v in values], float))
+    raked = rake(sums, codes, wanted, keep_share * sums.sum())
+    chance = np.divide(raked, sums, out=np.zeros_like(sums), where=sums > 0)
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("weight", T.DoubleType()), T.StructField("probability", T.DoubleType())])
-    return spark.createDataFrame([(*r[:-1], float(f), float(min(1.0, c * f))) for r, f in zip(found, factor, strict=True)], schema)
+    return spark.createDataFrame([(*r[:-1], float(c / keep_share if keep_share else 0.0), float(c)) for r, c in zip(found, chance, strict=True)], schema)
 
 
-def _raked_by_spark(cells: DataFrame, names: list[str], shares: dict[str, dict[str, float]], keep_share: float) -> DataFrame:
-    """The same for very many cells: a round is one aggregation and one join a dimension, and the lineage is cut."""
+def _raked_by_spark(cells: DataFrame, names: list[str], given: Targets, keep_share: float, power: float) -> DataFrame:
+    """The same for very many cells: a round is an aggregation and a join a dimension, one job for its end and one for its error. Only sums of the whole table reach the driver."""
     spark = cells.sparkSession
-    at = cells.withColumn("w", F.col("sum").cast("double"))
-    total = float(cells.agg(F.sum("sum")).first()[0] or 0)
-    goals = {n: spark.createDataFrame(list(s.items()), f"`{n}` string, goal double") for n, s in shares.items()}
+    budget = keep_share * float(cells.agg(F.sum("_sum")).first()[0] or 0)
+    goals = {}
+    for n in names:
+        if given[n] is None:
+            goals[n] = cut(cells.groupBy(n).agg(F.sum("_sum").alias("s")).select(n, F.when(F.col("s") > 0, F.pow(F.col("s").cast("double"), F.lit(power))).otherwise(0.0).alias("goal")))
+        else:
+            goals[n] = spark.createDataFrame([(k, float(v)) for k, v in given[n].items()], f"`{n}` string, goal double")
+    at = cells.withColumn("w", F.col("_sum") * F.lit(min(1.0, keep_share)))
     for _ in range(ROUNDS):
-        worst = 0.0
+        at, errors = cut(at.withColumn("_before", F.col("w"))), []
         for n in names:
-            have = at.groupBy(n).agg(F.sum("w").alias("have")).join(goals[n], n).withColumn("goal", F.when(F.col("have") > 0, F.col("goal")).otherwise(0.0))
-            full = float(have.agg(F.sum("goal")).first()[0] or 0)
-            if full <= 0:
-                continue
-            factor = have.select(n, F.when(F.col("have") > 0, F.col("goal") / full * total / F.col("have")).otherwise(0.0).alias("f"))
-            worst = max(worst, float(factor.where("f > 0").agg(F.max(F.abs(F.col("f") - 1))).first()[0] or 0))
-            at = cut(at.join(factor, n).withColumn("w", F.col("w") * F.col("f")).drop("f"))
-        if worst <= CLOSE:
+            have = at.groupBy(n).agg(F.sum("w").alias("have")).join(goals[n], n, "left").select(n, "have", F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0))).otherwise(0.0).alias("goal"))
+            full = have.agg(F.sum("goal").alias("full"))  # one row
+            factor = have.crossJoin(F.broadcast(full)).select(n, F.when(F.col("full") <= 0, 1.0).when(F.col("have") > 0, F.col("goal") / F.col("full") * budget / F.col("have")).otherwise(0.0).alias("f"))
+            errors.append(n)
+            at = at.join(factor, n).withColumn("w", F.least(F.col("_sum").cast("double"), F.col("w") * F.col("f"))).withColumn(f"_e{n}", F.when(F.col("f") > 0, F.abs(F.col("f") - 1)).otherwise(0.0)).drop("f")
+        at = cut(at)
+        error, change = at.agg(F.max(F.greatest(*[F.col(f"_e{n}") for n in errors], F.lit(0.0))), F.max(F.abs(F.col("w") - F.col("_before")))).first()
+        at = at.select(*names, "_sum", "w")
+        if (error or 0) <= CLOSE or (change or 0) <= CLOSE * max(budget, 1e-300):
             break
-    at = at.withColumn("weight", F.when(F.col("sum") > 0, F.col("w") / F.col("sum")).otherwise(0.0))
-    least = at.where("weight > 0").agg(F.min("weight")).first()[0]
-    low, high = 0.0, 1 / least if least else 0.0
-    for _ in range(HALVINGS if high else 0):
-        mid = (low + high) / 2
-        kept = float(at.agg(F.sum(F.col("sum") * F.least(F.lit(1.0), F.lit(mid) * F.col("weight")))).first()[0] or 0)
-        low, high = (mid, high) if kept < keep_share * total else (low, mid)
-    return at.select(*names, "weight", F.least(F.lit(1.0), F.lit(high) * F.col("weight")).alias("probability"))
+    chance = F.when(F.col("_sum") > 0, F.col("w") / F.col("_sum")).otherwise(0.0)
+    return at.select(*names, (chance / F.lit(keep_share) if keep_share else F.lit(0.0)).alias("weight"), chance.alias("probability"))

@@ -40,7 +40,7 @@ AHEAD, AHEAD_SHARE = (1, 2, 3, 4, 6), (0.25, 0.35, 0.45, 0.55)
 #: Fixed phrases around a window, in capitals, which no lower-cased text has.
 BEFORE, AFTER = b" THE QUICK ONYX GOBLIN JUMPS OVER A LAZY DWARF ", b" PACK MY BOX WITH FIVE DOZEN LIQUOR JUGS "
 #: Windows whose advantage a worker keeps before it starts anew, and bytes of the longest that it keeps.
-MOST_WINDOWS, KEPT_BYTES = 200_000, 64
+MOST_WINDOWS, KEPT_BYTES = 400_000, 64
 PARAMETERS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 5, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY, "write_checksum": 0, "write_content_size": 0, "write_dict_id": 0}
 
 

@@ -3,7 +3,7 @@ import pytest
 pytest.importorskip("cubelark.llm")
 P = pytest.importorskip("public_tokenizers")
 
-SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MEDIUM, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="session")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cubelark.llm import langid, mixing, pii, queries, toxicity
 from cubelark.llm.ann import nearest
-from tests.llm.conftest import MEDIUM
+from tests.llm.conftest import LARGE, MEDIUM
 
 
 def vectors(spark, rows):
@@ -41,6 +41,32 @@ def test_nearest_recall(spark):
     assert [i for _, i, _ in got[0]] == list(range(1990, 2000))
 
 
+def test_nearest_on_the_table_over_shards(spark):
+    """Every query of ``embeddings`` against brute force, with the table over several shards."""
+    table = spark.read.parquet(f"{LARGE}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.select("vec_id", "embedding").collect() if r.embedding and all(c is not None and np.isfinite(c) for c in r.embedding) and any(r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    got = {}
+    for r in nearest(table, F.pmod("vec_id", F.lit(100)) == 0, k=10, shard_rows=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    queries_ = [k for k, i in enumerate(ids) if i % 100 == 0]
+    hits = 0
+    for k in queries_:
+        d = ((x - x[k]) ** 2).sum(1)
+        d[k] = np.inf
+        hits += len({int(ids[j]) for j in np.lexsort((ids, d))[:10]} & got[int(ids[k])])
+    print("recall", hits / (10 * len(queries_)))
+    assert hits / (10 * len(queries_)) >= 0.95
+
+
+def test_nearest_of_large_components(spark):
+    """Doubles beyond the range of singles are ranked by their own distances."""
+    rows = [(0, [1e200, 0.0]), (1, [1.5e200, 0.0]), (2, [3e200, 0.0]), (3, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in nearest(frame, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 3), (0, 3, 2)]
+
+
 def test_nearest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 0, 0), (100, [0.0, 0.0], 0, 0), (200, None, 0, 0), (300, [nan, 1.0], 0, 0), (400, [inf, 1.0], 0, 0), (500, [None, 1.0], 0, 0), (1, [2.0, 0.0], 0, 0), (2, [1.0, 0.0], 0, 0), (600, [], 0, 0), (None, [1.0, 0.0], 0, 0)]
@@ -124,13 +150,24 @@ def sources(spark, n=3000):
 def test_raking_meets_marginals():
     cells = np.array([5.0, 1, 2, 7, 3, 3])
     codes, wanted = [np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])], [np.array([0.5, 0.25, 0.25]), np.array([0.7, 0.3])]
-    w = mixing.rake(cells, codes, wanted)
+    w = mixing.rake(cells, codes, wanted, 10.0)
     for code, want in zip(codes, wanted, strict=True):
         assert np.allclose(np.bincount(code, w) / w.sum(), want, atol=1e-8)
 
 
-def test_mixing(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(mixing, "HALVINGS", 25)
+def test_raking_keeps_within_the_cells():
+    """Against brute force: no cell above its tokens, and all marginals met that the cells allow."""
+    cells = np.array([1.0, 9, 2, 8, 30, 30])
+    codes, wanted = [np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])], [np.array([0.25, 0.25, 0.5]), np.array([0.4, 0.6])]
+    w = mixing.rake(cells, codes, wanted, 40.0)
+    assert (w <= cells + 1e-12).all() and w.sum() == pytest.approx(40.0, rel=1e-6)
+    for code, want in zip(codes, wanted, strict=True):
+        assert np.allclose(np.bincount(code, w), 40 * want, rtol=1e-4)
+    short = mixing.rake(cells, codes, [np.array([0.8, 0.1, 0.1]), np.array([0.5, 0.5])], 40.0)
+    assert np.allclose(short[:2], cells[:2]) and (short <= cells + 1e-12).all()  # more is asked of the first value than it has
+
+
+def test_mixing(spark, docs, empty):
     table = sources(spark)
     dims, tokens = {"source": F.col("source"), "lang": F.col("lang")}, mixing.tokens_of(F.col("text"))
     targets = {"source": {"web": 0.4, "code": 0.3, "(none)": 0.3}, "lang": {"en": 0.7, "de": 0.3}}
