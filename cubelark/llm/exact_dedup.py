@@ -7,7 +7,8 @@ text, so equal texts are adjacent. A window over those keys compares whole
 neighbouring texts and takes the smallest identifier and the size of each run.
 
 A text with more than its share of rows is cut into pieces by a hash of the
-identifier, so that no task holds it all. The number of such texts is at most
+identifier and the place in the input, so that no task holds it all, whatever
+identifiers its rows have. The number of such texts is at most
 rows / threshold, the threshold grows with the rows, and so their list is
 bounded by a multiple of the number of partitions. Runs of the pieces meet
 again by comparing whole texts of the run heads, one row for each piece.
@@ -54,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = [tuple(r) for r in keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold).select("_h", F.ceil(F.col("n") / threshold).cast("int")).collect()]  # at most rows / threshold
     if hot:
         table = spark.createDataFrame(hot, T.StructType([T.StructField("_h", T.LongType()), T.StructField("_pieces", T.IntegerType())]))
-        keyed = keyed.join(F.broadcast(table), "_h", "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_pieces")), F.lit(0).cast("bigint")))
+        keyed = keyed.join(F.broadcast(table), "_h", "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.col("_pieces")), F.lit(0).cast("bigint")))
     keys = ["_prefix", "_h", "_piece"] if hot else ["_prefix", "_h"]  # all in the window's keys, so the window needs no exchange of its own
     if carry:  # the text travels once, inside the row
         keyed = keyed.drop("_norm")

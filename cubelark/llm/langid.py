@@ -27,8 +27,8 @@ from cubelark.llm.common import held_out, spread
 
 #: Dimensions; letter classes (0: no letter, 1-26: a-z, the rest by a hash of the letter); texts of a matrix product.
 DIMENSIONS, CLASSES, TOGETHER = 512, 40, 128
-#: Labelled rows that are learned from at most, about; how sharply cosines become a score.
-TRAINED, SHARPNESS = 20_000, 30.0
+#: Labelled rows of a language that are learned from at most, about; how sharply cosines become a score.
+TRAINED, SHARPNESS = 5_000, 30.0
 UNKNOWN = "und"
 GRAMS = CLASSES**3
 
@@ -37,7 +37,7 @@ GRAMS = CLASSES**3
 def letters() -> np.ndarray:
     """The class of each code point."""
     out = np.zeros(0x110000, np.uint8)
-    is_letter = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+    is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     codes = np.flatnonzero(is_letter)
     out[codes] = 27 + (codes * 2654435761 % (1 << 32) >> 7) % (CLASSES - 27)
     for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
@@ -105,14 +105,13 @@ class Prototypes:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAINED) -> Prototypes:
-    """Prototypes from about ``most`` rows at most, chosen by a hash of the id, outside the held-out fold, with non-null language and text.
+    """Prototypes from about ``most`` rows of each language at most, chosen by a hash of the id, outside the held-out fold, with non-null language and text.
 
     The bundle of a language is a sum, made in the tasks and then by Spark over (language, dimension); only the prototypes reach the driver.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out("id"), F.lit(False)))
-    share = most / max(1, docs.count() * 3 / 4)
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    sizes = known.groupBy("lang").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("share"))  # a row for each language
+    known = known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)).drop("share")
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -37,11 +39,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidates of the added kinds.
 EXTRA = {
     "phone_local": re.compile(r"(?<![\w+])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"),
-    "email_spelt": re.compile(r"[A-Za-z0-9._%+-]{2,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{2,64} ?[\[(]dot[\])] ?[A-Za-z]{2,10}", re.I),
+    "email_spelt": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,} ?[\[(]at[\])] ?[A-Za-z0-9-]{2,} ?[\[(]dot[\])] ?[A-Za-z]{2,}", re.I),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*\d)(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}(?!\w)"),
-    "name": re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-ZÀ-Þ][\w'-]{1,30}(?: [A-ZÀ-Þ][\w'-]{1,30})?"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*\d)(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?!\w)"),
+    "name": re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)?"),
 }
 #: Gazetteers and context words: small, fixed lists.
 CONTEXT = {
@@ -113,6 +115,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     votes packs one digit of base 3 for each labeler (0 nothing, 1 no, 2 yes), features one bit for each.
     """
     out = []
+    starts, ends = [a for _, a, _ in taken], list(accumulate((b for _, _, b in taken), max))  # taken is by start
     digit = _DIGIT.search(text)
     for kind, pattern in EXTRA.items():
         if kind in ("phone_local", "ssn", "iban", "secret") and not digit:
@@ -121,7 +124,8 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             continue
         for m in pattern.finditer(text):
             a, b, s = m.start(), m.end(), m[0]
-            if any(x < b and a < y for _, x, y in taken):
+            before_end = bisect_left(starts, b)
+            if before_end and ends[before_end - 1] > a:
                 continue
             before = text[max(0, a - BEFORE) : a].lower()
             digits = sum(c.isdigit() for c in s)

@@ -137,7 +137,7 @@ def _own(chosen: list[bytes], texts: list[str]) -> bytes:
     """The dictionary that is trained on the chosen windows as the texts have them, in their order."""
     apart = set(chosen)
     samples = [b" ".join([b"", *found, b""]) for t in texts if (found := [w for w in windows(t) if w in apart])]
-    if sum(map(len, samples)) <= OWN:  # all of it fits
+    if sum(len(w) + 1 for t in texts for w in apart.intersection(windows(t))) <= OWN:  # all that they have fits
         return b" ".join([b"", *chosen, b""])
     try:
         return zstandard.train_dictionary(OWN, samples * SEEN, k=SEGMENT, d=HASHED).as_bytes()

@@ -50,6 +50,9 @@ def test_exact_hot_text(spark, monkeypatch):
     monkeypatch.setattr(E, "LEAST_HOT", 8)
     rows = [(1000 - i, "the same\ttext") for i in range(300)] + [(i, f"text {i % 17}") for i in range(40)] + [(None, "the same text")]
     exact_checked(E.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    rows = [(None, "the same text")] * 200 + [(7, "other text")] * 200 + [(8, "other text")]
+    got = E.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.kept for r in got].count(True) == 2 and {(r.keep_id, r.group_size) for r in got} == {(None, 200), (7, 201)}
 
 
 def fingerprint_brute(text):
