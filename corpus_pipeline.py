@@ -8,7 +8,8 @@ as the next one's documents.
 Every stage takes null texts as empty, null sources and languages as a value of
 their own, repeated rows and empty tables, and keeps further columns of its
 input up to the last. Documents with a null id pass the toxicity stage and are
-left out by exact dedup unless their text has no other.
+left out by exact dedup unless their text has no other; then they stay to the
+end. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ KEPT_TOKENS = 0.5
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below ``REJECTED``; scores go by the id, and a null id is kept."""
+    """Documents whose toxicity score is below ``REJECTED``. Scores go by the text: rows of one text go or stay together, whatever their ids."""
     scored = tox.toxicity(docs, tox.train(docs, table(spark, sf_dir, "labels")), threshold=REJECTED, carry=True)
     return scored.where("predicted = 0").select("row.*")
 
@@ -44,7 +45,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id.
+
+    Rows without an id stay. Rows that share an id go together: they go if any
+    of their texts is near one of a document with a smaller id.
+    """
     groups = near_duplicates(docs, shingle=5, similarity=0.8)
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
@@ -69,6 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``, each written to the shared folder and read again; the last one's rows.
+
+    An empty table gives no rows. The stages' tables stay for whoever wants to
+    look at them; the folder is the cluster's to clear.
+    """
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/cubelark-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
