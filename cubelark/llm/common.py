@@ -34,18 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: columns can be pruned and the files are compressed."""
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: its lineage is cut, it survives the loss of executors, columns can be pruned and the files are compressed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cubelark-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cubelark_path = path
+    return back
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a written table. A checkpoint would compute the last stage twice, once for its count."""
+    return written(df)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cubelark_path)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @contextmanager

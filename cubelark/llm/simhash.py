@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubelark.llm.common import batches_of, cut, spread, written
+from cubelark.llm.common import batches_of, cut, discard, spread, written
 from cubelark.llm.components import components
 
 #: Reference fingerprints; members of a bucket that are paired up.
@@ -216,9 +216,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     reps = own.join(classes.select(F.col("rep").alias("id"), "same"), ["id", "same"], "left_semi")
     keyed = reps.select("id", "n", "fp", "pivots", F.posexplode("keys").alias("at", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    met = written(keyed.join(shared, "key", "left_semi"), "shared-shingles")
+    common = written(keyed.join(shared, "key", "left_semi"), "shared-shingles")
     # The fewer shingles of its own a member has, the more of the others are near it: it leads.
-    met = written(met.join(met.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id"), "members")
+    met = written(common.join(common.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id"), "members")
+    discard(common)
     sets = own.select("id", "same", "shingles").join(classes.select(F.col("rep").alias("id"), "same"), ["id", "same"], "left_semi").select("id", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         pairs = cut(pairs.distinct())
         joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
         with batches_of(spark, BATCH):
-            return cut(joined.mapInArrow(verify, "u long, v long"))
+            found = cut(joined.mapInArrow(verify, "u long, v long"))
+        discard(pairs)
+        return found
 
     def pairs_of(a: DataFrame, b: DataFrame, apart) -> DataFrame:
         """Pairs (u, v), u the smaller id, of rows of ``a`` and ``b`` with a shingle in common."""
@@ -256,6 +259,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         over = components(ends.select(F.coalesce("x", "u").alias("u"), F.coalesce("y", "v").alias("v")))
         grown = label.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
         label = grown.unionByName(grown.select(F.col("label").alias("node"), "label")).distinct()
+        discard(at)
+    discard(met)
     labelled = cut(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("same", "rep", F.coalesce("label", "rep").alias("label")))
     least = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
     by_class = labelled.join(least, "label").select("same", "component_id")
