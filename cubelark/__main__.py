@@ -57,7 +57,14 @@ def parser() -> argparse.ArgumentParser:
     command("prepare", "kind")
     command("baseline", "kind")
     command("train", "kind")
+    command("tune", "kind", "grid")
     command("backtest", "kind", "periods")
+    command("tune-backtest", "kind", "periods", "grid")
+    command("ensemble", "kind", "periods")
+    command("transitions", "kind")
+    command("errors", "target", "model", "keys")
+    command("markdown", "title")
+    command("excel")
     command("evaluate", "target", "model", "baseline", "keys")
     return p
 
@@ -85,6 +92,14 @@ def main(argv: list[str] | None = None) -> DataFrame | None:
             out = build(a.kind, indexed(df))
         elif a.command == "evaluate":
             out = M.compare(df, a.target, a.model, a.baseline, a.keys.split(","))
+        elif a.command == "errors":
+            out = M.group_errors(df, a.target, a.model, a.keys.split(","))
+        elif a.command == "markdown":
+            print(sinks.markdown(df, a.title or a.input))
+            return df
+        elif a.command == "excel":
+            sinks.write_excel_csv(df, a.output)
+            return df
         else:
             order, target = ("month_idx", DATASETS[a.kind]) if "monthly" in a.kind else ("quarter_idx", DATASETS[a.kind])
             numeric = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "bigint", "int") and not f.name.startswith(("target", "gap_to")) and f.name != order]
@@ -95,11 +110,24 @@ def main(argv: list[str] | None = None) -> DataFrame | None:
                 rows = M.time_split(df, order)
                 fitted = model.fit(rows, target, numeric, categorical)
                 if a.output:
-                    fitted.write().overwrite().save(f"{a.output}-model")
+                    model.save_artefacts(fitted, spark, f"{a.output}-artefacts", numeric, categorical, {})
                 print(json.dumps(model.importances(fitted, numeric, categorical)[:20], ensure_ascii=False))
                 out = model.predict(fitted, rows, numeric, categorical)
+            elif a.command == "tune":
+                found = model.grid_search(M.time_split(df, order), target, numeric, categorical, json.loads(a.grid))
+                out = spark.createDataFrame([{k: float(v) for k, v in r.items()} for r in found])
+            elif a.command == "transitions":
+                out = M.evaluate(df, target, "median_salary_mid", ["quarter_transition"])
             else:
-                out = model.backtest(df, target, numeric, categorical, order, [int(p) for p in a.periods.split(",")])
+                periods = [int(p) for p in a.periods.split(",")]
+                if a.command == "tune-backtest":
+                    out = model.backtest_search(df, target, numeric, categorical, order, periods, json.loads(a.grid), "median_salary_mid")
+                elif a.command == "ensemble":
+                    folds = model.fold_predictions(df, target, numeric, categorical, order, periods)
+                    scores = M.evaluate_strategies(folds, target, M.strategies(F.col("prediction"), F.col("median_salary_mid")), ["fold"])
+                    out = M.fold_summary(scores, ["strategy"], "fold").orderBy("mean_mape", "worst_mape", "strategy")
+                else:
+                    out = model.backtest(df, target, numeric, categorical, order, periods)
     if a.output:
         sinks.write_parquet(out, a.output)
     else:

@@ -14,11 +14,12 @@ from itertools import product
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubelark.functions.money import from_log_ratio
 from cubelark.operators import metrics as M
+from cubelark.sources import sinks
 
 MISSING = "__MISSING__"
 DEFAULTS = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "seed": 42}
@@ -56,7 +57,7 @@ def importances(model: PipelineModel, numeric: Sequence[str], categorical: Seque
 
 
 def grid_search(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], grid: dict[str, Iterable[float]]) -> list[dict]:
-    """ML-10: candidates by the error on the validation split, best first."""
+    """ML-10: candidates by the error on the validation split, best first, ties by the absolute error."""
     out = []
     for values in product(*grid.values()):
         params = dict(zip(grid, values, strict=True))
@@ -66,15 +67,40 @@ def grid_search(df: DataFrame, target: str, numeric: Sequence[str], categorical:
     return sorted(out, key=lambda r: (r["mape"], r["mae"]))
 
 
-def backtest(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], order: str, periods: Sequence[int], **params: float) -> DataFrame:
-    """ML-11, ML-12: a model for each fold, its test rows scored; the folds' rows are united and scored in one job."""
+def fold_predictions(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], order: str, periods: Sequence[int], **params: float) -> DataFrame:
+    """ML-12: a model for each fold; the test rows of all folds with their predictions."""
     parts = []
     for p in periods:
         rows = df.where(F.col(order) <= p).withColumn("split", F.when(F.col(order) == p, "test").when(F.col(order) == p - 1, "validation").otherwise("train"))
         parts.append(predict(fit(rows, target, numeric, categorical, **params), rows.where("split = 'test'"), numeric, categorical).withColumn("fold", F.lit(int(p))))
 
 
-    return M.evaluate(reduce(lambda a, b: a.unionByName(b), parts), target, "prediction", ["fold"])
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def backtest(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], order: str, periods: Sequence[int], **params: float) -> DataFrame:
+    """ML-12: the folds' scorecards, in one job after the fits."""
+    return M.evaluate(fold_predictions(df, target, numeric, categorical, order, periods, **params), target, "prediction", ["fold"])
+
+
+def backtest_search(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], order: str, periods: Sequence[int], grid: dict[str, Iterable[float]], baseline: str) -> DataFrame:
+    """ML-11: candidates by their folds: the smallest mean error first, then the smallest worst error, then the largest share of folds better than the baseline.
+
+    A row for each candidate; the fits run one after another, the scorecards of a candidate in one job.
+    """
+    names, parts = list(grid), []
+    for k, values in enumerate(product(*grid.values())):
+        found = fold_predictions(df, target, numeric, categorical, order, periods, **dict(zip(names, values, strict=True)))
+        scored = M.compare(found, target, "prediction", baseline, ["fold"])
+        parts.append(M.fold_summary(scored.withColumnRenamed("model_mape", "mape").select(F.lit(k).alias("candidate"), "fold", "mape", "baseline_mape"), ["candidate"], "fold", baseline="baseline_mape").select(*[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)], "*"))
+    return reduce(lambda a, b: a.unionByName(b), parts).orderBy("mean_mape", "worst_mape", F.desc("better_share"), "candidate")
+
+
+def save_artefacts(model: PipelineModel, spark: SparkSession, path: str, numeric: Sequence[str], categorical: Sequence[str], params: dict[str, float]) -> None:
+    """SNK-06: the model, its parameters as a document and the importances as a table, under one folder."""
+    model.write().overwrite().save(f"{path}/model")
+    sinks.write_json(DEFAULTS | params | {"numeric": list(numeric), "categorical": list(categorical)}, f"{path}/params.json")
+    sinks.write_metrics(spark.createDataFrame(importances(model, numeric, categorical), "feature string, importance double"), f"{path}/importances")
 
 
 def time_series_splits(df: DataFrame, order: str, n: int = 3) -> DataFrame:
