@@ -164,6 +164,20 @@ def test_pipeline_rejects_held_out_toxic_documents(spark):
     assert recall >= 0.6 and alarms <= 0.05
 
 
+def test_pipeline_of_awkward_rows(spark, docs):
+    """Nulls in any column, repeated rows and ids, and columns with the names that the stages use."""
+    more = docs.select("doc_id", "text", F.when(F.col("doc_id") != 1, F.col("lang")).alias("lang"), F.when(F.col("doc_id") != 2, F.col("source")).alias("source"), F.lit(1).alias("id"), F.lit("x").alias("label"), F.lit(2).alias("_id"), F.lit(3).alias("_tokens"), F.lit(4).alias("score"), F.lit(5).alias("kept"), "row").cache()
+    clean = corpus_pipeline.remove_toxic(spark, more, SMALL)
+    assert clean.columns == more.columns and clean.count() == more.count()
+    once = corpus_pipeline.drop_copies(spark, clean, SMALL).cache()
+    assert once.columns == more.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in once.select("doc_id").collect()) == [(False, 1), (False, 3), (False, 5), (False, 7), (False, 8), (False, 9), (True, 0)]
+    single = corpus_pipeline.drop_near_copies(spark, once, SMALL).cache()
+    assert single.columns == more.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in single.select("doc_id").collect()) == [(False, 1), (False, 3), (False, 5), (False, 7), (False, 8), (True, 0)]  # 3 and 9 have no words
+    mixed = corpus_pipeline.mix_sources(spark, single, SMALL)
+    assert mixed.columns == more.columns and 0 <= mixed.count() <= single.count()
+    assert corpus_pipeline.pack_sequences(spark, single, SMALL).select("doc_id").distinct().count() == 6
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
