@@ -28,7 +28,7 @@ from cubelark.llm.common import spread, written
 #: Open windows of a partition; the smallest gap that is filled by a cut; partitions whose open windows are merged together.
 OPEN_WINDOWS, LEAST_CUT, MERGED_PARTITIONS = 32, 16, 64
 #: Words whose ids a worker keeps before it starts anew, and characters of the longest that it keeps; rows of a batch that a worker returns.
-MOST_WORDS, KEPT_CHARS, ROWS = 150_000, 48, 500
+MOST_WORDS, KEPT_CHARS, ROWS = 400_000, 48, 1_000
 WIDTH = 4  # bytes of an id, little-endian
 COUNTER_BITS, MERGED = 33, 1 << 29
 

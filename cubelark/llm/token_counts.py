@@ -40,7 +40,7 @@ RUN_START = re.compile(f"(?<!{MARK}){MARK}")
 #: Characters of a chunk, of a head in a chunk where no place ends every piece, and of a text beyond which its chunks are rows of their own.
 CHUNK, HEAD, LONG = 1 << 16, 512, 1 << 20
 #: States, words and pairs that a worker keeps before it starts its tables anew; characters of the longest word that it keeps.
-MOST_STATES, MOST_WORDS, MOST_PAIRS, KEPT_CHARS = 100_000, 150_000, 200_000, 48
+MOST_STATES, MOST_WORDS, MOST_PAIRS, KEPT_CHARS = 300_000, 400_000, 800_000, 48
 
 
 class ChunkMap(NamedTuple):
