@@ -61,7 +61,7 @@ def experience(c: Column) -> tuple[Column, Column, Column]:
     t = F.lower(clean_text(c))
     numbers = F.transform(F.regexp_extract_all(t, F.lit(r"(\d+(?:[,.]\d+)?)"), F.lit(1)), lambda n: F.replace(n, F.lit(","), F.lit(".")).try_cast("double"))
     first = F.get(numbers, F.lit(0))
-    rules = [
+    rules = [  # fixed values: spellings and their years
         (t.isin("noexperience", "нет опыта", "без опыта", "0"), 0.0, 0.0),
         ((t == "between1and3") | t.contains("от 1 года до 3 лет"), 1.0, 3.0),
         ((t == "between3and6") | t.contains("от 3 до 6"), 3.0, 6.0),
@@ -89,6 +89,7 @@ def schedule(c: Column, fold_yo: bool = False, part_time_first: bool = False) ->
     def has(*words: str) -> Column:
         return F.lit(False) if not words else t.rlike("|".join(words))
 
+    # Words of each kind of schedule, and the names of the kinds.
     remote, shift, fly = has("remote", "удален", "дистанц"), has("смен", "shift", "график"), has("вахт", "flyinflyout")
     full, part = has("полный") | (t == "fullday"), has("неполный", "part")
     kind = F.when(text.isNull(), UNKNOWN).when(fly, "fly_in_fly_out").when(remote, "remote")

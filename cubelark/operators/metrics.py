@@ -52,6 +52,7 @@ def compare(df: DataFrame, actual: str, model: str, baseline: str, keys: Sequenc
 def strategies(model: Column, baseline: Column, log_delta: Column | None = None, segment_bucket: Column | None = None, region_bucket: Column | None = None, alphas: Sequence[float] = ALPHAS) -> dict[str, Column]:
     """EVAL-03."""
     half = 0.5 * model + 0.5 * baseline
+    # The names of the strategies.
     out = {"always_baseline": baseline, "always_catboost": model}
     out |= {f"blend_alpha_{a:.1f}": a * model + (1 - a) * baseline for a in alphas}
     if segment_bucket is not None:
@@ -69,7 +70,7 @@ def q4_strategies(model: Column, baseline: Column, is_q4_to_q1: Column, mean_rat
     """EVAL-04: other predictions where a quarter four leads to a quarter one."""
     turn = F.coalesce(is_q4_to_q1 == 1, F.lit(False))
     at = lambda p, known=F.lit(True): F.when(turn & known, p).otherwise(model)  # noqa: E731, B008
-    out = {
+    out = {  # fixed values: the names of the strategies and their rates
         "q4_to_q1_min_catboost_baseline": at(F.least(model, baseline)),
         "q4_to_q1_cap_growth_0pct": at(F.least(model, baseline)),
         "q4_to_q1_cap_growth_5pct": at(F.least(model, baseline * 1.05)),
@@ -128,7 +129,7 @@ def slices(df: DataFrame, masks: dict[str, Column], actual: str, predicted: str)
 def support_masks(actual: str, predicted: str) -> dict[str, Column]:
     a, p = F.col(actual), F.col(predicted)
     base = F.col("median_salary_mid")
-    return {
+    return {  # fixed values: the names of the slices and their bounds
         "salary_count_eq_1": F.col("salary_count") == 1, "salary_count_lte_2": F.col("salary_count") <= 2, "vacancy_count_lte_2": F.col("vacancy_count") <= 2,
         "data_quality_score_lt_0_5": F.col("data_quality_score") < 0.5, "abs_salary_change_pct_gt_50": F.abs(100.0 * ratio(a - base, base)) > 50, "catboost_ape_gt_50": 100.0 * ratio(F.abs(p - a), F.abs(a)) > 50,
     }

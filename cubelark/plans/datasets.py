@@ -37,6 +37,7 @@ def _filters(target: str, least: dict[str, float], bound: str | None = None) ->
     return out | {f"{c}_at_least": F.col(c) >= v for c, v in least.items()}
 
 
+# Least counts and quality of the strict and broad datasets.
 STRICT_MONTHLY = {"salary_count": 5, "vacancy_count": 10, "data_quality_score": 0.5}
 STRICT_QUARTERLY = {"months_observed_in_quarter": 1, "salary_count": 2, "vacancy_count": 3, "data_quality_score": 0.3}
 BROAD = {"salary_count": 1, "vacancy_count": 2, "data_quality_score": 0.2}
