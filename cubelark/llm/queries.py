@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cubelark.llm.ann import nearest
 from cubelark.llm.common import held_out
 from cubelark.llm.exact_dedup import exact_dedup
-from cubelark.llm import langid
+from cubelark.llm import langid, sql
+from cubelark.llm.merkle import COLUMNS, lowered, manifest, proofs
 from cubelark.llm.mixing import mix, tokens_of, topic_of
 from cubelark.llm.packing import pack
 from cubelark.llm.passages import repeated_passages
@@ -92,6 +93,13 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), length=50, similarity=0.8, shingle=5)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    made = manifest(table(spark, sf_dir, "documents"), COLUMNS, {"text": F.when(tampered, lowered(F.col("text"))).otherwise(F.col("text"))})
+    siblings = F.array_join(F.concat("proof", "source_proof"), "")
+    return proofs(made).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it uses this module
 
@@ -99,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op6_mixing, op7_simhash, op8_toxicity, op9_packing, op10_passages, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op6_mixing, op7_simhash, op8_toxicity, op9_packing, op10_passages, op13_merkle, pipeline)}
 
 
 OP1 = r"""
@@ -110,4 +118,4 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1}
+    return {"op1_exact_dedup": OP1, "op13_merkle": sql.merkle()}
