@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from cubelark.llm.pii import KINDS, personal_data
 from cubelark.llm.simhash import simhash_components
 from cubelark.llm.token_counts import token_counts
 from cubelark.llm.toxicity import toxicity, train
+from cubelark.llm.vector_codes import group_sums, vector_codes
 
 
 def tokenizer(name: str) -> str:
@@ -93,6 +95,14 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), length=50, similarity=0.8, shingle=5)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes(table(spark, sf_dir, "embeddings"), carry=("label",))
+    numbers = [] if coded.codebooks is None else coded.codebooks.ravel().tolist()
+    digest = hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest()
+    rows = coded.rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label")
+    return group_sums(rows, "label", "error", "label_error").select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     made = manifest(table(spark, sf_dir, "documents"), COLUMNS, {"text": F.when(tampered, lowered(F.col("text"))).otherwise(F.col("text"))})
@@ -107,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op6_mixing, op7_simhash, op8_toxicity, op9_packing, op10_passages, op13_merkle, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op6_mixing, op7_simhash, op8_toxicity, op9_packing, op10_passages, op12_vector_codes, op13_merkle, pipeline)}
 
 
 OP1 = r"""
@@ -118,4 +128,4 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op13_merkle": sql.merkle()}
+    return {"op1_exact_dedup": OP1, "op12_vector_codes": sql.vector_codes(), "op13_merkle": sql.merkle()}

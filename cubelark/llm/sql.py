@@ -43,3 +43,21 @@ def merkle() -> str:
     steps += _paths("p", "SELECT placed.*, '' AS siblings, checked AS folded FROM placed", "p.source", "p.place", "t", DEPTH)
     steps += _paths("q", f"SELECT p.doc_id, p.leaf, p.siblings, p.folded, u.subroot, u.source_place FROM p{DEPTH} p JOIN subroots u ON u.source IS NOT DISTINCT FROM p.source", "0", "p.source_place", "s", TOP_DEPTH)
     return f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, root.hash AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root.hash AS verified FROM q{TOP_DEPTH}, s{TOP_DEPTH} AS root"
+
+
+def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    finite = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = [
+        f"kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, CAST(len(embedding) // {parts} AS BIGINT) AS w FROM embeddings WHERE {finite})",
+        f"cut_up AS (SELECT rid, CAST(p AS BIGINT) AS p, v[p * w + 1 : (p + 1) * w] AS x FROM kept, range({parts}) AS t(p))",
+        f"c0 AS (SELECT p, rid - 1 AS e, x AS c FROM cut_up WHERE rid <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT rid, p, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS best FROM cut_up JOIN c{k} USING (p) GROUP BY rid, p)")
+        if k < rounds:
+            steps.append(f"s{k} AS (SELECT p, e, spot, sum(y) AS s, count(*) AS n FROM (SELECT p, best.e AS e, unnest(x) AS y, generate_subscripts(x, 1) AS spot FROM a{k}) GROUP BY ALL)")
+            steps.append(f"m{k} AS (SELECT p, e, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY spot) AS c FROM s{k} GROUP BY p, e)")
+            steps.append(f"c{k + 1} AS (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))")
+    steps.append(f"books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})")
+    steps.append(f"coded AS (SELECT rid, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), books"
