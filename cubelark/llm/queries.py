@@ -18,6 +18,7 @@ from cubelark.llm.packing import pack
 from cubelark.llm.passages import repeated_passages
 from cubelark.llm.pii import KINDS, personal_data
 from cubelark.llm.simhash import simhash_components
+from cubelark.llm.superminhash import near_duplicate_groups
 from cubelark.llm.token_counts import token_counts
 from cubelark.llm.toxicity import toxicity, train
 from cubelark.llm.vector_codes import group_sums, vector_codes
@@ -95,6 +96,11 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), length=50, similarity=0.8, shingle=5)
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vector_codes(table(spark, sf_dir, "embeddings"), carry=("label",))
     numbers = [] if coded.codebooks is None else coded.codebooks.ravel().tolist()
@@ -117,7 +123,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op6_mixing, op7_simhash, op8_toxicity, op9_packing, op10_passages, op12_vector_codes, op13_merkle, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_ann, op3_token_counts, op4_pii, op5_langid, op6_mixing, op7_simhash, op8_toxicity, op9_packing, op10_passages, op11_superminhash, op12_vector_codes, op13_merkle, pipeline)}
 
 
 OP1 = r"""
