@@ -11,11 +11,11 @@ their next step: a set of many elements needs one or two steps of each.
 Documents meet where all values of a band agree. Of 32 bands of 4 values, two
 sets at a similarity of 0.8 have none in common with a chance of 5e-8. Equal sets
 are one class from the start. The members of a band's bucket are held against
-one leader; the exact similarity to it then is a coordinate by which, together
-with the sizes, all pairs that are too far apart are left out when the members
-of different components are held against each other (Jaccard distance is a
-metric). Every link is confirmed on the full sets. Components are formed by
-rounds of hooking and contraction, a union-find without a shared array.
+one leader. Buckets that are in several components after that hold strangers;
+their pairs are not all looked at, but those that share an element so rare for
+them, so early in either set, that the similarity is possible (prefix filter).
+Every link is confirmed on the full sets. Components are formed by rounds of
+hooking and contraction, a union-find without a shared array.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubelark.llm.common import batches_of, cut, discard, spread, written
@@ -37,6 +37,8 @@ VALUES, ROWS = 128, 4
 TOGETHER = 1 << 16
 #: Rows that a worker takes at once where rows hold whole sets; identifiers that are broadcast at most.
 BATCH, FEW = 500, 1_000_000
+#: Cells of the frequency sketch, and the bits of an element beside its cell.
+CELLS, CELL_SHIFT = 1 << 16, np.uint64(48)
 _A, _B, _STEP = (np.uint64(xxhash.xxh64_intdigest(b"superminhash %d" % i) | 1) for i in range(3))
 
 
@@ -188,14 +190,12 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 2, percent: int = 80,
     near = F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent
     label = components(found.where(near).select("u", "v"))
 
-    # Of each bucket, the members aside of the component of its leader against those of all other components.
+    # Buckets whose members are in several components still: what they hold is joined by prefixes.
     at = members.join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parted = cut(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", order).alias("main")).where("low <> high").select("key", "main"))
-    if not parted.isEmpty():
-        distance = found.select(F.col("u").alias("leader"), F.col("v").alias("node"), (1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("d"))
-        placed = at.select("key", "node", "n", "label").join(parted, "key").join(leaders.select("key", "leader"), "key").join(distance, ["leader", "node"], "left")
-        placed = placed.withColumn("d", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("d")))
-        more = _compared(_apart(written(placed, "parted"), percent), held)
+    parted = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rest = written(at.join(parted, "key", "left_semi").select("node", "n", "label").distinct(), "parted")
+    if not rest.isEmpty():
+        more = _compared(_prefix_pairs(rest, held, percent), held)
         ends = more.where(near).join(label.select(F.col("node").alias("u"), F.col("label").alias("x")), "u", "left").join(label.select(F.col("node").alias("v"), F.col("label").alias("y")), "v", "left")
         over = components(ends.select(F.coalesce("x", "u").alias("u"), F.coalesce("y", "v").alias("v")))
         grown = label.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
@@ -204,7 +204,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 2, percent: int = 80,
     labelled = cut(classes.join(label, "node", "left").select("same", "least", F.coalesce("label", "node").alias("label")))
     low = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = cut(labelled.join(low, "label").select("same", "component_id"))
-    discard(members, leaders, found, held, parted, classes)
+    discard(members, leaders, found, held, rest, classes)
     out = own.select("id", "same", "n").join(by_class, "same", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -229,23 +229,86 @@ def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return out
 
 
-def _apart(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a bucket in different components, one of them aside of the leader's, whose sizes and distances to the leader allow a link.
+def shared_at_least(n: int, m: int, percent: int) -> int:
+    """Elements that sets of n and m have in common at least, at that similarity."""
+    return -(-percent * (n + m) // (100 + percent))
 
-    Rows meet by cells of size and distance, in which linked rows are the same or neighbours, so pairs far apart are not even looked at.
+
+def size_edges(largest: int) -> np.ndarray:
+    """The smallest sizes of the size classes, each about a twentieth above the one before."""
+    out = [1]
+    while out[-1] <= largest:
+        out.append(max(out[-1] + 1, out[-1] * 21 // 20))
+    return np.array(out)
+
+
+def prefixes(n: int, percent: int, edges: np.ndarray) -> list[tuple[bool, int, int]]:
+    """(longer, size class, length): how many of its first elements a set of n must show to partners of a class, as the shorter one of a pair in its own class, and as the longer one in all classes of shorter partners.
+
+    Two sets with so much in common share one of these, in whatever order all sets are sorted.
     """
-    far = 1 - percent / 100
-    size = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int") if percent < 100 else F.col("n").cast("int")
-    cell = F.coalesce(F.floor(F.col("d") / max(far, 1e-6)).cast("int"), F.lit(-1))  # -1: distance to the leader unknown
-    last = int(1 / max(far, 1e-6))
-    rows = placed.withColumns({"s": size, "c": cell})
-    around: Column = F.array(*[F.col("c") + k for k in (-1, 0, 1)])
-    cells = F.when(F.col("c") < 0, F.sequence(F.lit(-1), F.lit(last))).otherwise(F.array_union(around, F.array(F.lit(-1))))
-    a = rows.where("label <> main").withColumn("s", F.explode(F.array(*[F.col("s") + k for k in (-1, 0, 1)]))).withColumn("c", F.explode(cells)).alias("a")
-    b = rows.alias("b")
-    n, m = F.col("a.n"), F.col("b.n")
-    close = F.coalesce(F.abs(F.col("a.d") - F.col("b.d")) <= far + 1e-9, F.lit(True))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.c") == F.col("b.c")) & (F.col("a.label") != F.col("b.label")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & close)
-    swap = F.col("a.node") > F.col("b.node")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return met.select(pick("a.node", "b.node").alias("u"), pick("b.node", "a.node").alias("v"), pick("a.n", "b.n").alias("n"), pick("b.n", "a.n").alias("m"))
+    least = -(-percent * n // 100)
+    first, own = (int(np.searchsorted(edges, m, "right")) - 1 for m in (least, n))
+    out = [(False, own, n - shared_at_least(n, n, percent) + 1)]
+    return out + [(True, k, n - shared_at_least(n, max(least, int(edges[k])), percent) + 1) for k in range(first, own + 1)]
+
+
+def _prefix_pairs(rest: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, n, m) of nodes of different components that can be linked, by prefix and position.
+
+    Elements are sorted by a sketch of how frequent they are, rarest first. What
+    is special to a text comes first, so a text that has too much of that to be
+    near any other meets none, however many share the rest with it. An element
+    that a whole component has is looked at by the others alone.
+    """
+    spark = rest.sparkSession
+    sets = rest.join(held, "node").select("node", "shingles")
+    sent = spark.sparkContext.broadcast(_frequencies(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, edges = sent.value, size_edges(1 << 40)
+        for whole in batches:
+            columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
+            for node, raw in zip(whole.column(0).to_pylist(), whole.column(1), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                order = own[np.argsort(common[(own >> CELL_SHIFT).astype(np.int64)], kind="stable")].view(np.int64)
+                for longer, k, length in prefixes(len(own), percent, edges):
+                    parts = (np.full(length, node), np.full(length, len(own)), np.arange(length), order[:length], np.full(length, int(longer)), np.full(length, k))
+                    for c, x in zip(columns, parts, strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["node", "n", "at", "element", "longer", "class"])
+
+    with batches_of(spark, BATCH):
+        shown = written(sets.mapInArrow(run, "node long, n long, at long, element long, longer long, class long"), "prefixes")
+    weights = rest.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
+    named = cut(rest.select("node", "label").join(weights, "label"))
+    rows = shown.join(named, "node")
+    keys = ["element", "class"]
+    biggest = rows.groupBy(*keys).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("longer").alias("any_longer"), F.min("longer").alias("any"), F.max(F.struct("weight", "label"))["label"].alias("main")).where("low <> high AND any_longer = 1 AND any = 0").select(*keys, "main")
+    rows = written(rows.join(biggest, keys).withColumn("aside", F.col("label") != F.col("main")).select("node", "n", "at", "label", *keys, "longer", "aside"), "prefix-members")
+    discard(shown)
+    n, m = F.col("x.n"), F.col("y.n")
+    ordered = (n < m) | ((n == m) & (F.col("x.node") < F.col("y.node")))
+    left = F.least(n - F.col("x.at"), m - F.col("y.at")) * (100 + percent) >= (n + m) * percent
+    on = (F.col("x.element") == F.col("y.element")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & ordered & left
+    pick = [F.col("x.node").alias("u"), F.col("y.node").alias("v"), n.alias("n"), m.alias("m")]
+    met = lambda a, b: rows.where(f"longer = 0 AND {a}").alias("x").join(rows.where(f"longer = 1 AND {b}").alias("y"), on).select(*pick)
+    return met("aside", "true").unionByName(met("NOT aside", "aside"))
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """Of each of ``CELLS`` cells, the elements of all sets that fall into it: a fixed-size sketch of how common an element is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for whole in batches:
+            for raw in whole.column(0):
+                total += np.bincount((np.frombuffer(raw.as_buffer(), np.uint64) >> CELL_SHIFT).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    with batches_of(sets.sparkSession, BATCH):
+        for r in sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
+            out[r["cell"]] = r["n"]
+    return out

@@ -98,3 +98,23 @@ def test_values_agree_as_often_as_sets_are_similar():
         agree.append((a == b).mean())
     j = 40 / 60
     assert abs(np.mean(agree) - j) < 0.01 and np.var(agree) < 0.8 * j * (1 - j) / S.VALUES
+
+
+def test_prefixes_meet():
+    """Any two sets at the similarity show each other an element, at a position from which the rest can still reach it."""
+    rng = np.random.default_rng(7)
+    edges = S.size_edges(1 << 20)
+    met = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 80))
+        a = rng.permutation(200)[:n]
+        b = np.unique(np.concatenate((a[rng.random(n) < 0.93], rng.integers(200, 400, rng.integers(0, n // 6 + 2)))))
+        a, b = sorted(a.tolist()), sorted(b.tolist())
+        both = len(set(a) & set(b))
+        if not b or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        x, y = sorted((a, b), key=len)
+        shows = lambda s, long: {(k, e, s.index(e)) for longer, k, length in S.prefixes(len(s), 80, edges) if longer == long for e in s[:length]}
+        assert any(k == q and e == f and min(len(x) - i, len(y) - j) * 180 >= 80 * (len(x) + len(y)) for k, e, i in shows(x, False) for q, f, j in shows(y, True))
+        met += 1
+    assert met > 500
