@@ -24,15 +24,21 @@ def ordered_target(df: DataFrame, categories: Mapping[str, Sequence[str]], targe
     totals over those: a category costs a row for each period, whatever its size.
     """
     when = (F.col(order) + 1 if known is None else known).cast("long")
-    amount = F.col(target).cast("decimal(28,6)")
+    names = list(dict.fromkeys(k for keys in categories.values() for k in keys))
+    # A row tells its target at one period and asks at another; both, for all key sets, are summed in one scan.
+    told = F.struct(when.alias("at"), F.when(when.isNotNull(), F.col(target).cast("decimal(28,6)")).alias("s"))
+    asked = F.struct(F.col(order).cast("long").alias("at"), F.lit(None).cast("decimal(28,6)").alias("s"))
+    each = df.select(*names, F.explode(F.array(told, asked)).alias("_t")).select(*names, F.col("_t.at").alias("_at"), F.col("_t.s").alias("_s")).where("_at IS NOT NULL")
+    label = F.concat_ws("+", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in names]) if names else F.lit("")
+    sets = [list(k) for k in dict.fromkeys([(), *[tuple(k for k in names if k in keys) for keys in categories.values()]])]
+    by = each.groupingSets([[*[F.col(k) for k in keys], F.col("_at")] for keys in sets], *[F.col(k) for k in names], F.col("_at"))
+    sums = by.agg(label.alias("_set"), F.sum("_s").cast("decimal(38,6)").alias("_s"), F.count("_s").alias("_n"))
     out = df
 
     def running(keys: Sequence[str], prefix: str) -> DataFrame:
-        told = df.where(F.col(target).isNotNull() & when.isNotNull()).groupBy(*keys, when.alias("_at")).agg(F.sum(amount).alias("_s"), F.count(F.lit(1)).alias("_n"))
-        asked = df.groupBy(*keys, F.col(order).cast("long").alias("_at")).agg(F.lit(None).cast("decimal(38,6)").alias("_s"), F.lit(0).cast("long").alias("_n"))
-        by_period = told.unionByName(asked).groupBy(*keys, "_at").agg(F.sum("_s").cast("decimal(38,6)").alias("_s"), F.sum("_n").alias("_n"))
+        own = sums.where(F.col("_set") == "+".join(k for k in names if k in keys))
         so_far = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-        return by_period.select(*keys, "_at", F.coalesce(F.sum("_s").over(so_far), F.lit(0)).cast("double").alias(f"{prefix}_s"), F.sum("_n").over(so_far).alias(f"{prefix}_n"))
+        return own.select(*keys, "_at", F.coalesce(F.sum("_s").over(so_far), F.lit(0)).cast("double").alias(f"{prefix}_s"), F.sum("_n").over(so_far).alias(f"{prefix}_n"))
 
     everything = running([], "_all")  # a row for each period
     out = out.join(F.broadcast(everything), F.col(order).cast("long") == F.col("_at"), "left").drop("_at")

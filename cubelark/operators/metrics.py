@@ -181,3 +181,63 @@ def forecast_decision(model: Column, baseline: Column, granularity: str, is_q4_t
     if granularity == "monthly":
         return 0.7 * model + 0.3 * baseline
     return F.when(F.coalesce(is_q4_to_q1 == 1, F.lit(False)), F.least(model, baseline)).otherwise(model)
+
+
+def group_error_sets(df: DataFrame, actual: str, model: str, baseline: str, sets: Sequence[Sequence[str]], min_rows: int = 1) -> DataFrame:
+    """EVAL-06 and EVAL-10: errors by several key sets from one scan: share of all absolute error, both MAPEs, share of rows that the model is nearer on.
+
+    ``group_columns`` and ``group_value`` name a group; a null key is the value ``null``. Rows without a target or prediction count as rows only.
+    """
+    a, m, b = (F.col(c).cast("double") for c in (actual, model, baseline))
+    valid = a.isNotNull() & m.isNotNull()
+    error = F.when(valid, F.abs(m - a))
+    ape = lambda p: 100.0 * ratio(F.abs(p - a), F.abs(a))
+    nearer = F.when(valid & b.isNotNull(), (F.abs(m - a) < F.abs(b - a)).cast("double"))
+    groups = F.array(*[F.struct(F.lit(" + ".join(s)).alias("c"), F.concat_ws(" | ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in s]).alias("v")) for s in sets])
+    each = df.select(F.explode(groups).alias("g"), error.alias("e"), ape(m).alias("am"), ape(b).alias("ab"), nearer.alias("nearer"))
+    g = each.groupBy(F.col("g.c").alias("group_columns"), F.col("g.v").alias("group_value")).agg(F.count(F.lit(1)).alias("row_count"), exact_sum(F.col("e")).alias("abs_error_sum"), rounded(exact_mean(F.col("am")), 4).alias("model_mape"), rounded(exact_mean(F.col("ab")), 4).alias("baseline_mape"), rounded(F.avg("nearer"), 6).alias("better_row_share"))
+    total = df.agg(exact_sum(error).alias("_total"))  # one row
+    out = g.crossJoin(F.broadcast(total)).where(F.col("row_count") >= min_rows)
+    return out.withColumns({"mape_delta": rounded(F.col("model_mape") - F.col("baseline_mape"), 4), "abs_error_share": rounded(ratio(F.col("abs_error_sum"), F.col("_total")), 6), "abs_error_sum": rounded("abs_error_sum", 4)}).drop("_total")
+
+
+def findings(df: DataFrame, groups: DataFrame, actual: str, model: str, baseline: str, high: float = 50.0) -> DataFrame:
+    """EVAL-10: three rows (finding, place, value, note): the group with the largest share of the error, the share of rows that the model is nearer on, and that of rows with an error above ``high`` percent.
+
+    Ties of the first go to the larger share's smaller names. Without rows the values are null.
+    """
+    a, m, b = (F.col(c).cast("double") for c in (actual, model, baseline))
+    worst = groups.where("abs_error_share IS NOT NULL").orderBy(F.desc("abs_error_share"), "group_columns", "group_value").limit(1)
+    first = worst.select(F.lit("largest_error_contribution").alias("finding"), F.concat("group_columns", F.lit("="), "group_value").alias("place"), F.col("abs_error_share").alias("value"))
+    n = F.nullif(F.count(F.lit(1)).cast("double"), F.lit(0.0))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).cast("double")
+    shares = df.agg(rounded(count(F.abs(m - a) < F.abs(b - a)) / n, 6).alias("better"), rounded(count(100.0 * ratio(F.abs(m - a), F.abs(a)) > high) / n, 6).alias("above"))
+    rest = shares.select(F.inline(F.array(*[F.struct(F.lit(f).alias("finding"), F.lit(None).cast("string").alias("place"), F.col(c).alias("value")) for f, c in (("model_nearer_than_baseline", "better"), ("errors_above_bound", "above"))])))
+    pct = F.format_string("%.1f%%", rounded(100.0 * F.col("value"), 1))
+    note = F.when(F.col("finding") == "largest_error_contribution", F.concat(F.lit("Most of the error of one group: "), "place", F.lit(" with "), pct)).when(F.col("finding") == "errors_above_bound", F.concat(F.lit(f"Rows off by more than {high:.0f}%: "), pct)).otherwise(F.concat(F.lit("Rows nearer than the baseline: "), pct))
+    return first.unionByName(rest).withColumn("note", note)
+
+
+def composition(df: DataFrame, group: str, level: str) -> DataFrame:
+    """H-02: rows of each level in each group and their share of the group in percent; null is a level. The groups are aggregated before the window."""
+    counts = df.groupBy(group, level).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("within_pct", rounded(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(group)), 4))
+
+
+def difference_parts(df: DataFrame, group: str, stratum: str, condition: Column, a: str, b: str) -> DataFrame:
+    """H-02: the difference of a condition's share between two groups as a sum over strata, in points.
+
+    ``within_part`` is the difference of the shares inside a stratum at the
+    mean of its two weights, ``mix_part`` that of its weights at the mean of the
+    shares; together they make up the whole difference. A stratum that a group
+    lacks has the other group's share there, so all of it is mix.
+    """
+    held = F.coalesce(condition, F.lit(False)).cast("int")
+    of = lambda g, v: F.sum(F.when(F.col(group) == g, v).otherwise(0)).cast("double")
+    by = df.where(F.col(group).isin(a, b)).groupBy(stratum).agg(of(a, F.lit(1)).alias("n_a"), of(b, F.lit(1)).alias("n_b"), of(a, held).alias("h_a"), of(b, held).alias("h_b"))
+    total = by.agg(F.sum("n_a").alias("t_a"), F.sum("n_b").alias("t_b"))  # one row
+    p = by.crossJoin(F.broadcast(total)).withColumns({"w_a": ratio(F.col("n_a"), F.col("t_a")), "w_b": ratio(F.col("n_b"), F.col("t_b")), "s_a": ratio(F.col("h_a"), F.col("n_a")), "s_b": ratio(F.col("h_b"), F.col("n_b"))})
+    s_a, s_b = F.coalesce("s_a", "s_b"), F.coalesce("s_b", "s_a")
+    within = 100.0 * (s_a - s_b) * (F.col("w_a") + F.col("w_b")) / 2
+    mix = 100.0 * (F.col("w_a") - F.col("w_b")) * (s_a + s_b) / 2
+    return p.select(stratum, F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), rounded(100.0 * F.col("s_a"), 4).alias("a_pct"), rounded(100.0 * F.col("s_b"), 4).alias("b_pct"), rounded(within, 4).alias("within_part"), rounded(mix, 4).alias("mix_part"))

@@ -78,8 +78,11 @@ def matrix(df: DataFrame, target: str, numeric: Sequence[str], categorical: Mapp
     have any number of values. Missing numbers have a bin of their own.
     """
     spark = df.sparkSession
-    encoded = ordered_target(df, categorical, target, order, known)
     features = [*numeric, *categorical]
+    whole = ordered_target(df, categorical, target, order, known).select(*dict.fromkeys([*carry, *features, target, order]))
+    stored = scratch(spark, "encoded")  # the bounds and the bins read it
+    whole.write.parquet(stored)
+    encoded = spark.read.schema(whole.schema).parquet(stored)
     past = encoded.where(F.col(order) < learned_before).withColumns({f: F.col(f).cast("double") for f in features})
     shares = [k / (BINS - 1) for k in range(1, BINS - 1)]
     bounds = [sorted(set(b)) for b in past.approxQuantile(features, shares, 0.001)]

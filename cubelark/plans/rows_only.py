@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cubelark.operators import metrics as M
+from cubelark.operators.encoding import ordered_target
 from cubelark.plans import model
+from cubelark.plans.forecasts import CATEGORIES, NUMERIC
 from cubelark.plans.queries import Query, observed
-from cubelark.plans.star import SEGMENT
 
 ROWS_ONLY: dict[str, Query] = {}
-NUMERIC = ("median_salary_mid", "mean_salary_mid", "vacancy_count", "salary_count", "remote_share", "full_time_share", "data_quality_score", "gap_to")
 
 
 def query(f: Query) -> Query:
@@ -20,15 +21,8 @@ def query(f: Query) -> Query:
 
 @query
 def gbt_forecast(spark: SparkSession, d: str) -> DataFrame:
-    """ML-08: the model's scorecard by split."""
+    """ML-08: the model's scorecard by split; categories are ordered target statistics, so they may have any number of values."""
     rows = M.time_split(observed(spark, d).where("target is not null and median_salary_mid is not null"), "month_idx")
-    fitted = model.fit(rows, "target", NUMERIC, SEGMENT, maxIter=10, maxDepth=4)
-    return M.evaluate(model.predict(fitted, rows, NUMERIC, SEGMENT), "target", "prediction", ["split"])
-
-
-@query
-def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    """ML-10 on a small grid."""
-    rows = M.time_split(observed(spark, d).where("target is not null and median_salary_mid is not null"), "month_idx")
-    found = model.grid_search(rows, "target", NUMERIC, SEGMENT, {"maxDepth": (2, 4), "maxIter": (5,)})
-    return spark.createDataFrame([(int(r["maxDepth"]), int(r["maxIter"]), r["mape"], r["mae"]) for r in found], "max_depth int, max_iter int, mape double, mae double")
+    rows = ordered_target(rows, CATEGORIES, "target", "month_idx", F.col("month_idx") + F.col("gap_to"))
+    fitted = model.fit(rows, "target", [*NUMERIC, *CATEGORIES], [], maxIter=10, maxDepth=4)
+    return M.evaluate(model.predict(fitted, rows, [*NUMERIC, *CATEGORIES], []), "target", "prediction", ["split"])

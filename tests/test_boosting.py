@@ -87,3 +87,47 @@ def test_folds_without_validation_are_left_out(spark):
     _, df = panel(spark)
     data = B.matrix(df, "y", ["x"], {}, "t", 9, ["id"])
     assert [m.fold for m in B.fit_many(data, [0, 1, 5, 90], [B.Candidate(1)], 1)] == [5]
+
+
+def test_ranking_is_that_of_sql_over_stored_scores(spark):
+    import duckdb
+
+    from cubelark.plans.forecasts import searched
+
+    rng = np.random.default_rng(4)
+    grid = {"depth": (4, 6), "rate": (0.1, 0.3), "l2": (1.0, 5.0)}
+    scores = [(c, s, f, round(float(rng.uniform(10, 12)), 1), 11.0) for c in range(8) for s in (5, 10) for f in range(3)]
+    got = searched(spark.createDataFrame(scores, "candidate int, stage int, fold long, mape double, baseline_mape double"), grid).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE s (candidate INT, stage INT, fold INT, mape DOUBLE, base DOUBLE)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?, ?, ?)", scores)
+    ranked = con.sql("SELECT candidate, stage FROM s GROUP BY 1, 2 ORDER BY round(avg(mape), 4), max(mape), round(avg(CAST(mape < base AS INT)), 4) DESC, 1, 2").fetchall()
+    assert [(r["candidate"], r["iterations"]) for r in got] == ranked
+    assert [(r["depth"], r["rate"], r["l2"]) for r in got if r["candidate"] == 5][0] == (6, 0.1, 5.0)
+
+
+def test_strategies_are_chosen_on_earlier_folds_only(spark):
+    from cubelark.plans.forecasts import strategy_by_earlier_folds
+
+    scored = spark.createDataFrame([(1, "a", 3.0), (1, "b", 2.0), (2, "a", 1.0), (2, "b", 9.0), (3, "a", 5.0), (3, "b", 4.0)], "fold int, strategy string, mape double")
+    got = {r["fold"]: (r["strategy"], r["earlier_mape"], r["fold_mape"]) for r in strategy_by_earlier_folds(scored, scored).collect()}
+    assert got == {1: (None, None, None), 2: ("b", 2.0, 9.0), 3: ("a", 2.0, 5.0)}
+
+
+def test_parts_sum_to_the_difference(spark):
+    from cubelark.operators import metrics as M
+
+    rng = np.random.default_rng(5)
+    rows = [("A" if rng.random() < 0.4 else "B", f"s{int(rng.integers(4))}", bool(rng.random() < 0.3)) for _ in range(400)] + [("A", "only_a", True)] * 9
+    parts = M.difference_parts(spark.createDataFrame(rows, "g string, s string, h boolean"), "g", "s", F.col("h"), "A", "B").collect()
+    share = lambda g: 100.0 * np.mean([h for x, _, h in rows if x == g])
+    assert sum(p["within_part"] + p["mix_part"] for p in parts) == pytest.approx(share("A") - share("B"), abs=1e-3)
+    assert [p["within_part"] for p in parts if p["s"] == "only_a"] == [0.0]
+
+
+def test_findings_without_rows(spark):
+    from cubelark.operators import metrics as M
+
+    none = spark.createDataFrame([], "k string, y double, m double, b double")
+    groups = M.group_error_sets(none, "y", "m", "b", [["k"]])
+    assert {r["finding"]: r["value"] for r in M.findings(none, groups, "y", "m", "b").collect()} == {"model_nearer_than_baseline": None, "errors_above_bound": None}
