@@ -37,8 +37,6 @@ VALUES, ROWS = 128, 4
 TOGETHER = 1 << 16
 #: Rows that a worker takes at once where rows hold whole sets; identifiers that are broadcast at most.
 BATCH, FEW = 500, 1_000_000
-#: Cells of the frequency sketch, and the bits of an element beside its cell.
-CELLS, CELL_SHIFT = 1 << 16, np.uint64(48)
 _A, _B, _STEP = (np.uint64(xxhash.xxh64_intdigest(b"superminhash %d" % i) | 1) for i in range(3))
 
 
@@ -256,30 +254,41 @@ def prefixes(n: int, percent: int, edges: np.ndarray) -> list[tuple[bool, int, i
 def _prefix_pairs(rest: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v, n, m) of nodes of different components that can be linked, by prefix and position.
 
-    Elements are sorted by a sketch of how frequent they are, rarest first. What
-    is special to a text comes first, so a text that has too much of that to be
-    near any other meets none, however many share the rest with it. An element
-    that a whole component has is looked at by the others alone.
+    Elements are sorted by how many of these nodes have them, rarest first; one
+    that no other has takes a place but meets nothing. What is special to a text
+    comes first, so a text that has too much of that to be near any other meets
+    none, however many share the rest with it. An element that a whole component
+    has is looked at by the others alone.
     """
-    spark = rest.sparkSession
     sets = rest.join(held, "node").select("node", "shingles")
-    sent = spark.sparkContext.broadcast(_frequencies(sets))
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 100):
+                some = whole.slice(k, 100)
+                own = [np.frombuffer(raw.as_buffer(), np.int64) for raw in some.column(1)]
+                sizes = np.array([len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], names=["node", "n", "element"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, edges = sent.value, size_edges(1 << 40)
+        edges = size_edges(1 << 40)
         for whole in batches:
             columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
-            for node, raw in zip(whole.column(0).to_pylist(), whole.column(1), strict=True):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
-                order = own[np.argsort(common[(own >> CELL_SHIFT).astype(np.int64)], kind="stable")].view(np.int64)
-                for longer, k, length in prefixes(len(own), percent, edges):
-                    parts = (np.full(length, node), np.full(length, len(own)), np.arange(length), order[:length], np.full(length, int(longer)), np.full(length, k))
+            for node, n, shared in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), whole.column(2), strict=True):
+                order = shared.values.to_numpy()
+                alone = n - len(order)
+                for longer, k, length in prefixes(n, percent, edges):
+                    met = max(0, min(length - alone, len(order)))
+                    parts = (np.full(met, node), np.full(met, n), alone + np.arange(met), order[:met], np.full(met, int(longer)), np.full(met, k))
                     for c, x in zip(columns, parts, strict=True):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["node", "n", "at", "element", "longer", "class"])
 
-    with batches_of(spark, BATCH):
-        shown = written(sets.mapInArrow(run, "node long, n long, at long, element long, longer long, class long"), "prefixes")
+    with batches_of(rest.sparkSession, BATCH):
+        elements = sets.mapInArrow(apart, "node long, n long, element long")
+        frequent = elements.groupBy("element").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+        sorted_ = elements.join(frequent, "element").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "element")))["element"].alias("shared"))  # no more than the elements of a text
+        shown = written(sorted_.mapInArrow(run, "node long, n long, at long, element long, longer long, class long"), "prefixes")
     weights = rest.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
     named = cut(rest.select("node", "label").join(weights, "label"))
     rows = shown.join(named, "node")
@@ -294,21 +303,3 @@ def _prefix_pairs(rest: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     pick = [F.col("x.node").alias("u"), F.col("y.node").alias("v"), n.alias("n"), m.alias("m")]
     met = lambda a, b: rows.where(f"longer = 0 AND {a}").alias("x").join(rows.where(f"longer = 1 AND {b}").alias("y"), on).select(*pick)
     return met("aside", "true").unionByName(met("NOT aside", "aside"))
-
-
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """Of each of ``CELLS`` cells, the elements of all sets that fall into it: a fixed-size sketch of how common an element is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for whole in batches:
-            for raw in whole.column(0):
-                total += np.bincount((np.frombuffer(raw.as_buffer(), np.uint64) >> CELL_SHIFT).astype(np.int64), minlength=CELLS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
-
-    out = np.zeros(CELLS, np.int64)
-    with batches_of(sets.sparkSession, BATCH):
-        for r in sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
-            out[r["cell"]] = r["n"]
-    return out
