@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 EXACT = "decimal(18,6)"
 #: Of the approximate pass of exact quantiles of a whole table.
 ACCURACY = 100_000
+#: Parts that a pass of rank selection counts.
+CELLS = 1024
 
 
 def rounded(x: Column | str, digits: int = 0) -> Column:
@@ -47,30 +49,58 @@ def quantiles(x: Column, at: Sequence[float], digits: int = 6) -> list[Column]:
 
 
 def global_quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float | None]:
-    """Exact quantiles of a whole table's column, none of whose states holds more than a sliver of the values.
+    """Exact quantiles of a whole table's column by distributed rank selection; NaN and null are left out.
 
-    An approximate pass bounds the two ranks that a quantile lies between; an
-    exact one counts what is below and keeps only the values within the bounds.
+    Approximate quantiles bound the values that a rank can have. Then every pass
+    counts the values in ``CELLS`` equal parts of each rank's bounds and goes on
+    with the part that the rank falls into, until it holds one value. All ranks
+    share a pass, and the driver sees counts only, ``CELLS`` for each rank.
     """
     x = F.col(column).cast("double")
-    rows = df.where(x.isNotNull())
+    rows = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
     margin = 2 / ACCURACY
-    bounds = F.percentile_approx(x, F.array(*[F.lit(b) for q in at for b in (max(0.0, q - margin), min(1.0, q + margin))]), ACCURACY)
-    n, ends = rows.agg(F.count(F.lit(1)), bounds).first()
+    bounds = F.percentile_approx("x", F.array(*[F.lit(b) for q in at for b in (max(0.0, q - margin), min(1.0, q + margin))]), ACCURACY)
+    n, least, most, ends = rows.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), bounds).first()
     if not n:
         return [None] * len(at)
-    spans = [(q * (n - 1), *ends[2 * i : 2 * i + 2]) for i, q in enumerate(at)]
-    below = rows.agg(*[F.sum((x < low).cast("bigint")) for _, low, _ in spans]).first()
+    places = [q * (n - 1) for q in at]
+    open_ranks: dict[int, tuple[float, float]] = {}
+    for i, place in enumerate(places):
+        for rank in {int(place), min(int(place) + (place > int(place)), n - 1)}:
+            low, high = open_ranks.get(rank, (ends[2 * i], ends[2 * i + 1]))
+            open_ranks[rank] = min(low, ends[2 * i]), max(high, ends[2 * i + 1])
+    values: dict[int, float] = {}
+    while open_ranks:
+        order = sorted(open_ranks)
+
+        def part(rank: int):
+            low, high = open_ranks[rank]
+            scaled = F.floor((F.col("x") / 2 - low / 2) / (high / 2 - low / 2) * CELLS) if high > low else F.lit(0)  # halves: the distance of two doubles may be none
+            return F.when(F.col("x") < low, -1).when(F.col("x") <= high, F.least(scaled, F.lit(CELLS - 1))).cast("int")
+
+        cells = F.array(*[F.struct(F.lit(r).alias("rank"), part(r).alias("cell")) for r in order])
+        counted = rows.select("x", F.explode(cells).alias("c")).where("c.cell IS NOT NULL").groupBy("c.rank", "c.cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        found: dict[int, list] = {}
+        for r in counted.collect():  # CELLS + 1 rows for each rank at most
+            found.setdefault(r["rank"], []).append((r["cell"], r["n"], r["low"], r["high"]))
+        for rank in order:
+            seen = 0
+            for cell, count, low, high in sorted(found.get(rank, [])):
+                if cell >= 0 and seen + count > rank:
+                    if low == high:
+                        values[rank] = low
+                    open_ranks[rank] = low, high
+                    break
+                seen += count
+            else:  # the approximate bounds were too high or too low
+                open_ranks[rank] = least, most
+            if seen > rank:
+                open_ranks[rank] = least, most
+        open_ranks = {r: b for r, b in open_ranks.items() if r not in values}
     out: list[float | None] = []
-    for (place, low, high), skipped in zip(spans, below, strict=True):
-        within = rows.where(x.between(low, high)).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()  # about 4 / ACCURACY of the values, or a few that are frequent
-        ranks, seen = [], skipped
-        for r in within:
-            ranks.append((seen, seen + r["n"], r["v"]))
-            seen += r["n"]
-        value = lambda k: next(v for a, b, v in ranks if a <= k < b)  # noqa: E731, B023
-        a = value(int(place))
-        out.append(a + (value(min(int(place) + 1, n - 1)) - a) * (place - int(place)) if place > int(place) else a)
+    for place in places:
+        a, b = values[int(place)], values[min(int(place) + (place > int(place)), n - 1)]
+        out.append(a + (b - a) * (place - int(place)) if place > int(place) else a)
     return out
 
 

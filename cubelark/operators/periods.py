@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubelark.functions.exact import exact_mean, exact_sum, global_quantiles, pct_change, quantile, ratio, rounded
 from cubelark.operators.cube import null_safe_join
+from cubelark.session import ship_package
 
 Keys = Sequence[str]
 
@@ -41,14 +44,38 @@ def observed(df: DataFrame, keys: Keys, order: str, value: str, target: str, gap
     return df.withColumns(columns | {n: F.lag(v, k).over(w) for n, (v, k) in (lags or {}).items()})
 
 
+def expanding_median(df: DataFrame, keys: Keys, order: str, value: str, name: str, digits: int = 6) -> DataFrame:
+    """WIN-06 and WIN-10: the median of all earlier rows of a group, null values left out.
+
+    The rows of a group pass once, in order, through a sorted list that each
+    value is inserted into; a frame that grows would be sorted again at every
+    row. A group has a row for each period, so it fits a worker. Rows of one
+    period keep the order of their values.
+    """
+    ship_package(df.sparkSession)
+    kind = df.select("*", F.lit(None).cast("double").alias(name)).schema
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(order, "ascending"), (value, "ascending")])
+        seen: list[float] = []
+        out: list[float | None] = []
+        for x in group.column(value).to_pylist():
+            n = len(seen)
+            out.append(None if not n else seen[n // 2] if n % 2 else seen[n // 2 - 1] + (seen[n // 2] - seen[n // 2 - 1]) * 0.5)
+            if x is not None:
+                insort(seen, float(x))
+        return group.append_column(name, pa.array(out, pa.float64()))
+
+    return df.groupBy(*keys).applyInArrow(run, kind).withColumn(name, rounded(name, digits))
+
+
 def past_statistics(df: DataFrame, keys: Keys, order: str, value: str, prefix: str = "segment_previous") -> DataFrame:
     """WIN-04 to WIN-07: number, mean, median and sample deviation of the earlier rows.
 
-    The median's frame grows with the periods of a segment: meant for months
-    and quarters, some hundreds at most, not for finer periods.
     """
     w, x = past(keys, order), F.col(value)
-    return df.withColumns({f"{prefix}_observation_count": F.row_number().over(along(keys, order)) - 1, f"{prefix}_salary_mean": exact_mean(x, w), f"{prefix}_salary_median": quantile(x, 0.5, w), f"{prefix}_salary_std": rounded(F.stddev_samp(x).over(w), 4)})
+    df = expanding_median(df, keys, order, value, f"{prefix}_salary_median")
+    return df.withColumns({f"{prefix}_observation_count": F.row_number().over(along(keys, order)) - 1, f"{prefix}_salary_mean": exact_mean(x, w), f"{prefix}_salary_std": rounded(F.stddev_samp(x).over(w), 4)})
 
 
 def changes(df: DataFrame, keys: Keys, order: str, columns: Sequence[str]) -> DataFrame:
@@ -72,9 +99,10 @@ def seasonal_history(df: DataFrame, transition: str, order: str, value: str, tar
     valid = df.where((F.col(value) > 0) & (F.col(target) > 0) & F.col(transition).isNotNull())
     change = F.col(target) / F.col(value)
     by_period = valid.groupBy(transition, order).agg(F.count(F.lit(1)).alias("_n"), exact_sum(change).alias("_sum"), exact_sum(F.ln(change)).alias("_log"), quantile(change, 0.5).alias("_median"))
+    by_period = expanding_median(by_period, [transition], order, "_median", "_past_median")
     w = past([transition], order)
     n = F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint")
-    return by_period.select(transition, order, n.alias("seasonal_transition_previous_count"), rounded(ratio(exact_sum(F.col("_sum"), w), n), 6).alias("seasonal_transition_salary_ratio_mean"), quantile(F.col("_median"), 0.5, w).alias("seasonal_transition_salary_ratio_median"), rounded(ratio(exact_sum(F.col("_log"), w), n), 6).alias("seasonal_transition_log_delta_mean"))
+    return by_period.select(transition, order, n.alias("seasonal_transition_previous_count"), rounded(ratio(exact_sum(F.col("_sum"), w), n), 6).alias("seasonal_transition_salary_ratio_mean"), F.col("_past_median").alias("seasonal_transition_salary_ratio_median"), rounded(ratio(exact_sum(F.col("_log"), w), n), 6).alias("seasonal_transition_log_delta_mean"))
 
 
 def with_seasonal(df: DataFrame, transition: str, order: str, value: str, target: str) -> DataFrame:

@@ -145,3 +145,37 @@ def test_profiles(spark):
     assert got == {"s": (1, 1, 2), "c": (0, 0, 0)}
     assert {(r["column"], r["issue"]) for r in PR.issues(df).collect()} == {("c", "constant"), ("s", "nearly_unique")}
     assert PR.duplicates(df, ["c"]).first()["surplus_rows"] == 3
+
+
+def test_expanding_median_is_that_of_a_growing_frame(spark):
+    import time
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cubelark.functions.exact import quantile
+    from cubelark.operators import periods as P
+
+    rng = np.random.default_rng(1)
+    rows = [(None if k % 3 == 0 else f"s{k % 3}", int(t), None if rng.random() < 0.1 else round(float(rng.normal()), 3)) for k in range(3) for t in rng.permutation(60)]
+    df = spark.createDataFrame(rows, "s string, t int, x double")
+    got = P.expanding_median(df, ["s"], "t", "x", "m").withColumn("w", quantile(F.col("x"), 0.5, P.past(["s"], "t"))).collect()
+    assert len(got) == 180 and all(r["m"] == r["w"] for r in got)
+    many = spark.range(10_000).select(F.lit("a").alias("s"), F.col("id").alias("t"), F.rand(5).alias("x"))
+    began = time.time()
+    assert P.expanding_median(many, ["s"], "t", "x", "m").agg(F.count("m")).first()[0] == 9_999
+    assert time.time() - began < 20
+
+
+def test_ranks_are_selected_exactly(spark, monkeypatch):
+    import numpy as np
+
+    from cubelark.functions import exact
+
+    monkeypatch.setattr(exact, "CELLS", 4)
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=2001), np.repeat([3.0, 7.0], [50, 51]), [5.0], [-1e308, 0.0, 1e308, 1e308], rng.integers(0, 5, 500).astype(float), np.exp(rng.normal(size=300) * 40)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
+        at = [0.0, 0.25, 0.5, 0.9, 1.0]
+        assert exact.global_quantiles(df, "x", at) == [float(v) for v in np.quantile(np.array(values, float), at)] or np.allclose(exact.global_quantiles(df, "x", at), np.quantile(np.array(values, float), at), rtol=1e-12)
+    assert exact.global_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
