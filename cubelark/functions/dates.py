@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubelark.functions.text import leading_year, strip
 
 MIN_DATE, MAX_DATE = "2000-01-01", "2026-05-21"
-DAY_FIRST = r"^\d{1,2}\.\d{1,2}\.\d{4}"
+DAY_FIRST, SLASHED = r"^\d{1,2}\.\d{1,2}\.\d{4}", r"^\d{1,2}/\d{1,2}/\d{4}"
 
 
-def parse_date(c: Column) -> Column:
-    """DT-01, DT-02: ISO forms, and day-first dates with points, decided row by row. Years outside 1677 to 2262 are null."""
+def looks_day_first(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row: whether any value of the column is a day-first date with points, by which its dates with slashes are read."""
+    return df.agg(F.coalesce(F.max(strip(F.col(column).cast("string")).rlike(DAY_FIRST)), F.lit(False)).alias(name))
+
+
+def parse_date(c: Column, slashes_day_first: Column | None = None) -> Column:
+    """DT-01, DT-02: ISO forms, and day-first dates with points, decided row by row. Years outside 1677 to 2262 are null.
+
+    Dates with slashes are read only where it is said how, the other way round if they make no date so.
+    """
     text = strip(c)
     day_first = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("d.M.yyyy", "d.M.yyyy H:mm", "d.M.yyyy H:mm:ss")])
     offset = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
     when = F.when(text.rlike(DAY_FIRST), day_first).otherwise(F.try_to_timestamp(offset))
+    if slashes_day_first is not None:
+        day, month = (F.coalesce(*[F.try_to_timestamp(text, F.lit(f + t)) for t in ("", " H:mm", " H:mm:ss")]) for f in ("d/M/yyyy", "M/d/yyyy"))
+        when = F.when(text.rlike(SLASHED), F.when(slashes_day_first, F.coalesce(day, month)).otherwise(F.coalesce(month, day))).otherwise(when)
     return F.when(F.year(when).between(1678, 2261), when)
 
 

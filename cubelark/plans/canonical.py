@@ -51,6 +51,11 @@ RENAMED = {
         "experience_raw": "experience", "employment_raw": "employment", "schedule_raw": "schedule", "description_raw": "description", "requirements_raw": "requirements", "skills_raw": "raw_skills", "accommodation_available": "accomodation", "last_seen_at_raw": "last_found_at",
     },
 }
+# Where a source's date may be, in this order.
+DATE_CANDIDATES = {
+    "trudvsem_latest": ("created_at_raw", "creationDate", "vacancy_date_raw"), "hh_github": ("published_at_raw", "published_at", "vacancy_date_raw"),
+    "hh_kaggle": ("published_at_raw", "date_of_post", "vacancy_date_raw"), "combined": ("last_seen_at_raw", "last_found_at", "vacancy_date_raw"),
+}
 DATE_TYPES = {"trudvsem_latest": "created_at", "hh_github": "published_at", "hh_kaggle": "published_at", "combined": "last_seen_at"}
 FLAG_ORDER = ("impossible_date", "date_parse_failed", "salary_missing", "salary_zero_bound", "salary_inverted_bounds", "salary_extreme", "salary_non_rur", "missing_source_id", "missing_title", "short_title", "missing_geography")
 SHORT_TITLE = 3
@@ -69,10 +74,16 @@ def _computed(source: str, raw: DataFrame) -> dict[str, Column]:
 
 
 def to_canonical(raw: DataFrame, source: str, company_fallback: bool = False) -> DataFrame:
-    """The 69 columns from a raw source; columns that it lacks are null."""
+    """The 69 columns from a raw source; columns that it lacks are null, those that have their canonical names already are taken as they are.
+
+    The date comes from the first of the source's candidate columns that there is (DT-03); without any it is a KeyError.
+    """
     if source not in RENAMED:
         raise ValueError(f"unsupported source {source!r}")
-    names, special = RENAMED[source], _computed(source, raw)
+    dated = next((c for c in DATE_CANDIDATES[source] if c in raw.columns), None)
+    if dated is None:
+        raise KeyError(f"no date column for {source!r}; looked for {', '.join(DATE_CANDIDATES[source])}")
+    names, special = RENAMED[source] | {"vacancy_date_raw": dated}, _computed(source, raw)
     if company_fallback and source == "trudvsem_latest" and "company" in raw.columns:
         special["employer_id"] = company_id(F.col("company"))
 
@@ -83,7 +94,7 @@ def to_canonical(raw: DataFrame, source: str, company_fallback: bool = False) ->
             return F.lit(DATE_TYPES[source])
         value = special.get(n)
         if value is None:
-            old = names.get(n)
+            old = names.get(n) if names.get(n) in raw.columns else n
             value = F.col(f"`{old}`") if old in raw.columns else F.lit(None)
             value = clean_quoted(value.cast("string")) if source == "hh_github" else value
         kind = TYPES.get(n, "string")
@@ -97,8 +108,9 @@ def enrich(df: DataFrame, source: str, title_as_occupation: bool = False, fold_y
     require(df, REQUIRED)
     df = normalize_nulls(df)
     raw = F.col("vacancy_date_raw")
-    when = DT.parse_date(raw)
-    df = df.withColumns({"vacancy_date": when, "snapshot_date": {"trudvsem_latest": DT.parse_date(F.col("modified_at_raw")), "combined": when}.get(source, F.lit(None).cast("timestamp"))})
+    df = df.crossJoin(F.broadcast(DT.looks_day_first(df, "vacancy_date_raw", "_day_first")))  # one row
+    when = DT.parse_date(raw, F.col("_day_first"))
+    df = df.withColumns({"vacancy_date": when, "snapshot_date": {"trudvsem_latest": DT.parse_date(F.col("modified_at_raw")), "combined": when}.get(source, F.lit(None).cast("timestamp"))}).drop("_day_first")
     df = df.withColumns({"vacancy_month": DT.month_label(F.col("vacancy_date")), "vacancy_date_parse_failed": DT.parse_failed(raw, F.col("vacancy_date")), **DT.date_flags("vacancy_date", raw, F.col("vacancy_date")), **DT.date_flags("snapshot_date", F.col("modified_at_raw"), F.col("snapshot_date"))})
     df = df.withColumn("has_impossible_date", DT.any_of([F.col(f"{n}_{k}") for n in ("vacancy_date", "snapshot_date") for k in ("is_before_min_date", "is_after_max_date", "has_impossible_year")]))
     if source == "hh_kaggle":

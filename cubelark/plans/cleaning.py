@@ -211,6 +211,15 @@ def raw_customers(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("c_custkey").cast("string").alias("id"), F.lit("open").alias("type"), F.lit("2022-03-04").alias("date_of_post"), F.col("c_mktsegment").alias("title"), F.col("c_name").alias("company"), F.when(F.col("c_custkey") % 5 != 0, F.lit("Москва")).alias("location"), pay.alias("salary"), F.lit("between1And3").alias("experience"), F.lit("Полный день").alias("job_type"), F.lit("").alias("description"), F.lit("").alias("key_skills"))
 
 
+@query
+def fallback_dates(spark, d):
+    """DT-03 in the canonical plan: the source's usual column is missing, the next candidate holds dates with slashes, read by what the column looks like."""
+    c, key = raw_customers(spark, d), F.col("id").cast("int")
+    slashed = F.format_string("%02d/%02d/2023", key % 28 + 1, key % 12 + 1)
+    raw = c.drop("date_of_post").withColumn("published_at_raw", F.when(key % 10 == 0, F.format_string("%02d.%02d.2022", key % 28 + 1, key % 12 + 1)).when(key % 10 != 1, slashed))
+    return CN.process_source(raw, "hh_kaggle").records.select("source_vacancy_id", F.date_format("vacancy_date", "yyyy-MM-dd").alias("vacancy_date"), "vacancy_date_raw")
+
+
 @query
 def canonical_records(spark, d):
     """The canonical plan of a source, end to end."""

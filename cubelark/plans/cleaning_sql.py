@@ -122,6 +122,8 @@ CLEANING_SQL = {
     "filled": f"WITH {parts('region', 'occupation')} SELECT p_partkey, coalesce(raw_region, 'UNKNOWN') AS region, coalesce(raw_region, raw_occupation) AS either, CAST(p_partkey % 4 AS INT) AS n FROM p",
     "log_ratio_back": f"{OBSERVED} SELECT {SEGMENT}, month_idx, round(median_salary_mid * exp(ln(target) - ln(median_salary_mid)), 4) AS target FROM observed WHERE target > 0 AND median_salary_mid > 0",
     "canonical_hash": f"SELECT p_partkey, {hashed('p_brand', 'p_partkey', 'p_type', 'p_name', 'p_type', 'p_brand', 'p_name', 'p_size', 'p_size', 'p_partkey')} AS source_row_hash, p_brand || ':fallback:' || {hashed('p_name', 'p_type', 'p_brand', 'p_name', 'p_size', 'p_partkey')} AS source_key FROM part",
+    "fallback_dates": """WITH k AS (SELECT c_custkey AS k, printf('%02d', CAST(c_custkey % 28 + 1 AS INT)) AS day, printf('%02d', CAST(c_custkey % 12 + 1 AS INT)) AS month FROM customer)
+      SELECT CAST(k AS VARCHAR) AS source_vacancy_id, CASE WHEN k % 10 = 0 THEN '2022-' || month || '-' || day WHEN k % 10 <> 1 THEN '2023-' || month || '-' || day END AS vacancy_date, CASE WHEN k % 10 = 0 THEN day || '.' || month || '.2022' WHEN k % 10 <> 1 THEN day || '/' || month || '/2023' END AS vacancy_date_raw FROM k""",
     "canonical_records": """SELECT 'hh_kaggle:' || CAST(c_custkey AS VARCHAR) AS source_key, '2022-03' AS vacancy_month, CASE WHEN floor(abs(c_acctbal)) > 0 THEN floor(abs(c_acctbal)) END AS salary_from, 'RUR' AS salary_currency, '1_to_3' AS experience_group, 'full_day' AS schedule_type, FALSE AS is_duplicate,
       array_to_string(list_filter([CASE WHEN floor(abs(c_acctbal)) <= 0 THEN 'salary_missing' END, CASE WHEN floor(abs(c_acctbal)) <= 0 THEN 'salary_zero_bound' END, CASE WHEN c_custkey % 5 = 0 THEN 'missing_geography' END], lambda v: v IS NOT NULL), ',') AS flags FROM customer""",
     "canonical_checks": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS null_source_dataset, count(*) FILTER (c_custkey % 5 = 0) AS null_city, 'lat' AS missing_columns FROM customer",

@@ -14,6 +14,7 @@ from cubelark.plans.queries import Query, monthly
 from cubelark.plans.star import records, table
 from cubelark.session import scratch
 from cubelark.sources import readers, sinks
+from cubelark import streaming as ST
 from cubelark.streaming import event_stream, run_to_table, windowed_cube
 
 FILES: dict[str, Query] = {}
@@ -120,8 +121,37 @@ def markdown_report(spark, d):
     return spark.createDataFrame([(text,)], "text string")
 
 
+@query
+def event_sessions(spark, d):
+    """Sessions of users: events at most half an hour apart."""
+    s = ST.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return s.select(F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "user_id", "n")
+
+
+@query
+def stream_sessions(spark, d):
+    """The same as a stream: sessions that the watermark has closed."""
+    to = scratch(spark, "sessions")
+    ST.run_to_table(ST.sessions(ST.event_stream(spark, f"{d}/events.parquet")), to, f"{to}-checkpoint")
+    return spark.read.parquet(to).select(F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "user_id", "n")
+
+
+@query
+def stream_upsert(spark, d):
+    """The windowed cube kept by upserts: each window as of the last batch that touched it."""
+    to, keys = scratch(spark, "upsert"), ("window_start", "event_type")
+    ST.upsert_table(ST.windowed_cube(ST.event_stream(spark, f"{d}/events.parquet")), keys, to, f"{to}-checkpoint")
+    return ST.latest(spark, keys, to).withColumn("window_start", F.unix_seconds("window_start"))
+
+
 STREAMED = "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, event_type, value FROM events)"
+SESSIONS = """WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+g AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL '30 minutes' AS b, count(*) AS n FROM s GROUP BY user_id, k) SELECT epoch_us(a) AS session_start, epoch_us(b) AS session_end, user_id, n FROM g"""
 FILES_SQL = {
+    "event_sessions": SESSIONS,
+    "stream_sessions": f"{SESSIONS} WHERE b <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'",
+    "stream_upsert": f"{STREAMED} SELECT CAST(epoch(s) AS BIGINT) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS value_sum, max(value) AS value_max FROM w GROUP BY 1, 2",
     "stream_cube": f"{STREAMED} SELECT CAST(epoch(s) AS BIGINT) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS value_sum, max(value) AS value_max FROM w WHERE s + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY 1, 2",
     "sqlite_scan": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation",
     "ragged_csv": "SELECT CAST(p_partkey AS VARCHAR) AS id, replace(p_name, ' ', '|') AS resp, p_brand AS brand FROM part",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,35 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if not q.awaitTermination(*([seconds] if seconds else [])) and seconds:
         q.stop()
+
+
+def upsert_table(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> None:
+    """All that is there now, each batch's changed rows under a folder of their own: windows that grow late replace what was stored of them.
+
+    A batch that is run again after a failure overwrites its own folder, so it
+    counts once. ``latest`` reads the table, ``compact`` folds old batches.
+    """
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch:012d}")
+
+    stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").parquet(path)
+
+
+def latest(spark: SparkSession, keys: Sequence[str], path: str) -> DataFrame:
+    """Of each key the row of the last batch that wrote it; one aggregation, combined before the shuffle."""
+    rows = _stored(spark, path)
+    values = [c for c in rows.columns if c not in (*keys, "_batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
+
+
+def compact(spark: SparkSession, keys: Sequence[str], path: str, to: str) -> None:
+    """A new table with one row for each key, as of its last batch, that later batches can be added to."""
+    rows = _stored(spark, path)
+    last = rows.agg(F.max("_batch")).first()[0]
+    if last is not None:
+        latest(spark, keys, path).withColumn("_batch", F.lit(last)).write.mode("overwrite").parquet(f"{to}/batch={last:012d}")
