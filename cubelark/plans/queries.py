@@ -216,13 +216,25 @@ def forecast_decision(spark, d):
     return transitions(spark, d).select(*SEGMENT, "quarter_idx", rounded(M.forecast_decision(model, base, "quarterly", turn), 6).alias("quarterly"), rounded(M.forecast_decision(model, base, "monthly"), 6).alias("monthly"))
 
 
-MARTS: dict[tuple[str, str], DataFrame] = {}
+MARTS: dict[tuple, DataFrame] = {}
+
+
+def version(spark: SparkSession, d: str) -> tuple:
+    """What the star's files are now: number, bytes and time of the last change of each table's."""
+    out = []
+    for name in ("lineitem", "orders", "customer", "nation", "region"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        out.append((len(found), sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)))
+    return tuple(out)
 
 
 def mart(spark: SparkSession, d: str) -> Mart:
-    """The mart that the interface reads: stored once for a session and its tables, in folders by period."""
-    key = spark.sparkContext.applicationId, d
+    """The mart that the interface reads: stored once for a session and its tables as they are now, in folders by period. Tables that have changed since get a new one."""
+    key = spark.sparkContext.applicationId, d, version(spark, d)
     if key not in MARTS:
+        for old in [k for k in MARTS if k[:2] == key[:2]]:
+            del MARTS[old]
         to, rows = scratch(spark, "mart"), monthly(spark, d).withColumn("period", month_label_of(F.col("month_idx")))
         rows.repartition("period").write.partitionBy("period").parquet(to)
         MARTS[key] = spark.read.schema(rows.schema).parquet(to)

@@ -179,3 +179,18 @@ def test_ranks_are_selected_exactly(spark, monkeypatch):
         at = [0.0, 0.25, 0.5, 0.9, 1.0]
         assert exact.global_quantiles(df, "x", at) == [float(v) for v in np.quantile(np.array(values, float), at)] or np.allclose(exact.global_quantiles(df, "x", at), np.quantile(np.array(values, float), at), rtol=1e-12)
     assert exact.global_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
+
+
+def test_the_mart_follows_its_tables(spark, tmp_path):
+    import shutil
+
+    from cubelark.plans import queries as QS
+
+    for name in ("lineitem", "orders", "customer", "nation", "region"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    first = QS.mart(spark, str(tmp_path)).data.count()
+    assert QS.mart(spark, str(tmp_path)).data.count() == first and len([k for k in QS.MARTS if k[1] == str(tmp_path)]) == 1
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    (tmp_path / "lineitem.parquet").unlink()
+    lines.where("l_returnflag = 'A'").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert 0 < QS.mart(spark, str(tmp_path)).data.count() < first
