@@ -13,7 +13,7 @@ from cubelark.operators import metrics as M
 from cubelark.operators import profile as PR
 from cubelark.operators import quality as Q
 from cubelark.operators.cube import MONTHLY_KEYS, monthly_cube, reaggregate
-from cubelark.plans import canonical, datasets, model
+from cubelark.plans import canonical, datasets, forecasts, model
 from cubelark.session import session
 from cubelark.sources import readers, sinks
 
@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         c.add_argument("input")
         c.add_argument("--output")
+        c.add_argument("--no-save", action="store_true", help="print the result instead of writing it")
         for o in options:
             c.add_argument(f"--{o}")
         return c
@@ -62,6 +63,10 @@ def parser() -> argparse.ArgumentParser:
     command("tune-backtest", "kind", "periods", "grid")
     command("ensemble", "kind", "periods")
     command("transitions", "kind")
+    command("search", "kind", "periods", "grid", "stages")
+    command("residual-search", "kind", "periods", "grid", "stages")
+    command("fold-errors", "target", "model", "baseline", "keys", "min-rows")
+    command("fold-findings", "target", "model", "baseline", "keys")
     command("errors", "target", "model", "keys")
     command("markdown", "title")
     command("excel")
@@ -92,6 +97,10 @@ def main(argv: list[str] | None = None) -> DataFrame | None:
             out = build(a.kind, indexed(df))
         elif a.command == "evaluate":
             out = M.compare(df, a.target, a.model, a.baseline, a.keys.split(","))
+        elif a.command in ("fold-errors", "fold-findings"):
+            sets = [k.split("+") for k in a.keys.split(",")]
+            groups = M.group_error_sets(df, a.target, a.model, a.baseline, sets, int(getattr(a, "min_rows", None) or 1))
+            out = groups if a.command == "fold-errors" else M.findings(df, groups, a.target, a.model, a.baseline)
         elif a.command == "errors":
             out = M.group_errors(df, a.target, a.model, a.keys.split(","))
         elif a.command == "markdown":
@@ -109,7 +118,7 @@ def main(argv: list[str] | None = None) -> DataFrame | None:
             elif a.command == "train":
                 rows = M.time_split(df, order)
                 fitted = model.fit(rows, target, numeric, categorical)
-                if a.output:
+                if a.output and not a.no_save:
                     model.save_artefacts(fitted, spark, f"{a.output}-artefacts", numeric, categorical, {})
                 print(json.dumps(model.importances(fitted, numeric, categorical)[:20], ensure_ascii=False))
                 out = model.predict(fitted, rows, numeric, categorical)
@@ -120,7 +129,13 @@ def main(argv: list[str] | None = None) -> DataFrame | None:
                 out = M.evaluate(df, target, "median_salary_mid", ["quarter_transition"])
             else:
                 periods = [int(p) for p in a.periods.split(",")]
-                if a.command == "tune-backtest":
+                if a.command in ("search", "residual-search"):
+                    grid, gap = json.loads(a.grid), "gap_to_target_months" if order == "month_idx" else "gap_to_target_quarters"
+                    gap = gap if gap in df.columns else None
+                    values = {f"{c}_value": [c] for c in categorical} | {"segment_value": categorical}
+                    scores = forecasts.backtest_scores(df, target, "median_salary_mid", order, gap, periods, grid, [int(n) for n in a.stages.split(",")], a.command == "residual-search", numeric, values)
+                    out = forecasts.searched(scores, grid)
+                elif a.command == "tune-backtest":
                     out = model.backtest_search(df, target, numeric, categorical, order, periods, json.loads(a.grid), "median_salary_mid")
                 elif a.command == "ensemble":
                     folds = model.fold_predictions(df, target, numeric, categorical, order, periods)
@@ -128,7 +143,7 @@ def main(argv: list[str] | None = None) -> DataFrame | None:
                     out = M.fold_summary(scores, ["strategy"], "fold").orderBy("mean_mape", "worst_mape", "strategy")
                 else:
                     out = model.backtest(df, target, numeric, categorical, order, periods)
-    if a.output:
+    if a.output and not a.no_save:
         sinks.write_parquet(out, a.output)
     else:
         print(sinks.markdown(out, a.command))

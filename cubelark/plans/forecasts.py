@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,15 +70,15 @@ def searched(scores: DataFrame, grid: dict[str, Iterable[float]]) -> DataFrame:
     return named.join(summary, "candidate").withColumnRenamed("stage", "iterations").orderBy("mean_mape", "worst_mape", F.desc("better_share"), "candidate", "iterations")
 
 
-def backtest_scores(df: DataFrame, target: str, baseline: str, order: str, gap: str, folds: Sequence[int], grid: dict[str, Iterable[float]], stages: Sequence[int], residual: bool = False) -> DataFrame:
+def backtest_scores(df: DataFrame, target: str, baseline: str, order: str, gap: str | None, folds: Sequence[int], grid: dict[str, Iterable[float]], stages: Sequence[int], residual: bool = False, numeric: Sequence[str] = NUMERIC, categories: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(candidate, stage, fold, trees, row_count, mape, baseline_mape, better_rows): all candidates and stages on all folds, from one matrix and ``max(stages) * max(depth)`` jobs of fits.
 
-    With ``residual`` the trees learn the log ratio of the target to the baseline, else the target itself.
+    With ``residual`` the trees learn the log ratio of the target to the baseline, else the target itself. A target is known ``gap`` periods after its row's own, without such a column one.
     """
     rows = df.withColumn("_target", rounded(log_ratio(F.col(target), F.col(baseline)), 6) if residual else F.col(target).cast("double")).where(F.col("_target").isNotNull())
     carry = ["_actual", "_baseline"]
     kept = rows.withColumns({"_actual": F.col(target).cast("double"), "_baseline": F.col(baseline).cast("double")})
-    data = B.matrix(kept, "_target", NUMERIC, CATEGORIES, order, min(folds), carry, F.col(order) + F.col(gap))
+    data = B.matrix(kept, "_target", numeric, CATEGORIES if categories is None else categories, order, min(folds), carry, F.col(order) + (F.col(gap) if gap else 1))
     fits = B.fit_many(data, folds, candidates(grid), max(stages))
     found = B.predict_many(data, fits, stages, carry)
     value = from_log_ratio(F.col("prediction"), F.col("_baseline")) if residual else F.col("prediction")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cubelark import __main__ as cli
 from cubelark.operators import metrics as M
 from cubelark.plans import model
+from cubelark.plans.forecasts import ROWS
 from cubelark.plans.rows_only import ROWS_ONLY
 from cubelark.sources import readers
 
@@ -63,5 +64,22 @@ def test_command_line(spark, panel, tmp_path, capsys):
     assert run("evaluate", "--target", TARGET, "--model", "median_salary_mid", "--baseline", "median_salary_mid", "--keys", "region").count() == 1
     assert run("errors", "--target", TARGET, "--model", "median_salary_mid", "--keys", "source_dataset", "--output", str(tmp_path / "errors")).count() == 4
     assert spark.read.parquet(str(tmp_path / "errors")).count() == 4
+    axes = json.dumps({"depth": [1, 2], "rate": [0.3], "l2": [1.0]})
+    for command in ("search", "residual-search"):
+        found = run(command, "--kind", "broad-monthly", "--periods", "24310", "--grid", axes, "--stages", "1,2").collect()
+        assert sorted((r["depth"], r["iterations"]) for r in found) == [(1, 1), (1, 2), (2, 1), (2, 2)] and all(r["mean_mape"] is not None for r in found)
+    slices = ("--target", TARGET, "--model", "median_salary_mid", "--baseline", "median_salary_mid", "--keys", "region,source_dataset+region")
+    assert run("fold-errors", *slices, "--output", str(tmp_path / "kept"), "--no-save").count() == 5 and not (tmp_path / "kept").exists()
+    assert run("fold-findings", *slices).count() == 3
     run("markdown", "--title", "t")
     assert "## t" in capsys.readouterr().out
+
+
+def test_residual_backtest(spark):
+    """Each fold has all strategies, one of them chosen but on the first; equal calls give equal results."""
+    first, second = ([tuple(r) for r in ROWS["residual_backtest"](spark, "/root/testdata/sf0.001").orderBy("fold", "strategy").collect()] for _ in range(2))
+    assert first == second and first
+    chosen = {}
+    for r in first:
+        chosen[r[0]] = chosen.get(r[0], 0) + r[-1]
+    assert [chosen[f] for f in sorted(chosen)] == [0] + [1] * (len(chosen) - 1)
