@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cubelark.functions.dates import parse_date
 from cubelark.functions.exact import exact_mean, global_quantiles, quantile, rounded
-from cubelark.functions.text import MISSING_PLACEHOLDERS
+from cubelark.functions.text import MISSING_PLACEHOLDERS, to_number
 from cubelark.operators.cube import count_if
 
 
@@ -98,6 +99,39 @@ def profile_all(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def sections(df: DataFrame, dates: Sequence[str], salaries: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    """DQ-04: the date, salary and duplicate parts of a profile, a row for each column of each part.
+
+    ``rows`` and ``filled`` count rows and those with a value. ``flagged`` counts
+    dates that cannot be read, salaries that are not positive, and rows that
+    share their value with another; ``groups`` counts the values that are shared, 0 elsewhere. ``low`` and
+    ``high`` are the first and last date, or the ends of the salaries in whole
+    units. Placeholders are no values of an identifier. Dates and salaries come
+    from one scan; duplicates are counted by value before anything is shuffled,
+    whole rows by their hash.
+    """
+    aggs, out = [F.count(F.lit(1)).alias("_rows")], []
+    null = F.lit(None)
+    counted = lambda c: F.coalesce(count_if(c), F.lit(0)).cast("bigint")  # noqa: E731  0 without rows
+    for k, c in enumerate(dates):
+        text = F.col(f"`{c}`").cast("string")
+        when = parse_date(text)
+        aggs += [F.count(text).alias(f"d{k}_filled"), counted(text.isNotNull() & when.isNull()).alias(f"d{k}_flagged"), F.date_format(F.min(when), "yyyy-MM-dd").alias(f"d{k}_low"), F.date_format(F.max(when), "yyyy-MM-dd").alias(f"d{k}_high")]
+        out.append(F.struct(F.lit("dates").alias("section"), F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"d{k}_filled").alias("filled"), F.col(f"d{k}_flagged").alias("flagged"), F.lit(0).cast("bigint").alias("groups"), F.col(f"d{k}_low").alias("low"), F.col(f"d{k}_high").alias("high")))
+    for k, c in enumerate(salaries):
+        x = to_number(F.col(f"`{c}`").cast("string"))
+        aggs += [F.count(x).alias(f"s{k}_filled"), counted(x <= 0).alias(f"s{k}_flagged"), F.floor(F.min(x)).cast("bigint").cast("string").alias(f"s{k}_low"), F.floor(F.max(x)).cast("bigint").cast("string").alias(f"s{k}_high")]
+        out.append(F.struct(F.lit("salaries").alias("section"), F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"s{k}_filled").alias("filled"), F.col(f"s{k}_flagged").alias("flagged"), F.lit(0).cast("bigint").alias("groups"), F.col(f"s{k}_low").alias("low"), F.col(f"s{k}_high").alias("high")))
+    whole = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    parts = [df.agg(*aggs).select(F.inline(F.array(*out)))] if out else []
+    for name, key in [("full_row", whole), *[(c, F.when(~F.lower(F.trim(F.col(f"`{c}`").cast("string"))).isin(*MISSING_PLACEHOLDERS, ""), F.col(f"`{c}`").cast("string"))) for c in ids]]:
+        sizes = df.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+        twice = F.col("_k").isNotNull() & (F.col("n") > 1)
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+        parts.append(sizes.agg(total(F.col("n")).alias("rows"), total(F.when(F.col("_k").isNotNull(), F.col("n"))).alias("filled"), total(F.when(twice, F.col("n"))).alias("flagged"), counted(twice).alias("groups")).select(F.lit("duplicates").alias("section"), F.lit(name).alias("column"), "rows", "filled", "flagged", "groups", null.cast("string").alias("low"), null.cast("string").alias("high")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """RSH-03: n rows by a hash of key and seed: the same ones whatever the order and partitions."""
     return df.withColumn("_draw", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)).orderBy("_draw", key).limit(n).drop("_draw")

@@ -305,6 +305,15 @@ def profile_bundle(spark, d):
     return PR.profile_all({"part": table(spark, d, "part").select("p_brand", "p_size"), "documents": table(spark, d, "documents").select("lang", "source")})
 
 
+@query
+def profile_sections(spark, d):
+    """DQ-04: dates, salaries and duplicates of a source whose columns are found by their names."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    raw = o.select(F.when(key % 7 != 0, F.when(key % 5 == 0, F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("order_date"), F.when(key % 3 != 0, F.floor("o_totalprice") - 50000).cast("string").alias("salary"), F.when(key % 11 == 0, F.lit("N/A")).otherwise(F.col("o_custkey").cast("string")).alias("source_id"))
+    found = PR.guess_columns(raw)
+    return PR.sections(raw, found["date"], found["salary"], found["id"])
+
+
 @query
 def random_sample(spark, d):
     """RSH-03: the same rows for a seed, whatever the partitions."""

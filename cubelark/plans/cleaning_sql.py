@@ -122,6 +122,12 @@ CLEANING_SQL = {
     "filled": f"WITH {parts('region', 'occupation')} SELECT p_partkey, coalesce(raw_region, 'UNKNOWN') AS region, coalesce(raw_region, raw_occupation) AS either, CAST(p_partkey % 4 AS INT) AS n FROM p",
     "log_ratio_back": f"{OBSERVED} SELECT {SEGMENT}, month_idx, round(median_salary_mid * exp(ln(target) - ln(median_salary_mid)), 4) AS target FROM observed WHERE target > 0 AND median_salary_mid > 0",
     "canonical_hash": f"SELECT p_partkey, {hashed('p_brand', 'p_partkey', 'p_type', 'p_name', 'p_type', 'p_brand', 'p_name', 'p_size', 'p_size', 'p_partkey')} AS source_row_hash, p_brand || ':fallback:' || {hashed('p_name', 'p_type', 'p_brand', 'p_name', 'p_size', 'p_partkey')} AS source_key FROM part",
+    "profile_sections": """WITH r AS (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END END AS d, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(floor(o_totalprice) - 50000 AS BIGINT) END AS s, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS i FROM orders),
+      g AS (SELECT d, s, i, count(*) AS n FROM (SELECT d, s, coalesce(i, 'N/A') AS i FROM r) GROUP BY ALL), k AS (SELECT i, count(*) AS n FROM r GROUP BY 1)
+      SELECT 'dates' AS section, 'order_date' AS "column", count(*) AS rows, count(d) AS filled, count(*) FILTER (d = 'soon') AS flagged, CAST(0 AS BIGINT) AS groups, min(nullif(d, 'soon')) AS low, max(nullif(d, 'soon')) AS high FROM r
+      UNION ALL SELECT 'salaries', 'salary', count(*), count(s), count(*) FILTER (s <= 0), CAST(0 AS BIGINT), CAST(min(s) AS VARCHAR), CAST(max(s) AS VARCHAR) FROM r
+      UNION ALL SELECT 'duplicates', 'full_row', CAST(sum(n) AS BIGINT), CAST(sum(n) AS BIGINT), CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT), count(*) FILTER (n > 1), NULL, NULL FROM g
+      UNION ALL SELECT 'duplicates', 'source_id', CAST(sum(n) AS BIGINT), CAST(sum(n) FILTER (i IS NOT NULL) AS BIGINT), CAST(coalesce(sum(n) FILTER (n > 1 AND i IS NOT NULL), 0) AS BIGINT), count(*) FILTER (n > 1 AND i IS NOT NULL), NULL, NULL FROM k""",
     "fallback_dates": """WITH k AS (SELECT c_custkey AS k, printf('%02d', CAST(c_custkey % 28 + 1 AS INT)) AS day, printf('%02d', CAST(c_custkey % 12 + 1 AS INT)) AS month FROM customer)
       SELECT CAST(k AS VARCHAR) AS source_vacancy_id, CASE WHEN k % 10 = 0 THEN '2022-' || month || '-' || day WHEN k % 10 <> 1 THEN '2023-' || month || '-' || day END AS vacancy_date, CASE WHEN k % 10 = 0 THEN day || '.' || month || '.2022' WHEN k % 10 <> 1 THEN day || '/' || month || '/2023' END AS vacancy_date_raw FROM k""",
     "canonical_records": """SELECT 'hh_kaggle:' || CAST(c_custkey AS VARCHAR) AS source_key, '2022-03' AS vacancy_month, CASE WHEN floor(abs(c_acctbal)) > 0 THEN floor(abs(c_acctbal)) END AS salary_from, 'RUR' AS salary_currency, '1_to_3' AS experience_group, 'full_day' AS schedule_type, FALSE AS is_duplicate,

@@ -194,3 +194,16 @@ def test_the_mart_follows_its_tables(spark, tmp_path):
     (tmp_path / "lineitem.parquet").unlink()
     lines.where("l_returnflag = 'A'").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert 0 < QS.mart(spark, str(tmp_path)).data.count() < first
+
+
+def test_profile_sections_of_awkward_columns(spark):
+    from cubelark.operators import profile as PR
+
+    rows = [("2020-01-02", "10", "a"), ("never", "-1", "a"), (None, "x", " n/a "), ("01.02.2021", None, None), ("2020-01-02", "10", "a")]
+    got = {(r["section"], r["column"]): tuple(r)[2:] for r in PR.sections(spark.createDataFrame(rows, "at_date string, salary string, id string"), ["at_date"], ["salary"], ["id"]).collect()}
+    assert got[("dates", "at_date")] == (5, 4, 1, 0, "2020-01-02", "2021-02-01")
+    assert got[("salaries", "salary")] == (5, 3, 1, 0, "-1", "10")
+    assert got[("duplicates", "full_row")] == (5, 5, 2, 1, None, None)
+    assert got[("duplicates", "id")] == (5, 3, 3, 1, None, None)
+    none = PR.sections(spark.createDataFrame([], "id string"), [], [], ["id"]).collect()
+    assert [tuple(r)[2:6] for r in none] == [(0, 0, 0, 0)] * 2
