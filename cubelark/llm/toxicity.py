@@ -13,6 +13,10 @@ Features of a text are the numbers and shares of its windows whose advantage
 reaches each of a few thresholds, over the whole text; their weights are
 calibrated by a logistic curve on labelled texts that no dictionary has seen,
 which gives the score.
+
+This departs from plain compression distance: which windows make up the toxic
+dictionary is chosen by how much more often toxic texts have them. Without that
+choice half as many toxic texts are found (README).
 """
 
 from __future__ import annotations
