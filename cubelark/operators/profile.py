@@ -143,6 +143,16 @@ def against(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     return _long(df.agg(*aggs), columns, {"filled_pct": "double", "mean": "double", "r": "double"})
 
 
+def prepared_against(df: DataFrame, target: str, columns: Sequence[str], low: float = 12_000.0, high: float = 800_000.0, most_null_percent: float = 68.0) -> DataFrame:
+    """H-06 with its preparation: columns that are null too often go, rows count whose target is within bounds, then ``against`` for the columns that are left.
+
+    How often a column is null is taken over all rows, before the bounds.
+    """
+    kept = drop_sparse(df.select(target, *[c for c in columns if c != target]), most_null_percent)
+    left = [c for c in columns if c in kept.columns]
+    return against(df.where(F.col(target).between(low, high)), target, left)
+
+
 def date_coverage(df: DataFrame, column: str) -> DataFrame:
     """DT-09: rows by year, with the ends of the range at each."""
     return df.groupBy(F.year(column).alias("year")).agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min(column), "yyyy-MM-dd").alias("first"), F.date_format(F.max(column), "yyyy-MM-dd").alias("last"))

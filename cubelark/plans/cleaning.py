@@ -389,6 +389,13 @@ def education_difference(spark, d):
     return M.share_difference(r, "group", F.col("high"), "GROUP_A", "GROUP_B", 20.0)
 
 
+@query
+def prepared_correlations(spark, d):
+    """H-06: the columns that are filled often enough, over salaries within bounds."""
+    r = records(spark, d).withColumn("rare", F.when(F.col("quality_flag_count") >= 1, F.col("salary_mid")))
+    return PR.prepared_against(r, "salary_mid", ["salary_from", "salary_to", "month_idx", "rare"])
+
+
 @query
 def numeric_profile(spark, d):
     """H-06: filled share, mean and correlation with the salary of each numeric column."""

@@ -164,5 +164,6 @@ CLEANING_SQL = {
       SELECT *, small_pct > 60 AND large_pct < 15 AS holds FROM o""",
     "education_difference": f"""WITH {STAR}, g AS (SELECT coalesce(region IN ('ASIA', 'EUROPE'), FALSE) AS a, experience_group = '1-URGENT' AS high FROM star), o AS (SELECT round(100.0 * count(*) FILTER (a AND high) / count(*) FILTER (a), 4) AS a_pct, round(100.0 * count(*) FILTER (NOT a AND high) / count(*) FILTER (NOT a), 4) AS b_pct FROM g)
       SELECT *, round(a_pct - b_pct, 4) AS difference, round(a_pct - b_pct, 4) >= 20 AS holds FROM o""",
+    "prepared_correlations": f"WITH {STAR}, r AS (SELECT *, CASE WHEN quality_flag_count >= 1 THEN salary_mid END AS rare FROM star), " + "f AS (SELECT * FROM r WHERE salary_mid BETWEEN 12000 AND 800000) " + " UNION ALL ".join(f"SELECT '{c}' AS column, round(100.0 * count({c}) / count(*), 4) AS filled_pct, round({mean(c)}, 4) AS mean, round(corr({c}, salary_mid), 4) AS r FROM f HAVING (SELECT 100.0 * count(*) FILTER ({c} IS NULL) / count(*) FROM r) <= 68" for c in ("salary_from", "salary_to", "month_idx", "rare")),
     "numeric_profile": f"WITH {STAR} " + " UNION ALL ".join(f"SELECT '{c}' AS column, round(100.0 * count({c}) / count(*), 4) AS filled_pct, round({mean(c)}, 4) AS mean, round(corr({c}, salary_mid), 4) AS r FROM star" for c in ("salary_from", "salary_to", "month_idx", "quality_flag_count")),
 }
