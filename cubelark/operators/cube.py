@@ -27,6 +27,14 @@ def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns(absent) if absent else df
 
 
+def prepared(rows: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
+    """The columns that a cube needs, with the employer as ``_employer``; missing optional ones are null."""
+    require(rows, keys)
+    rows = with_optional(rows, {"salary_from": "double", "salary_to": "double", "salary_mid": "double", "is_remote": "boolean", "is_shift": "boolean", "is_full_time": "boolean", "quality_flag_count": "int", "employer_id": "string", "employer_name": "string"})
+    employer = F.coalesce(F.col("employer_id").cast("string"), F.col("employer_name").cast("string"))
+    return rows.select(*keys, *[c.alias(n) for n, c in more.items()], employer.alias("_employer"), *[F.col(c).cast("double").alias(c) for c in ("salary_from", "salary_to", "salary_mid")], "is_remote", "is_shift", "is_full_time", "quality_flag_count")
+
+
 def monthly_cube(rows: DataFrame, keys: Sequence[str] = MONTHLY_KEYS) -> DataFrame:
     """AGG-01 to AGG-03: counts, salary statistics, shares, distinct employers and the share of the largest one.
 
@@ -34,10 +42,7 @@ def monthly_cube(rows: DataFrame, keys: Sequence[str] = MONTHLY_KEYS) -> DataFra
     aggregates before the shuffle; ``employer_id`` is taken before the name.
     Missing optional columns count as null.
     """
-    require(rows, keys)
-    rows = with_optional(rows, {"salary_from": "double", "salary_to": "double", "salary_mid": "double", "is_remote": "boolean", "is_shift": "boolean", "is_full_time": "boolean", "quality_flag_count": "int", "employer_id": "string", "employer_name": "string"})
-    employer = F.coalesce(F.col("employer_id").cast("string"), F.col("employer_name").cast("string"))
-    base = rows.select(*keys, employer.alias("_employer"), F.col("salary_from").cast("double").alias("salary_from"), F.col("salary_to").cast("double").alias("salary_to"), F.col("salary_mid").cast("double").alias("salary_mid"), "is_remote", "is_shift", "is_full_time", "quality_flag_count")
+    base = prepared(rows, keys)
     measures = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("vacancy_count"),
         F.count("salary_mid").alias("salary_count"),

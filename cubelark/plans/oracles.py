@@ -109,6 +109,7 @@ SP = "[\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 
 ORACLES = {
     "cube_monthly": f"{CUBE} SELECT * FROM cube",
+    "cube_incremental": f"WITH {STAR}, {cube('source_dataset, quarter_idx, region, occupation_group')} SELECT * FROM cube",
     "cube_share": f"WITH {STAR} SELECT source_dataset, region, {part('is_remote')} AS remote_share, {part('quality_flag_count >= 1')} AS flagged_share FROM star GROUP BY 1, 2",
     "cube_broad_monthly": f"{MONTHLY} SELECT * FROM monthly",
     "cube_quarterly_weighted": f"{QUARTERLY} SELECT *, {QUARTER_LABEL} AS vacancy_quarter FROM quarterly",

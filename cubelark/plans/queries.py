@@ -17,6 +17,7 @@ from cubelark.operators import metrics as M
 from cubelark.operators import periods as P
 from cubelark.operators import profile as PR
 from cubelark.operators import quality as Q
+from cubelark.operators import states as ST
 from cubelark.operators.serving import Mart
 from cubelark.plans import datasets as D
 from cubelark.plans.star import KEYS, SEGMENT, records, table
@@ -25,6 +26,7 @@ from cubelark.session import scratch
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 FOLDS = (24000, 24006, 24012, 24015, 24018)
+QUARTER_KEYS = ("source_dataset", "quarter_idx", "region", "occupation_group")
 GROUPS = {"nr": ("N", "R")}
 
 
@@ -65,6 +67,16 @@ def cube_monthly(spark, d):
     return cube(spark, d)
 
 
+@query
+def cube_incremental(spark, d):
+    """The cube by quarters from a table of states by month: the months up to one of which not all records are known yet, then that month again with all later ones."""
+    r, path, month = records(spark, d), scratch(spark, "states"), F.col("vacancy_month")
+    late = F.col("month_idx") == FOLDS[2]
+    ST.store_states(r.where((F.col("month_idx") < FOLDS[2]) | (late & F.col("is_remote"))), QUARTER_KEYS, month, path)
+    ST.store_states(r.where(F.col("month_idx") >= FOLDS[2]), QUARTER_KEYS, month, path)
+    return ST.cube_of(ST.stored_states(spark, path, ST.cube_states(r, QUARTER_KEYS, month)), QUARTER_KEYS)
+
+
 @query
 def cube_share(spark, d):
     r = records(spark, d)
