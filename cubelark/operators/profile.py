@@ -14,6 +14,7 @@ from cubelark.functions.dates import parse_date
 from cubelark.functions.exact import exact_mean, global_quantiles, quantile, rounded
 from cubelark.functions.text import MISSING_PLACEHOLDERS, to_number
 from cubelark.operators.cube import count_if
+from cubelark.operators.distinct import exact_where, sketch
 
 
 def _long(one: DataFrame, columns: Sequence[str], fields: dict[str, str]) -> DataFrame:
@@ -158,18 +159,43 @@ def date_coverage(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.year(column).alias("year")).agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min(column), "yyyy-MM-dd").alias("first"), F.date_format(F.max(column), "yyyy-MM-dd").alias("last"))
 
 
-def roles(df: DataFrame) -> DataFrame:
-    """CAT-11: the role of each column by its type, name, distinct values and length; one aggregation."""
-    aggs, out = [F.count(F.lit(1)).alias("_rows")], []
-    for f in df.schema.fields:
+def roles(df: DataFrame, unique: float = 0.995, texts: float = 0.9, least: int = 1000) -> DataFrame:
+    """CAT-11: the role of each column by its type, name, distinct values and length.
+
+    One aggregation with a sketch for each column whose name and type leave its
+    role open; columns near a threshold are counted exactly. Its row decides, so
+    the result is a small local table. A table without rows has unknown shares,
+    which are below any threshold.
+    """
+    aggs, open_columns = [F.count(F.lit(1)).alias("rows")], []
+    is_date = lambda f: isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    named = lambda f: any(w in f.name.lower() for w in ("id", "uuid", "guid", "url", "link"))
+    for i, f in enumerate(df.schema.fields):
+        if is_date(f) or named(f):
+            continue
         c = F.col(f"`{f.name}`").cast("string")
-        aggs += [F.count_distinct(c).alias(f"{f.name}__distinct"), F.avg(F.char_length(c)).alias(f"{f.name}__length"), F.avg(c.try_cast("timestamp").isNotNull().cast("double")).alias(f"{f.name}__dates")]
-    for f in df.schema.fields:
-        unique = F.col(f"`{f.name}__distinct`") / F.col("_rows")
-        named = any(w in f.name.lower() for w in ("id", "uuid", "guid", "url", "link"))
-        kind = F.lit("datetime") if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.when(F.lit(named) | ((unique > 0.995) & (F.col("_rows") > 1000)), "id").when(F.lit(isinstance(f.dataType, T.NumericType)), "numeric").when(F.col(f"`{f.name}__dates`") >= 0.7, "datetime").when((F.col(f"`{f.name}__length`") > 50) | (unique > 0.9), "text").otherwise("categorical")
-        out.append(F.struct(F.lit(f.name).alias("column"), kind.alias("role")))
-    return df.agg(*aggs).select(F.inline(F.array(*out)))
+        open_columns.append(f.name)
+        aggs.append(F.hll_sketch_estimate(sketch(c)).alias(f"{i}_distinct"))
+        if not isinstance(f.dataType, T.NumericType):
+            aggs += [F.avg(F.char_length(c)).alias(f"{i}_length"), F.avg(c.try_cast("timestamp").isNotNull().cast("double")).alias(f"{i}_dates")]
+    one = df.agg(*aggs).first().asDict()
+    rows, at = one["rows"], {f.name: i for i, f in enumerate(df.schema.fields)}
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    limits = {c: [t * rows for t in ([unique] if rows > least else []) + ([] if c in numeric else [texts])] for c in open_columns}
+    counts = exact_where(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in open_columns]), {c: one[f"{at[c]}_distinct"] for c in open_columns}, limits if rows else {})
+
+    def role(f: T.StructField) -> str:
+        if is_date(f):
+            return "datetime"
+        if named(f) or (rows > least and counts[f.name] / rows > unique):
+            return "id"
+        if f.name in numeric:
+            return "numeric"
+        if (one[f"{at[f.name]}_dates"] or 0) >= 0.7:
+            return "datetime"
+        return "text" if (one[f"{at[f.name]}_length"] or 0) > 50 or (rows and counts[f.name] / rows > texts) else "categorical"
+
+    return df.sparkSession.createDataFrame([(f.name, role(f)) for f in df.schema.fields], "column string, role string")
 
 
 def guess_columns(df: DataFrame) -> dict[str, list[str]]:
@@ -180,10 +206,21 @@ def guess_columns(df: DataFrame) -> dict[str, list[str]]:
 
 
 def issues(df: DataFrame, nearly_unique: float = 0.98) -> DataFrame:
-    """DQ-13: constant, nearly unique and empty columns."""
-    aggs = [F.count(F.lit(1)).alias("_rows")] + [a for c in df.columns for a in (F.count_distinct(F.col(f"`{c}`")).alias(f"{c}__distinct"), F.count(F.col(f"`{c}`")).alias(f"{c}__filled"))]
-    long = df.agg(*aggs).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}__distinct`").alias("d"), F.col(f"`{c}__filled`").alias("f")) for c in df.columns])))
-    return long.select("column", F.when(F.col("f") == 0, "empty").when(F.col("d") == 1, "constant").when(F.col("d") > nearly_unique * F.col("f"), "nearly_unique").alias("issue")).where("issue is not null")
+    """DQ-13: constant, nearly unique and empty columns.
+
+    One aggregation: a column is constant if its least value is its largest, and
+    sketches tell the nearly unique ones; those near the threshold are counted
+    exactly. Its row decides, so the result is a small local table.
+    """
+    aggs = []
+    for i, name in enumerate(df.columns):
+        c = F.col(f"`{name}`")
+        aggs += [F.count(c).alias(f"f{i}"), F.min(c).eqNullSafe(F.max(c)).alias(f"c{i}"), F.hll_sketch_estimate(sketch(c)).alias(f"d{i}")]
+    one = df.agg(*aggs).first().asDict()
+    varied = {c: i for i, c in enumerate(df.columns) if one[f"f{i}"] and not one[f"c{i}"]}
+    counts = exact_where(df, {c: one[f"d{i}"] for c, i in varied.items()}, {c: [nearly_unique * one[f"f{i}"]] for c, i in varied.items()})
+    found = [(c, "empty" if not one[f"f{i}"] else "constant" if c not in varied else "nearly_unique" if counts[c] > nearly_unique * one[f"f{i}"] else None) for i, c in enumerate(df.columns)]
+    return df.sparkSession.createDataFrame([f for f in found if f[1]], "column string, issue string")
 
 
 def split_summary(df: DataFrame, condition: Column, value: str) -> DataFrame:
