@@ -72,8 +72,9 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"))}
-    mixed = mix(docs.select("doc_id", "source", "lang", "text"), dimensions, tokens_of(F.col("text")), keep_share=0.5)
-    return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    mixed = mix(docs.select("doc_id", "source", "lang", "text"), dimensions, tokens_of(F.col("text")), keep_share=0.5, meet=True)
+    short = [F.col("shortfall")[d].alias(f"{d}_shortfall") for d in dimensions]
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "probability", "kept", *short)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

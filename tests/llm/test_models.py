@@ -185,6 +185,70 @@ def test_mixing(spark, docs, empty):
     small = {(r.source, r.lang): r.probability for r in rows}
     large = {(r.source, r.lang): r.probability for r in by_spark.select("source", "lang", "probability").distinct().collect()}
     assert large == pytest.approx(small, rel=1e-4)
+    assert max(max(r.shortfall) for r in rows) <= mixing.SHORT
+    with pytest.raises(ValueError):
+        mixing.mix(table, {"kept": F.col("source")}, tokens)
     edge = mixing.mix(docs, dims, tokens)
     assert edge.count() == docs.count() and edge.select("row.*").columns == docs.columns
     assert mixing.mix(empty, dims, tokens).count() == 0
+
+
+def test_mixing_meets_its_targets_within_what_there_is(spark):
+    """More is asked of ``code`` than it has: its shortfall is reported, or the budget goes down until nothing falls short, and not further."""
+    table = sources(spark)
+    dims, tokens = {"source": F.col("source"), "lang": F.col("lang")}, mixing.tokens_of(F.col("text"))
+    targets = {"source": {"web": 0.1, "code": 0.8, "(none)": 0.1}, "lang": {"en": 0.7, "de": 0.3}}
+
+    def reached(rows):
+        got = [{}, {}]
+        for r in rows:
+            for sums, v in zip(got, (r.source, r.lang), strict=True):
+                sums[v] = sums.get(v, 0) + r.tokens * r.probability
+        return got
+
+    rows = mixing.mix(table, dims, tokens, targets, keep_share=0.9).collect()
+    total = sum(r.tokens for r in rows)
+    for sums, (d, wanted) in zip(reached(rows), targets.items(), strict=True):
+        for v, share in wanted.items():
+            missed = {r.shortfall[d] for r in rows if r[d] == v}
+            assert len(missed) == 1 and missed.pop() == pytest.approx(max(0.0, 1 - sums[v] / (share * 0.9 * total)), abs=1e-9)
+    assert max(r.shortfall["source"] for r in rows if r.source == "code") > 0.1
+    met = mixing.mix(table, dims, tokens, targets, keep_share=0.9, meet=True).collect()
+    assert all(0 <= r.probability <= 1 + 1e-12 and max(r.shortfall) <= mixing.SHORT for r in met)
+    by_source, by_lang = reached(met)
+    kept = sum(by_source.values())
+    for sums, wanted in ((by_source, targets["source"]), (by_lang, targets["lang"])):
+        assert {v: n / kept for v, n in sums.items()} == pytest.approx(wanted, rel=5e-4)
+    assert sum(r.weight * r.tokens for r in met) == pytest.approx(total, rel=1e-3)
+    more = mixing.mix(table, dims, tokens, targets, keep_share=kept / total * 1.01).collect()
+    assert max(max(r.shortfall) for r in more) > mixing.SHORT
+    one = {"source": F.col("source")}  # the form for very many cells, with few rounds
+    here, spread = ({(r.source, r.probability, r.shortfall["source"]) for r in mixing.mix(table, one, tokens, targets, keep_share=0.9, meet=True, most_cells=most).collect()} for most in (50_000, 0))
+    for (s, p, m), (t, q, o) in zip(sorted(here), sorted(spread), strict=True):
+        assert s == t and p == pytest.approx(q, rel=1e-6) and m == pytest.approx(o, abs=1e-6)
+
+
+def test_contradictory_marginals_keep_the_budget():
+    """The first value of either dimension is the same cell, of which one wants 0.9 and the other 0.1: no budget meets both."""
+    cells, codes, wanted = np.array([50.0, 50.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.9, 0.1]), np.array([0.1, 0.9])]
+
+    def rake_at(budget):
+        w = mixing.rake(cells, codes, wanted, budget)
+        return w, max(float(s.max()) for s in mixing.shortfalls(cells, codes, wanted, w, budget))
+
+    w, budget = mixing.meeting(rake_at, 20.0)
+    assert budget > 1 and rake_at(budget)[1] > mixing.SHORT and w.sum() <= budget * (1 + 1e-9)
+
+
+@pytest.mark.parametrize("where", [MEDIUM])
+def test_mixing_query_meets_its_targets(spark, where):
+    rows = queries.op6_mixing(spark, where).collect()
+    kept = sum(r.tokens * r.probability for r in rows)
+    for d in ("source", "lang", "topic"):
+        sums, got = {}, {}
+        for r in rows:
+            sums[r[d]] = sums.get(r[d], 0) + r.tokens
+            got[r[d]] = got.get(r[d], 0) + r.tokens * r.probability
+        wanted = {v: n**0.5 for v, n in sums.items()}
+        assert {v: n / kept for v, n in got.items()} == pytest.approx({v: n / sum(wanted.values()) for v, n in wanted.items()}, rel=1e-3)
+        assert max(r[f"{d}_shortfall"] for r in rows) <= mixing.SHORT
