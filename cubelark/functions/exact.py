@@ -1,4 +1,8 @@
-"""Aggregates whose results do not depend on the order of rows: sums run over decimals and become doubles at the end."""
+"""Aggregates whose results do not depend on the order of rows: sums run over decimals and become doubles at the end.
+
+Values are summed to six digits after the point, the seventh rounded; values of
+10 ** 12 or more are out of range: an error with ANSI on, null without.
+"""
 
 from __future__ import annotations
 
@@ -49,59 +53,70 @@ def quantiles(x: Column, at: Sequence[float], digits: int = 6) -> list[Column]:
 
 
 def global_quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float | None]:
-    """Exact quantiles of a whole table's column by distributed rank selection; NaN and null are left out.
+    """Exact quantiles of a whole table's column; NaN and null are left out."""
+    return whole_quantiles(df, {column: F.col(column)}, at)[column]
+
+
+def whole_quantiles(df: DataFrame, values: dict[str, Column], at: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several expressions over a whole table by distributed rank selection; NaN and null are left out.
 
     Approximate quantiles bound the values that a rank can have. Then every pass
     counts the values in ``CELLS`` equal parts of each rank's bounds and goes on
     with the part that the rank falls into, until it holds one value. All ranks
-    share a pass, and the driver sees counts only, ``CELLS`` for each rank.
+    of all expressions share a pass, and the driver sees counts only, ``CELLS``
+    for each rank.
     """
-    x = F.col(column).cast("double")
-    rows = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
+    each = F.array(*[F.struct(F.lit(i).alias("of"), v.cast("double").alias("x")) for i, v in enumerate(values.values())])
+    rows = df.select(F.inline(each)).where("x IS NOT NULL AND NOT isnan(x)")
     margin = 2 / ACCURACY
     bounds = F.percentile_approx("x", F.array(*[F.lit(b) for q in at for b in (max(0.0, q - margin), min(1.0, q + margin))]), ACCURACY)
-    n, least, most, ends = rows.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), bounds).first()
-    if not n:
-        return [None] * len(at)
-    places = [q * (n - 1) for q in at]
-    open_ranks: dict[int, tuple[float, float]] = {}
-    for i, place in enumerate(places):
-        for rank in {int(place), min(int(place) + (place > int(place)), n - 1)}:
-            low, high = open_ranks.get(rank, (ends[2 * i], ends[2 * i + 1]))
-            open_ranks[rank] = min(low, ends[2 * i]), max(high, ends[2 * i + 1])
-    values: dict[int, float] = {}
+    known = {r["of"]: r for r in rows.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), bounds.alias("ends")).collect()}  # a row for each expression
+    open_ranks: dict[tuple[int, int], tuple[float, float]] = {}
+    for of, r in known.items():
+        for i, q in enumerate(at):
+            for rank in _around(q, r["n"]):
+                low, high = open_ranks.get((of, rank), (r["ends"][2 * i], r["ends"][2 * i + 1]))
+                open_ranks[of, rank] = min(low, r["ends"][2 * i]), max(high, r["ends"][2 * i + 1])
+    found: dict[tuple[int, int], float] = {}
     while open_ranks:
         order = sorted(open_ranks)
 
-        def part(rank: int):
-            low, high = open_ranks[rank]
+        def part(of: int, rank: int):
+            low, high = open_ranks[of, rank]
             scaled = F.floor((F.col("x") / 2 - low / 2) / (high / 2 - low / 2) * CELLS) if high > low else F.lit(0)  # halves: the distance of two doubles may be none
-            return F.when(F.col("x") < low, -1).when(F.col("x") <= high, F.least(scaled, F.lit(CELLS - 1))).cast("int")
+            return F.when(F.col("of") != of, None).when(F.col("x") < low, -1).when(F.col("x") <= high, F.least(scaled, F.lit(CELLS - 1))).cast("int")
 
-        cells = F.array(*[F.struct(F.lit(r).alias("rank"), part(r).alias("cell")) for r in order])
-        counted = rows.select("x", F.explode(cells).alias("c")).where("c.cell IS NOT NULL").groupBy("c.rank", "c.cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        found: dict[int, list] = {}
+        cells = F.array(*[F.struct(F.lit(k).alias("k"), part(*key).alias("cell")) for k, key in enumerate(order)])
+        counted = rows.select("x", F.explode(cells).alias("c")).where("c.cell IS NOT NULL").groupBy("c.k", "c.cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        by_rank: dict[int, list] = {}
         for r in counted.collect():  # CELLS + 1 rows for each rank at most
-            found.setdefault(r["rank"], []).append((r["cell"], r["n"], r["low"], r["high"]))
-        for rank in order:
+            by_rank.setdefault(r["k"], []).append((r["cell"], r["n"], r["low"], r["high"]))
+        for k, (of, rank) in enumerate(order):
             seen = 0
-            for cell, count, low, high in sorted(found.get(rank, [])):
-                if cell >= 0 and seen + count > rank:
+            open_ranks[of, rank] = known[of]["least"], known[of]["most"]  # stays where the approximate bounds were too high or too low
+            for cell, count, low, high in sorted(by_rank.get(k, [])):
+                if cell >= 0 and seen <= rank < seen + count:
+                    open_ranks[of, rank] = low, high
                     if low == high:
-                        values[rank] = low
-                    open_ranks[rank] = low, high
+                        found[of, rank] = low
                     break
                 seen += count
-            else:  # the approximate bounds were too high or too low
-                open_ranks[rank] = least, most
-            if seen > rank:
-                open_ranks[rank] = least, most
-        open_ranks = {r: b for r, b in open_ranks.items() if r not in values}
-    out: list[float | None] = []
-    for place in places:
-        a, b = values[int(place)], values[min(int(place) + (place > int(place)), n - 1)]
-        out.append(a + (b - a) * (place - int(place)) if place > int(place) else a)
-    return out
+        open_ranks = {r: b for r, b in open_ranks.items() if r not in found}
+
+    def one(of: int, q: float) -> float | None:
+        if of not in known:
+            return None
+        place, (low, *high) = q * (known[of]["n"] - 1), _around(q, known[of]["n"])
+        a = found[of, low]
+        return a + (found[of, high[0]] - a) * (place - low) if high else a
+
+    return {name: [one(i, q) for q in at] for i, name in enumerate(values)}
+
+
+def _around(q: float, n: int) -> list[int]:
+    """The rank of a quantile among n values, or the two ranks that it lies between."""
+    low = int(q * (n - 1))
+    return [low, low + 1] if q * (n - 1) > low else [low]
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

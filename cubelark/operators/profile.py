@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubelark.functions.dates import parse_date
-from cubelark.functions.exact import exact_mean, global_quantiles, quantile, rounded
+from cubelark.functions.exact import exact_mean, global_quantiles, quantile, rounded, whole_quantiles
 from cubelark.functions.text import MISSING_PLACEHOLDERS, to_number
 from cubelark.operators.cube import count_if
 from cubelark.operators.distinct import exact_where, sketch
@@ -70,9 +70,10 @@ def correlations(df: DataFrame, columns: Sequence[str], least: float = 0.0, top:
 
 
 def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """AGG-19."""
+    """AGG-19; without keys the median comes from rank selection over the whole table, whose jobs run here."""
     x = F.col(column)
-    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), rounded(exact_mean(x), 4).alias("mean"), quantile(x, 0.5).alias("median"), rounded(F.stddev_samp(x), 3).alias("std"))
+    median = quantile(x, 0.5) if keys else rounded(F.lit(global_quantiles(df, column, [0.5])[0]).cast("double"), 6)
+    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), rounded(exact_mean(x), 4).alias("mean"), median.alias("median"), rounded(F.stddev_samp(x), 3).alias("std"))
 
 
 def text_lengths(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -224,5 +225,14 @@ def issues(df: DataFrame, nearly_unique: float = 0.98) -> DataFrame:
 
 
 def split_summary(df: DataFrame, condition: Column, value: str) -> DataFrame:
-    """AGG-11: count and median on either side of a condition, in one row."""
-    return df.agg(count_if(condition).alias("n_yes"), count_if(~condition).alias("n_no"), rounded(F.percentile(F.when(condition, F.col(value)).cast("double"), F.lit(0.5)), 6).alias("median_yes"), rounded(F.percentile(F.when(~condition, F.col(value)).cast("double"), F.lit(0.5)), 6).alias("median_no"))
+    """AGG-11: count and median on either side of a condition, in one row; the medians by rank selection, both sides in one pass."""
+    found = whole_quantiles(df, {"yes": F.when(condition, F.col(value)), "no": F.when(~condition, F.col(value))}, [0.5])
+    return df.agg(count_if(condition).alias("n_yes"), count_if(~condition).alias("n_no"), *[rounded(F.lit(m).cast("double"), 6).alias(f"median_{side}") for side, (m,) in found.items()])
+
+
+def filled(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """CAT-13, ML-06: of each named group of columns their names, the rows of the table and the values that are there, in one scan; columns that the table lacks have none."""
+    have = [c for c in dict.fromkeys(c for g in groups.values() for c in g) if c in df.columns]
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(have)])
+    total = lambda g: sum((F.col(f"_{have.index(c)}") for c in g if c in have), F.lit(0).cast("bigint"))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(",".join(g)).alias("columns"), F.col("_rows").alias("rows"), total(g).alias("filled")) for n, g in groups.items()])))

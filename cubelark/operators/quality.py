@@ -73,6 +73,12 @@ def schema_gate(frames: dict[str, DataFrame], required: Sequence[str]) -> dict[s
     return {n: {"missing": [c for c in required if c not in f.columns], "lacking": sorted(every - further[n])} for n, f in frames.items()}
 
 
+def gate_report(frames: dict[str, DataFrame], gate: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """DQ-07: what ``schema_gate`` found, a row for each source with its number of rows."""
+    parts = [f.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("source"), F.lit(",".join(gate[n]["missing"])).alias("missing"), F.lit(",".join(gate[n]["lacking"])).alias("lacking"), "rows") for n, f in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def union_sources(frames: dict[str, DataFrame], required: Sequence[str]) -> DataFrame:
     """SET-01: all rows of compatible sources, columns in order."""
     gate = schema_gate(frames, required)

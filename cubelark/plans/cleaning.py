@@ -258,11 +258,11 @@ def result_checks(spark, d):
 
 @query
 def schema_differences(spark, d):
-    """DQ-07, SET-05: columns that sources lack, by the schemas alone."""
+    """DQ-07, SET-05: columns that sources lack, and the rows that this concerns."""
     frames = {n: table(spark, d, t) for n, t in (("a", "customer"), ("b", "supplier"))}
     frames = {n: f.toDF(*[c.split("_", 1)[1] for c in f.columns]) for n, f in frames.items()}
     gate = Q.schema_gate(frames, ("name", "comment"))
-    return spark.createDataFrame([(n, ",".join(g["missing"]), ",".join(g["lacking"])) for n, g in gate.items()], "source string, missing string, lacking string")
+    return Q.gate_report(frames, gate)
 
 
 @query
@@ -288,9 +288,9 @@ def column_roles(spark, d):
 
 @query
 def guessed_columns(spark, d):
-    """CAT-13: by the names alone."""
+    """CAT-13: by the names, with the values that the columns hold."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("order_date"), F.col("o_totalprice").alias("salary_total"), F.col("o_custkey").alias("id"))
-    return spark.createDataFrame([(k, ",".join(v)) for k, v in PR.guess_columns(o).items()], "kind string, columns string")
+    return PR.filled(o, PR.guess_columns(o))
 
 
 @query
@@ -343,9 +343,9 @@ def fold_assignment(spark, d):
 
 @query
 def feature_availability(spark, d):
-    """ML-06: by the schema alone."""
-    found = model.setup(monthly(spark, d), ("median_salary_mid", "vacancy_count", "absent_share"), ("region", "absent_group"))
-    return spark.createDataFrame([(k, ",".join(v)) for k, v in found.items()], "kind string, columns string")
+    """ML-06: the features that there are, with their values."""
+    rows = monthly(spark, d)
+    return PR.filled(rows, model.setup(rows, ("median_salary_mid", "vacancy_count", "absent_share"), ("region", "absent_group")))
 
 
 @query

@@ -137,12 +137,12 @@ CLEANING_SQL = {
     "merge_audit": "SELECT 'source_dataset' AS what, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'salary_bound_type', l_linestatus, count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'quality_flags', 'large', count(*) FROM lineitem WHERE l_quantity > 45 HAVING count(*) > 0 UNION ALL SELECT 'quality_flags', 'untaxed', count(*) FROM lineitem WHERE l_tax = 0 HAVING count(*) > 0",
     "result_checks": f"""{CUBE}, c AS (SELECT count(*) AS n, count(*) FILTER (month_idx % 50 <> 0) AS ok, count(*) FILTER (salary_from = 0 OR salary_to = 0) AS zero, count(*) FILTER (source_dataset IS NULL) AS unnamed FROM star), m AS (SELECT sum(vacancy_count) AS counted, count(*) FILTER (vacancy_month IS NULL) AS monthless FROM cube)
       SELECT 'dates_parsed' AS "check", ok >= n * 0.9 AS passed FROM c UNION ALL SELECT 'no_zero_salary', zero = 0 FROM c UNION ALL SELECT 'sources_named', unnamed = 0 FROM c UNION ALL SELECT 'counts_conserved', counted = n FROM c, m UNION ALL SELECT 'months_named', monthless = 0 FROM m UNION ALL SELECT 'rows_saved', TRUE""",
-    "schema_differences": "SELECT 'a' AS source, 'comment' AS missing, 'suppkey' AS lacking UNION ALL SELECT 'b', 'comment', 'custkey,mktsegment'",
+    "schema_differences": "SELECT 'a' AS source, 'comment' AS missing, 'suppkey' AS lacking, count(*) AS rows FROM customer UNION ALL SELECT 'b', 'comment', 'custkey,mktsegment', count(*) FROM supplier",
     "column_issues": "SELECT 'p_partkey' AS column, 'nearly_unique' AS issue UNION ALL SELECT 'fixed', 'constant' UNION ALL SELECT 'blank', 'empty'",
     "dropped_columns": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS half FROM part",
     "column_roles": """WITH u AS (SELECT count(DISTINCT o_totalprice) / count(*) > 0.995 AND count(*) > 1000 AS unique_price FROM orders) SELECT 'o_orderkey' AS column, CASE WHEN count(*) > 1000 THEN 'id' ELSE 'numeric' END AS role FROM orders UNION ALL SELECT 'o_totalprice', CASE WHEN unique_price THEN 'id' ELSE 'numeric' END FROM u
       UNION ALL SELECT 'o_orderdate', 'datetime' UNION ALL SELECT 'o_orderstatus', 'categorical' UNION ALL SELECT 'o_note', CASE WHEN count(*) > 1000 THEN 'id' ELSE 'text' END FROM orders UNION ALL SELECT 'row_id', 'id'""",
-    "guessed_columns": "SELECT 'date' AS kind, 'order_date' AS columns UNION ALL SELECT 'salary', 'salary_total' UNION ALL SELECT 'id', 'order_id,id'",
+    "guessed_columns": "SELECT 'date' AS kind, 'order_date' AS columns, count(*) AS rows, count(o_orderdate) AS filled FROM orders UNION ALL SELECT 'salary', 'salary_total', count(*), count(o_totalprice) FROM orders UNION ALL SELECT 'id', 'order_id,id', count(*), count(o_orderkey) + count(o_custkey) FROM orders",
     "salary_summary": f"""WITH {STAR} SELECT count(*) AS rows, count(salary_from) AS low_filled, min(salary_from) AS low_least, max(salary_from) AS low_most, round({mean("salary_from")}, 4) AS low_mean, count(salary_to) AS high_filled, min(salary_to) AS high_least, max(salary_to) AS high_most, round({mean("salary_to")}, 4) AS high_mean,
       count(*) FILTER (salary_from <= 0 OR salary_to <= 0) AS not_positive, count(*) FILTER (salary_from > salary_to) AS inverted, count(*) FILTER (salary_from > 1000000 OR salary_to > 1000000) AS extreme, count(*) FILTER (salary_from IS NULL AND salary_to IS NULL) AS missing FROM star""",
     "profile_bundle": " UNION ALL ".join(f"SELECT '{t}' AS source, '{c}' AS column, '{k}' AS type, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER (trim(CAST({c} AS VARCHAR)) = '') AS empty, count(DISTINCT {c}) AS \"distinct\" FROM {t}" for t, c, k in (("part", "p_brand", "string"), ("part", "p_size", "int"), ("documents", "lang", "string"), ("documents", "source", "string"))),
@@ -150,7 +150,7 @@ CLEANING_SQL = {
     "period_deltas": f"{MONTHLY}, g AS (SELECT month_idx, CAST(sum(vacancy_count) AS BIGINT) AS vacancy_count FROM monthly GROUP BY 1) SELECT month_idx, vacancy_count, vacancy_count - lag(vacancy_count) OVER (ORDER BY month_idx) AS vacancy_count_delta FROM g ORDER BY month_idx DESC LIMIT 18",
     "ranked_candidates": f"{OBSERVED}, e AS (SELECT target, unnest([{STRATEGIES}]) AS o FROM predicted), s AS (SELECT o.s AS strategy, {scorecard('target', 'o.v')} FROM e GROUP BY 1) SELECT strategy, mape, ape_p90 FROM s ORDER BY mape, ape_p90, strategy LIMIT 5",
     "fold_assignment": f"{OBSERVED}, t AS (SELECT DISTINCT month_idx FROM observed WHERE target IS NOT NULL), f AS (SELECT month_idx, CAST(ntile(4) OVER (ORDER BY month_idx) - 1 AS INT) AS fold FROM t) SELECT fold, {scorecard('target', 'median_salary_mid')} FROM observed JOIN f USING (month_idx) WHERE target IS NOT NULL AND fold > 0 GROUP BY fold",
-    "feature_availability": "SELECT 'numeric' AS kind, 'median_salary_mid,vacancy_count' AS columns UNION ALL SELECT 'categorical', 'region' UNION ALL SELECT 'missing', 'absent_share,absent_group'",
+    "feature_availability": f"{MONTHLY} SELECT 'numeric' AS kind, 'median_salary_mid,vacancy_count' AS columns, count(*) AS rows, count(median_salary_mid) + count(vacancy_count) AS filled FROM monthly UNION ALL SELECT 'categorical', 'region', count(*), count(region) FROM monthly UNION ALL SELECT 'missing', 'absent_share,absent_group', count(*), 0 FROM monthly",
     "error_notes": f"""{OBSERVED}, c AS (SELECT region, round({mean(f"(100.0 * {ratio('abs(model - target)', 'abs(target)')})")}, 4) AS a, round({mean(f"(100.0 * {ratio('abs(median_salary_mid - target)', 'abs(target)')})")}, 4) AS b FROM predicted GROUP BY 1)
       SELECT region, coalesce(region, 'all') || ': model MAPE ' || coalesce(printf('%.2f', a), 'none') || ' against ' || coalesce(printf('%.2f', b), 'none') || CASE WHEN coalesce(round(a - b, 4), 0) < 0 THEN ', better' ELSE ', not better' END || ' than the baseline' AS note FROM c""",
     "health_row": f"{MONTHLY} SELECT CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) AS rows, CAST(max(month_idx) AS VARCHAR) AS latest FROM monthly",

@@ -18,6 +18,8 @@ from cubelark import streaming as ST
 from cubelark.streaming import event_stream, run_to_table, windowed_cube
 
 FILES: dict[str, Query] = {}
+#: Rows of a limited read.
+LIMITED = 150
 
 
 def query(f: Query) -> Query:
@@ -65,11 +67,29 @@ def quoted_csv(spark, d):
     return readers.read_source(spark, "hh_kaggle", readers.require_path(spark, to))
 
 
+@query
+def lines_csv(spark, d):
+    """SRC-04: fields of several lines, with quotes and separators, in files that are read in splits."""
+    to = scratch(spark, "lines")
+    sinks.write_csv(part(spark, d).select("id", F.concat("title", F.lit("\n\n;"), "size", F.lit('"')).alias("title"), "size"), to, ";")
+    return readers.read_csv(spark, to)
+
+
+@query
+def limited_read(spark, d):
+    """SRC-06: the first rows of a source; how many, and how many of them the table has."""
+    to = f"{scratch(spark, 'limited')}.csv"
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_brand")
+    sinks.write_csv(rows, to)
+    some = readers.read_any(spark, to, limit=LIMITED)
+    return some.join(rows.withColumn("there", F.lit(1)), ["id", "p_brand"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("there").alias("found"))
+
+
 @query
 def typed_csv(spark, d):
     """SRC-14: null tokens, and values of the wrong type as null."""
     to = scratch(spark, "typed")
-    sinks.write_metrics(part(spark, d), to)
+    sinks.write_csv(part(spark, d), to)
     return readers.read_csv_typed(spark, to, T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("size", T.IntegerType())])).select("id", "size")
 
 
@@ -156,6 +176,8 @@ FILES_SQL = {
     "sqlite_scan": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation",
     "ragged_csv": "SELECT CAST(p_partkey AS VARCHAR) AS id, replace(p_name, ' ', '|') AS resp, p_brand AS brand FROM part",
     "quoted_csv": """SELECT CAST(p_partkey AS VARCHAR) AS id, 'a "b"; ' || p_name AS title, CASE p_size % 3 WHEN 0 THEN 'N/A' WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE 'many' END AS size FROM part""",
+    "lines_csv": """SELECT id, title || chr(10) || chr(10) || ';' || size || '"' AS title, size FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, 'a "b"; ' || p_name AS title, CASE p_size % 3 WHEN 0 THEN 'N/A' WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE 'many' END AS size FROM part)""",
+    "limited_read": "SELECT least(count(*), 150) AS n, least(count(*), 150) AS found FROM part",
     "typed_csv": "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 1 THEN p_size END AS size FROM part",
     "sniffed_csv": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS VARCHAR) AS p_size FROM part",
     "spreadsheet": "SELECT n_nationkey, n_name FROM nation",

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cubelark.sources.quoted import read_quoted
+
 # Names of the sources, separators tried by the sniffer, tokens that are null in exploratory reads.
 SOURCES = ("trudvsem_latest", "hh_github", "hh_kaggle", "combined")
 LABELS = {"trudvsem_latest": "Trudvsem latest snapshot", "hh_github": "HeadHunter GitHub SQLite", "hh_kaggle": "HeadHunter Kaggle CSV", "combined": "HH/Trudvsem/Mendeley combined CSV"}
@@ -38,7 +40,7 @@ def require_path(spark: SparkSession, path: str, hint: str = "") -> str:
 
 def header(spark: SparkSession, path: str, separator: str) -> list[str]:
     first = spark.read.text(path).limit(1).first()
-    return [] if first is None else [c.strip() for c in next(csv.reader([first[0]], delimiter=separator), [])]
+    return [] if first is None else [c.strip("\ufeff \t\r") for c in next(csv.reader([first[0]], delimiter=separator), [])]
 
 
 def read_ragged(spark: SparkSession, path: str, columns: Sequence[str] | None = None, separator: str = "|", merged: str = MERGED_COLUMN) -> DataFrame:
@@ -54,10 +56,13 @@ def read_ragged(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return lines.select(*[v.alias(n) for n, v in values.items()])
 
 
-def read_csv(spark: SparkSession, path: str, separator: str = ";", columns: Sequence[str] | None = None) -> DataFrame:
-    """SRC-04: quoted, several lines a field allowed."""
-    reader = spark.read.option("sep", separator).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
-    return reader.schema(strings(columns)).csv(path) if columns else reader.option("inferSchema", False).csv(path)
+def read_csv(spark: SparkSession, path: str, separator: str = ";", columns: Sequence[str] | None = None, whole: bool = False) -> DataFrame:
+    """SRC-04: quoted, several lines a field allowed. Files are read in splits; ``whole`` reads each in one task, for files whose unquoted fields hold quotes."""
+    if whole:
+        reader = spark.read.option("sep", separator).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+        return reader.schema(strings(columns)).csv(path) if columns else reader.option("inferSchema", False).csv(path)
+    names = list(columns or [c or f"_c{i}" for i, c in enumerate(header(spark, path, separator))])
+    return read_quoted(spark, path, names, separator) if names else spark.createDataFrame([], strings(()))
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",", tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:

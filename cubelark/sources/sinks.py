@@ -10,6 +10,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a sheet below its header.
+SHEET_ROWS = 1_048_575
+
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", partition_by: Sequence[str] = ()) -> None:
     """SNK-01, SNK-02: in as many files as there are partitions."""
@@ -46,10 +49,20 @@ def write_metrics(df: DataFrame, path: str, separator: str = ",") -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
 
 
-def write_excel_csv(df: DataFrame, path: str) -> None:
-    """SNK-05: one file for spreadsheets: semicolons and a byte order mark, all rows, written by a task."""
+def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
+    """A table of any size as quoted CSV, in as many files as there are partitions, each with a header."""
+    df.write.mode("overwrite").option("header", True).option("sep", separator).option("escape", '"').csv(path)
+
+
+def write_excel_csv(df: DataFrame, path: str, files: int | None = 1) -> None:
+    """SNK-05: files for spreadsheets: semicolons and a byte order mark, all rows.
+
+    One file by default; with ``files`` None each partition writes its own. A
+    file that would have more rows than a sheet takes goes on in the next.
+    """
     first, *rest = df.columns
-    df.coalesce(1).toDF("\ufeff" + first, *rest).write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
+    dealt = df.coalesce(files) if files else df
+    dealt.toDF("\ufeff" + first, *rest).write.mode("overwrite").option("header", True).option("sep", ";").option("escape", '"').option("maxRecordsPerFile", SHEET_ROWS).csv(path)
 
 
 def markdown(df: DataFrame, title: str, rows: int = 50) -> str:

@@ -181,6 +181,23 @@ def test_ranks_are_selected_exactly(spark, monkeypatch):
     assert exact.global_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
 
 
+def test_whole_tables_have_exact_percentiles(spark):
+    """Without keys the quantiles are selected by rank; with one key for all rows they come from one state."""
+    rows = spark.range(3000).select(F.lit(1).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(997)) / 7.0).alias("a"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id", F.lit(2)), F.lit(997)) / 9.0).alias("p"))
+    assert M.evaluate(rows, "a", "p").first() == M.evaluate(rows, "a", "p", ["k"]).drop("k").first()
+    assert PR.describe(rows, "p").first() == PR.describe(rows, "p", ["k"]).drop("k").first()
+    got = PR.split_summary(rows, F.col("a") > 50, "p").first()
+    want = rows.agg(*[F.round(F.percentile(F.when(c, F.col("p")), F.lit(0.5)), 6) for c in (F.col("a") > 50, F.col("a") <= 50)]).first()
+    assert abs(got["median_yes"] - want[0]) < 1e-6 and abs(got["median_no"] - want[1]) < 1e-6
+    none = PR.split_summary(rows.limit(0), F.col("a") > 50, "p").first()
+    assert none["median_yes"] is None and M.evaluate(rows.limit(0), "a", "p").first()["medae"] is None
+
+
+def test_filled_columns(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, 3, None)], "a int, b int, c string")
+    assert [tuple(r) for r in PR.filled(rows, {"some": ["a", "b"], "none": ["z"], "all": ["a", "b", "c"]}).collect()] == [("some", "a,b", 2, 3), ("none", "z", 2, 0), ("all", "a,b,c", 2, 4)]
+
+
 def test_the_mart_follows_its_tables(spark, tmp_path):
     import shutil
 

@@ -70,3 +70,58 @@ def test_stream(spark, tmp_path):
     run_to_table(windowed_cube(event_stream(spark, str(tmp_path / "events.parquet"))), str(tmp_path / "out"), str(tmp_path / "check"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 9 and got.agg(F.max("n")).first()[0] == 60
+
+
+def quoted_text(rng, rows):
+    """A file of fields that hold line ends, quotes and separators, and its rows as an independent reader has them."""
+    import csv
+    import io
+
+    out = io.StringIO()
+    w = csv.writer(out, delimiter=";", lineterminator="\n")
+    w.writerow(["id", "text", "end"])
+    for i in range(rows):
+        w.writerow([i, "".join(rng.choice(list("ab ;\"\n")) for _ in range(rng.randrange(60))) + "z", rng.choice(["", "x", 'y"'])])
+    return out.getvalue(), [[v or None for v in r] for r in csv.reader(io.StringIO(out.getvalue()), delimiter=";")][1:]
+
+
+def test_quoted_in_splits(spark, tmp_path):
+    """Splits of a few bytes start in the middle of fields, and some fields span several of them."""
+    import random
+
+    rng = random.Random(4)
+    (tmp_path / "q").mkdir()
+    want = []
+    for k in range(3):
+        text, rows = quoted_text(rng, 40)
+        (tmp_path / "q" / f"{k}.csv").write_text(text, encoding="utf-8")
+        want += rows
+    (tmp_path / "q" / "empty.csv").write_text("")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for size in (23, 200, 1 << 20):
+        before = [spark.conf.get(n) for n in names]
+        for n in names:
+            spark.conf.set(n, str(size))
+        try:
+            got = [list(r) for r in readers.read_csv(spark, str(tmp_path / "q"), columns=["id", "text", "end"]).collect()]
+        finally:
+            for n, v in zip(names, before, strict=True):
+                spark.conf.set(n, v)
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_quoted_edges(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text('\ufeffa;b\r\n1;"x\r\ny"\r\n\r\n2;z;surplus\r\n3\r\n4;"open\nto the end', encoding="utf-8", newline="")
+    got = sorted(map(tuple, readers.read_csv(spark, str(p)).collect()))
+    assert got[:3] == [("1", "x\r\ny"), ("2", "z"), ("3", None)] and got[3][0] == "4" and len(got) == 4
+    q = tmp_path / "y.csv"
+    q.write_text('a;b\n1;5" disk\n2;x\n')
+    assert sorted(map(tuple, readers.read_csv(spark, str(q), whole=True).collect())) == [("1", '5" disk'), ("2", "x")]
+
+
+def test_sheets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 10)
+    sinks.write_excel_csv(spark.range(25).repartition(2), str(tmp_path / "s"), files=None)
+    files = list((tmp_path / "s").glob("*.csv"))
+    assert len(files) >= 4 and all(f.read_bytes().startswith(b"\xef\xbb\xbfid") for f in files)
