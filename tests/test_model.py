@@ -83,3 +83,16 @@ def test_residual_backtest(spark):
     for r in first:
         chosen[r[0]] = chosen.get(r[0], 0) + r[-1]
     assert [chosen[f] for f in sorted(chosen)] == [0] + [1] * (len(chosen) - 1)
+
+
+def test_stored_model_is_the_fitted_one(spark):
+    from cubelark.plans import rows_only
+
+    got = ROWS_ONLY["model_artefacts"](spark, DATA).collect()
+    features = [*rows_only.NUMERIC, *rows_only.CATEGORIES]
+    assert [r["place"] for r in got] == list(range(1, len(features) + 1)) and {r["feature"] for r in got} == set(features) and got[0]["depth"] == 4
+    assert abs(sum(r["importance"] for r in got) - 1) < 1e-9 and [r["importance"] for r in got] == sorted((r["importance"] for r in got), reverse=True)
+    rows = rows_only.training_rows(spark, DATA)
+    fitted = model.fit(rows, "target", features, [], maxIter=5, maxDepth=4)
+    want = M.evaluate(model.predict(fitted, rows.where("split = 'test'"), features, []), "target", "prediction").first()
+    assert all((r["valid_row_count"], r["mape"]) == (want["valid_row_count"], want["mape"]) for r in got)
