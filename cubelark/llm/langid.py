@@ -110,8 +110,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     The bundle of a language is a sum, made in the tasks and then by Spark over (language, dimension); only the prototypes reach the driver.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out("id"), F.lit(False)))
-    sizes = known.groupBy("lang").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("share"))  # a row for each language
-    known = known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)).drop("share")
+    sizes = known.groupBy("lang").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("share"))  # a row for each language, as are the prototypes
+    known = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)).drop("share")
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
