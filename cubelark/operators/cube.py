@@ -38,12 +38,17 @@ def prepared(rows: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
 def monthly_cube(rows: DataFrame, keys: Sequence[str] = MONTHLY_KEYS) -> DataFrame:
     """AGG-01 to AGG-03: counts, salary statistics, shares, distinct employers and the share of the largest one.
 
-    Employers are counted in two levels (keys and employer, then keys), which
-    aggregates before the shuffle; ``employer_id`` is taken before the name.
-    Missing optional columns count as null.
+    Records are dealt by their keys once, as they are: states of exact quantiles
+    are larger than the records that they stand for, and so are not made before.
+    There the records of an employer are numbered, which counts the employers
+    and the largest one's records in the same aggregation. ``employer_id`` is
+    taken before the name. Missing optional columns count as null.
     """
-    base = prepared(rows, keys)
-    measures = base.groupBy(*keys).agg(
+    base = prepared(rows, keys).repartition(*keys)
+    numbered = base.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_employer").orderBy("_employer")))  # any order: only whether it is the first, and the last number, count
+    known = F.col("_employer").isNotNull()
+    total = F.col("vacancy_count").cast("double")
+    out = numbered.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("vacancy_count"),
         F.count("salary_mid").alias("salary_count"),
         *[c.alias(f"{n}_salary_mid") for n, c in zip(("p25", "median", "p75"), quantiles(F.col("salary_mid"), (0.25, 0.5, 0.75)), strict=True)],
@@ -54,10 +59,10 @@ def monthly_cube(rows: DataFrame, keys: Sequence[str] = MONTHLY_KEYS) -> DataFra
         share(F.col("is_full_time")).alias("full_time_share"),
         share(F.col("is_shift")).alias("shift_share"),
         share(F.coalesce(F.col("quality_flag_count"), F.lit(0)) == 0).alias("data_quality_score"),
+        F.count(F.when(known & (F.col("_k") == 1), 1)).alias("employer_count"),
+        F.coalesce(F.max(F.when(known, F.col("_k"))), F.lit(0)).alias("_top"),
     )
-    employers = base.groupBy(*keys, "_employer").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.count("_employer").alias("employer_count"), F.coalesce(F.max(F.when(F.col("_employer").isNotNull(), F.col("_n"))), F.lit(0)).alias("_top"))
-    out = null_safe_join(measures, employers, keys)
-    return out.withColumns({"salary_missing_rate": 1 - F.col("salary_count").cast("double") / F.col("vacancy_count").cast("double"), "top_employer_share": F.col("_top").cast("double") / F.col("vacancy_count").cast("double")}).drop("_top")
+    return out.withColumns({"salary_missing_rate": 1 - F.col("salary_count").cast("double") / total, "top_employer_share": F.col("_top").cast("double") / total}).drop("_top")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -15,6 +15,7 @@ from cubelark.operators.encoding import ordered_target
 from cubelark.plans import boosting as B
 from cubelark.plans.queries import FOLDS, Query, observed, predicted
 from cubelark.plans.star import SEGMENT, records
+from cubelark.session import stored
 
 FORECASTS: dict[str, Query] = {}
 ROWS: dict[str, Query] = {}
@@ -87,18 +88,18 @@ def backtest_scores(df: DataFrame, target: str, baseline: str, order: str, gap:
 
 
 def supervised(spark: SparkSession, d: str) -> DataFrame:
-    return observed(spark, d).where("target IS NOT NULL AND median_salary_mid IS NOT NULL")
+    return stored(observed(spark, d).where("target IS NOT NULL AND median_salary_mid IS NOT NULL"), "observed")
 
 
 def seasonal_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = observed(spark, d).where("target IS NOT NULL AND median_salary_mid > 0").withColumn("season", F.col("month_idx") % 12)
+    rows = stored(observed(spark, d).where("target IS NOT NULL AND median_salary_mid > 0"), "observed").withColumn("season", F.col("month_idx") % 12)
     return with_seasonal_baseline(rows, ["source_dataset", "season"], "target", "median_salary_mid", "month_idx", "gap_to")
 
 
 @query
 def ordered_targets(spark, d):
     """ML-08: categories as ordered target statistics."""
-    rows = observed(spark, d).where("target IS NOT NULL")
+    rows = stored(observed(spark, d).where("target IS NOT NULL"), "observed")
     return ordered_target(rows, CATEGORIES, "target", "month_idx", F.col("month_idx") + F.col("gap_to")).select(*SEGMENT, "month_idx", *CATEGORIES)
 
 

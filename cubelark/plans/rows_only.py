@@ -11,7 +11,7 @@ from cubelark.operators.encoding import ordered_target
 from cubelark.plans import model
 from cubelark.plans.forecasts import CATEGORIES, NUMERIC
 from cubelark.plans.queries import Query, observed
-from cubelark.session import scratch
+from cubelark.session import scratch, stored
 from cubelark.sources import readers
 
 ROWS_ONLY: dict[str, Query] = {}
@@ -24,8 +24,8 @@ def query(f: Query) -> Query:
 
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows with a target, their split and their categories as ordered target statistics."""
-    rows = M.time_split(observed(spark, d).where("target is not null and median_salary_mid is not null"), "month_idx")
-    return ordered_target(rows, CATEGORIES, "target", "month_idx", F.col("month_idx") + F.col("gap_to"))
+    seen = stored(observed(spark, d).where("target is not null and median_salary_mid is not null"), "observed")  # a row for each segment and month
+    return stored(ordered_target(M.time_split(seen, "month_idx"), CATEGORIES, "target", "month_idx", F.col("month_idx") + F.col("gap_to")), "training")
 
 
 @query

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "cubelark", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,3 +44,10 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cubelark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A small table that several steps read: written to a new folder of ``scratch`` and read back, so that what it is made of is computed once."""
+    to = scratch(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
