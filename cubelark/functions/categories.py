@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cubelark.functions.text import clean_text, keyword_category, squeeze, strip
+from cubelark.functions.text import clean_text, keyword_category, once, squeeze, strip
 
 # Spellings of regions, and keywords of occupations in the order in which they are tried.
 REGION_ALIASES = {
@@ -44,22 +44,34 @@ OTHER, UNKNOWN = "Другое", "unknown"
 
 def region(c: Column) -> tuple[Column, Column]:
     """CAT-01: (name, whether it is unknown)."""
-    text = clean_text(c)
     aliases = F.create_map(*[F.lit(x) for x in chain.from_iterable(REGION_ALIASES.items())])
-    key = strip(squeeze(F.regexp_replace(F.translate(F.lower(text), "ё.,", "е  "), r"\([^)]*\)", "")))
-    short = F.regexp_replace(key, r"^(обл|область|край|республика|респ)\s+", "")
-    return F.coalesce(F.element_at(aliases, key), F.element_at(aliases, short), F.element_at(aliases, F.lower(text)), text), text.isNull()
+
+    def name(text: Column) -> Column:
+        key = strip(squeeze(F.regexp_replace(F.translate(F.lower(text), "ё.,", "е  "), r"\([^)]*\)", "")))
+        short = lambda k: F.regexp_replace(k, r"^(обл|область|край|республика|респ)\s+", "")
+        return F.coalesce(once(key, lambda k: F.coalesce(F.element_at(aliases, k), F.element_at(aliases, short(k)))), F.element_at(aliases, F.lower(text)), text)
+
+    return once(clean_text(c), name), clean_text(c).isNull()
 
 
 def occupation(c: Column) -> Column:
     """CAT-02."""
-    return keyword_category(clean_text(c), OCCUPATION_KEYWORDS, OTHER, UNKNOWN)
+    return once(clean_text(c), lambda t: keyword_category(t, OCCUPATION_KEYWORDS, OTHER, UNKNOWN))
 
 
 def experience(c: Column) -> tuple[Column, Column, Column]:
     """CAT-03: (least years, most years, group)."""
-    t = F.lower(clean_text(c))
-    numbers = F.transform(F.regexp_extract_all(t, F.lit(r"(\d+(?:[,.]\d+)?)"), F.lit(1)), lambda n: F.replace(n, F.lit(","), F.lit(".")).try_cast("double"))
+    found = once(F.lower(clean_text(c)), lambda t: once(_numbers(t), lambda numbers: _years(t, numbers)))
+    with_group = once(found, lambda y: F.struct(y["low"].alias("low"), y["high"].alias("high"), _experience_group(y["low"], y["high"]).alias("group")))
+    return with_group["low"], with_group["high"], with_group["group"]
+
+
+def _numbers(t: Column) -> Column:
+    return F.transform(F.regexp_extract_all(t, F.lit(r"(\d+(?:[,.]\d+)?)"), F.lit(1)), lambda n: F.replace(n, F.lit(","), F.lit(".")).try_cast("double"))
+
+
+def _years(t: Column, numbers: Column) -> Column:
+    """(low, high) of a cleaned text and the numbers in it."""
     first = F.get(numbers, F.lit(0))
     rules = [  # fixed values: spellings and their years
         (t.isin("noexperience", "нет опыта", "без опыта", "0"), 0.0, 0.0),
@@ -71,9 +83,11 @@ def experience(c: Column) -> tuple[Column, Column, Column]:
     low, high = F.when(t.isNull(), F.lit(None).cast("double")), F.when(t.isNull(), F.lit(None).cast("double"))
     for rule, a, b in rules:
         low, high = low.when(rule, F.lit(a)), high.when(rule, F.lit(b).cast("double"))
-    low, high = low.otherwise(first), high.otherwise(F.coalesce(F.get(numbers, F.lit(1)), first))
-    group = F.when(low.isNull(), UNKNOWN).when((low == 0) & F.coalesce(high == 0, F.lit(False)), "no_experience").when((low < 1) & (high.isNull() | (high <= 1)), "up_to_1").when(low < 3, "1_to_3").when(low < 6, "3_to_6").otherwise("6_plus")
-    return low, high, group
+    return F.struct(low.otherwise(first).alias("low"), high.otherwise(F.coalesce(F.get(numbers, F.lit(1)), first)).alias("high"))
+
+
+def _experience_group(low: Column, high: Column) -> Column:
+    return F.when(low.isNull(), UNKNOWN).when((low == 0) & F.coalesce(high == 0, F.lit(False)), "no_experience").when((low < 1) & (high.isNull() | (high <= 1)), "up_to_1").when(low < 3, "1_to_3").when(low < 6, "3_to_6").otherwise("6_plus")
 
 
 def schedule(c: Column, fold_yo: bool = False, part_time_first: bool = False) -> tuple[Column, Column, Column, Column]:
@@ -82,19 +96,21 @@ def schedule(c: Column, fold_yo: bool = False, part_time_first: bool = False) ->
     By default the spelling with ё is not remote, and part time in Russian is
     full day, as it contains that word; the two options mend these.
     """
-    text = clean_text(c)
-    t = F.lower(text)
-    t = F.coalesce(F.translate(t, "ё", "е") if fold_yo else t, F.lit(""))
+    def kinds(text: Column, t: Column) -> Column:
+        def has(*words: str) -> Column:
+            return t.rlike("|".join(words))
 
-    def has(*words: str) -> Column:
-        return F.lit(False) if not words else t.rlike("|".join(words))
+        # Words of each kind of schedule, and the names of the kinds.
+        remote, shift, fly = has("remote", "удален", "дистанц"), has("смен", "shift", "график"), has("вахт", "flyinflyout")
+        full, part = has("полный") | (t == "fullday"), has("неполный", "part")
+        kind = F.when(text.isNull(), UNKNOWN).when(fly, "fly_in_fly_out").when(remote, "remote")
+        kind = kind.when(part, "part_time").when(full, "full_day") if part_time_first else kind.when(full, "full_day").when(part, "part_time")
+        kind = kind.when(has("гибк", "flexible"), "flexible").when(shift, "shift").otherwise("other")
+        return F.struct(kind.alias("kind"), remote.alias("remote"), shift.alias("shift"), fly.alias("fly"))
 
-    # Words of each kind of schedule, and the names of the kinds.
-    remote, shift, fly = has("remote", "удален", "дистанц"), has("смен", "shift", "график"), has("вахт", "flyinflyout")
-    full, part = has("полный") | (t == "fullday"), has("неполный", "part")
-    kind = F.when(text.isNull(), UNKNOWN).when(fly, "fly_in_fly_out").when(remote, "remote")
-    kind = kind.when(part, "part_time").when(full, "full_day") if part_time_first else kind.when(full, "full_day").when(part, "part_time")
-    return kind.when(has("гибк", "flexible"), "flexible").when(shift, "shift").otherwise("other"), remote, shift, fly
+    folded = lambda t: F.coalesce(F.translate(t, "ё", "е") if fold_yo else t, F.lit(""))
+    found = once(clean_text(c), lambda text: once(folded(F.lower(text)), lambda t: kinds(text, t)))
+    return found["kind"], found["remote"], found["shift"], found["fly"]
 
 
 def support_bucket(n: Column) -> Column:
@@ -117,7 +133,7 @@ EDUCATION = (
 
 def education(c: Column) -> Column:
     """CAT-06."""
-    return keyword_category(clean_text(c), EDUCATION, "NONE", "NONE")
+    return once(clean_text(c), lambda t: keyword_category(t, EDUCATION, "NONE", "NONE"))
 
 
 def in_group(c: Column, named: tuple[str, ...], district: Column, districts: tuple[str, ...], yes: str, middle: str | None, no: str) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubelark.functions.text import leading_year, strip
+from cubelark.functions.text import leading_year, once, strip
 
 MIN_DATE, MAX_DATE = "2000-01-01", "2026-05-21"
 DAY_FIRST, SLASHED = r"^\d{1,2}\.\d{1,2}\.\d{4}", r"^\d{1,2}/\d{1,2}/\d{4}"
@@ -23,14 +23,16 @@ def parse_date(c: Column, slashes_day_first: Column | None = None) -> Column:
 
     Dates with slashes are read only where it is said how, the other way round if they make no date so.
     """
-    text = strip(c)
-    day_first = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("d.M.yyyy", "d.M.yyyy H:mm", "d.M.yyyy H:mm:ss")])
-    offset = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    when = F.when(text.rlike(DAY_FIRST), day_first).otherwise(F.try_to_timestamp(offset))
-    if slashes_day_first is not None:
+    def read(text: Column) -> Column:
+        day_first = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("d.M.yyyy", "d.M.yyyy H:mm", "d.M.yyyy H:mm:ss")])
+        offset = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+        when = F.when(text.rlike(DAY_FIRST), day_first).otherwise(F.try_to_timestamp(offset))
+        if slashes_day_first is None:
+            return when
         day, month = (F.coalesce(*[F.try_to_timestamp(text, F.lit(f + t)) for t in ("", " H:mm", " H:mm:ss")]) for f in ("d/M/yyyy", "M/d/yyyy"))
-        when = F.when(text.rlike(SLASHED), F.when(slashes_day_first, F.coalesce(day, month)).otherwise(F.coalesce(month, day))).otherwise(when)
-    return F.when(F.year(when).between(1678, 2261), when)
+        return F.when(text.rlike(SLASHED), F.when(slashes_day_first, F.coalesce(day, month)).otherwise(F.coalesce(month, day))).otherwise(when)
+
+    return once(once(strip(c), read), lambda when: F.when(F.year(when).between(1678, 2261), when))
 
 
 def parse_failed(raw: Column, parsed: Column) -> Column:

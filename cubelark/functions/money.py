@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cubelark.functions.text import clean_salary_text, squeeze, to_number
+from cubelark.functions.text import clean_salary_text, once, squeeze, to_number
 
 EXTREME = 1_000_000
 
@@ -37,18 +37,25 @@ def parse_salary(text: Column, word_bounds: bool = False) -> dict[str, Column]:
     ``word_bounds`` asks for the words for from and to as words of their own;
     without it they count anywhere in the text.
     """
-    raw = clean_salary_text(text)
-    folded = F.lower(raw)
-    found = F.regexp_extract_all(raw, F.lit(r"(\d[\d\s ]*(?:[,.]\d+)?)"), F.lit(1))
-    numbers = F.transform(found, lambda n: F.replace(F.regexp_replace(n, r"(?U)\s", ""), F.lit(","), F.lit(".")).try_cast("double"))
-    has = (lambda w: folded.rlike(rf"(?U)\b{w}\b")) if word_bounds else (lambda w: folded.contains(w))
-    first, second, n = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)), F.size(numbers)
-    both = has("от") & has("до") & (n >= 2)
-    low = F.when(both, first).when(has("от") & (n >= 1), first).when(has("до") & (n >= 1), F.lit(None)).when(n >= 1, first)
-    high = F.when(both, second).when(has("от") & (n >= 1), F.lit(None)).when(has("до") & (n >= 1), first).when(n >= 2, second)
-    currency = F.nullif(F.regexp_extract(raw, r"\b([A-Z]{3})\b", 1), F.lit(""))
-    status = F.when(raw.isNull(), "missing").when(low.isNotNull() | high.isNotNull(), "parsed").otherwise("unparsed")
-    return {"salary_from": low, "salary_to": high, "salary_currency": currency, "salary_parse_status": status}
+    def parsed(raw: Column, folded: Column, numbers: Column) -> Column:
+        has = (lambda w: folded.rlike(rf"(?U)\b{w}\b")) if word_bounds else (lambda w: folded.contains(w))
+        first, second, n = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)), F.size(numbers)
+        both = has("от") & has("до") & (n >= 2)
+        low = F.when(both, first).when(has("от") & (n >= 1), first).when(has("до") & (n >= 1), F.lit(None)).when(n >= 1, first)
+        high = F.when(both, second).when(has("от") & (n >= 1), F.lit(None)).when(has("до") & (n >= 1), first).when(n >= 2, second)
+        currency = F.nullif(F.regexp_extract(raw, r"\b([A-Z]{3})\b", 1), F.lit(""))
+        return F.struct(low.alias("salary_from"), high.alias("salary_to"), currency.alias("salary_currency"))
+
+    def numbers_of(raw: Column) -> Column:
+        found = F.regexp_extract_all(raw, F.lit(r"(\d[\d\s ]*(?:[,.]\d+)?)"), F.lit(1))
+        return F.transform(found, lambda n: F.replace(F.regexp_replace(n, r"(?U)\s", ""), F.lit(","), F.lit(".")).try_cast("double"))
+
+    def with_status(raw: Column, p: Column) -> Column:
+        status = F.when(raw.isNull(), "missing").when(p["salary_from"].isNotNull() | p["salary_to"].isNotNull(), "parsed").otherwise("unparsed")
+        return F.struct(p["salary_from"].alias("salary_from"), p["salary_to"].alias("salary_to"), p["salary_currency"].alias("salary_currency"), status.alias("salary_parse_status"))
+
+    read = once(clean_salary_text(text), lambda raw: once(once(numbers_of(raw), lambda numbers: parsed(raw, F.lower(raw), numbers)), lambda p: with_status(raw, p)))
+    return {n: read[n] for n in ("salary_from", "salary_to", "salary_currency", "salary_parse_status")}
 
 
 def salary_flags(low: Column, high: Column, raw_low: Column, raw_high: Column, currency: Column) -> dict[str, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ QUOTED_PLACEHOLDERS = ("", "none", "nan", "null")
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "да"), ("false", "0", "no", "нет")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once a row: a column is an expression, computed again wherever it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -30,7 +35,7 @@ def strip_quotes(c: Column) -> Column:
 
 
 def none_of(c: Column, words: Iterable[str]) -> Column:
-    return F.when(F.lower(c).isin(*words), F.lit(None)).otherwise(c)
+    return once(c, lambda x: F.when(F.lower(x).isin(*words), F.lit(None)).otherwise(x))
 
 
 def clean_text(c: Column) -> Column:

@@ -5,6 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from cubelark.functions import categories as CAT
+from cubelark.functions import money as MON
 from cubelark.operators import cube as C
 from cubelark.plans import forecasts, rows_only
 from cubelark.plans.star import records
@@ -38,3 +40,11 @@ def test_lines_meet_orders_once_and_last(spark):
 def test_training_rows_are_computed_once(spark):
     for rows in (rows_only.training_rows(spark, DATA), forecasts.supervised(spark, DATA)):
         assert "Exchange" not in plan(rows) and "lineitem" not in plan(rows)
+
+
+def test_texts_are_cleaned_once_for_all_rules(spark):
+    """Cleaning has four replacements and is spelt twice in a column: an expression that repeats it for each rule has dozens."""
+    texts = spark.range(3).select(F.col("id").cast("string").alias("c"))
+    for column in (CAT.experience(F.col("c"))[2], CAT.schedule(F.col("c"))[0], MON.parse_salary(F.col("c"))["salary_to"]):
+        found = texts.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < found.count("regexp_replace") <= 16
