@@ -147,7 +147,9 @@ class SourceResult:
 
 
 def process_source(raw: DataFrame, source: str, **options: bool) -> SourceResult:
-    out = enrich(to_canonical(raw, source), source, **options)
+    """The rows are dealt to all cores first: they are few bytes and much work, so a file of one or two splits would keep one or two tasks busy."""
+    dealt = raw.repartition(raw.sparkSession.sparkContext.defaultParallelism)
+    out = enrich(to_canonical(dealt, source), source, **options)
     return SourceResult(source, out, Q.processing_report(raw, out))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cubelark.functions import categories as CAT
 from cubelark.functions import money as MON
 from cubelark.operators import cube as C
-from cubelark.plans import forecasts, rows_only
+from cubelark.plans import canonical, cleaning, forecasts, rows_only
 from cubelark.plans.star import records
 
 DATA = "/root/testdata/sf0.001"
@@ -48,3 +48,9 @@ def test_texts_are_cleaned_once_for_all_rules(spark):
     for column in (CAT.experience(F.col("c"))[2], CAT.schedule(F.col("c"))[0], MON.parse_salary(F.col("c"))["salary_to"]):
         found = texts.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert 0 < found.count("regexp_replace") <= 16
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_raw_rows_are_dealt_to_all_cores_first(spark):
+    found = canonical.process_source(cleaning.raw_customers(spark, DATA), "hh_kaggle").records.select("salary_from")
+    assert f"RoundRobinPartitioning({spark.sparkContext.defaultParallelism})" in plan(found)
