@@ -5,7 +5,9 @@ from an employer. States of different periods merge by adding up counts, so a
 table that holds them by period gives the exact cube of all periods, or of any
 coarser keys, medians and largest employers included, and never reads a record
 again. States are plain rows: a segment with very many records has many rows,
-not a large one, and is spread over tasks by its values.
+not a large one. Almost every record has values of its own, so states are wider
+than their records: records are dealt by their segment and period once, as they
+are, and become states where they lie.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ SUMS = ("n", *FLAGS, "clean")
 def cube_states(rows: DataFrame, keys: Sequence[str], period: Column | None = None) -> DataFrame:
     """States by keys and, if given, the period as a string: (keys, measure, number, text, n, remote, full_time, shift, clean).
 
-    One scan and one exchange, counted before it. Records without an employer
+    One scan and one exchange, of records: those of a segment and period meet in one task, which spills what it cannot hold. Records without an employer
     have the employer null; null salaries have no state. Null keys and periods
     are values of their own; no records, no states. Keys must not be named like
     the columns of a state; other columns may.
@@ -39,6 +41,7 @@ def cube_states(rows: DataFrame, keys: Sequence[str], period: Column | None = No
     own = [*keys, *([PERIOD] if period is not None else [])]
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
     flags = [yes(F.col(c)).alias(f) for f, c in FLAGS.items()] + [yes(F.coalesce(F.col("quality_flag_count"), F.lit(0)) == 0).alias("clean")]
+    base = base.repartition(*own) if own else base
     none = [F.lit(0).cast("bigint").alias(c) for c in SUMS[1:]]
     employer = F.struct(F.lit("employer").alias("measure"), F.lit(None).cast("double").alias("number"), F.col("_employer").alias("text"), *flags)
     salaries = [F.struct(F.lit(c).alias("measure"), F.col(c).alias("number"), F.lit(None).cast("string").alias("text"), *none) for c in SALARIES]
@@ -54,7 +57,8 @@ def merge_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def cube_of(states: DataFrame, keys: Sequence[str], merged: bool = False) -> DataFrame:
     """The cube that ``monthly_cube`` gives of the records behind the states; ``merged`` if no segment has a value twice."""
-    found = states if merged else merge_states(states, keys)
+    dealt = states.repartition(*keys) if keys else states  # once: the states merge and make the cube where they lie
+    found = dealt if merged else merge_states(dealt, keys)
     n, number, of = F.col("n"), F.col("number"), lambda m: F.col("measure") == m
     known = of("employer") & F.col("text").isNotNull()
     salary = lambda m, at: F.percentile(F.when(of(m), number), F.array(*[F.lit(q) for q in at]), n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cubelark.functions import categories as CAT
 from cubelark.functions import money as MON
 from cubelark.operators import cube as C
+from cubelark.operators import states as S
 from cubelark.plans import canonical, cleaning, forecasts, rows_only
 from cubelark.plans.star import records
 
@@ -23,6 +24,16 @@ def test_a_cube_deals_its_records_once(spark):
     assert plan(C.monthly_cube(rows, ["key"])).count("Exchange") == 1
 
 
+def test_states_deal_records_once_and_a_cube_of_them_deals_states_once(spark, tmp_path):
+    rows = spark.range(100).select((F.col("id") % 3).alias("key"), (F.col("id") % 5).alias("other"), (F.col("id") % 7).cast("string").alias("employer_id"), F.col("id").cast("double").alias("salary_mid"))
+    day = F.concat(F.lit("d"), F.col("other") % 4)
+    states = S.cube_states(rows, ["key", "other"], day)
+    text = plan(states)
+    assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")  # records, not states
+    S.store_states(rows, ["key", "other"], day, f"{tmp_path}/states")
+    assert plan(S.cube_of(S.stored_states(spark, f"{tmp_path}/states", states), ["key"])).count("Exchange") == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_lines_meet_orders_once_and_last(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
