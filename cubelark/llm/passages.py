@@ -18,7 +18,9 @@ function, which is enough for equal passages, each is taken apart into the exact
 runs of a passage's length that it stands for, every one of which is equal to
 the first with its key: no equal passage hides behind another. For changed ones
 they meet by the smallest hashes, under two further functions, of the shingles
-beside the centre, and are joined with the first that shares those too.
+beside the centre, and are joined with the first that shares those too; and with
+the first window of their key whose centre is in a passage found by then, which
+the first of all may not be.
 
 Links of two documents that enough functions agree on are verified together on
 their whole sequences of words: equal stretches at the same distance are
@@ -378,16 +380,19 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
     low, high = F.greatest(F.col("left"), F.col("at") - least + 1), F.least(F.col("at"), F.col("right") - least + 1) + length
     inside = lambda a, b: F.coalesce(F.exists("ranges", lambda r: (r["start"] <= a) & (r["end"] >= b)), F.lit(False))
     one = F.col("key").bitwiseAND(F.lit(15)) == 0
-    seen = doubtful.join(ranges, "id", "left").select("key", "id", "at", "left", "right", (~inside(F.greatest(F.col("left"), F.col("at") - length), F.least(F.col("right"), F.col("at") + length) + shingle)).alias("changed"), (one & ~inside(low, high)).alias("open"))
+    seen = doubtful.join(ranges, "id", "left").select("key", "id", "at", "left", "right", (~inside(F.greatest(F.col("left"), F.col("at") - length), F.least(F.col("right"), F.col("at") + length) + shingle)).alias("changed"), (one & ~inside(low, high)).alias("open"), inside(F.col("at"), F.col("at") + shingle).alias("placed"))
     seen = written(seen, "doubtful")
     open_keys = seen.where("open").select("key").distinct().withColumn("exact", F.lit(True))
     left_over = seen.where(one).join(open_keys, "key", "left").select("key", "id", "at", "left", "right", "changed", F.coalesce("exact", F.lit(False)).alias("exact")).unionByName(seen.where(~one).select("key", "id", "at", "left", "right", "changed", F.lit(False).alias("exact"))).where("changed OR exact")
     by_text = left_over.groupBy("id").agg(F.collect_list(F.struct("key", "at", "left", "right", "changed", "exact")).alias("nodes"))  # of one text
     with batches_of(spark, BATCH):
         again = written(held.join(by_text, "id").select("id", "words", "nodes").mapInArrow(beside, node), "beside")
-    discard(seen)
+    placed = cut(seen.where("placed").groupBy("key").agg(F.min(F.struct("id", "at", "left", "right")).alias("first")))
+    to_placed = cut(links_of(seen.where("changed").select("key", "id", "at", "left", "right"), placed))
+    discard(seen, placed)
     released(spark)
-    further = cut(links_of(again, firsts_of(again)))
+    further = cut(links_of(again, firsts_of(again)).unionByName(to_placed))
+    discard(to_placed)
     known_too = links.join(further.select("id", "first_id").distinct(), ["id", "first_id"], "left_semi")
     found = found.unionByName(passages_of(further.unionByName(known_too.select(*further.columns)))).distinct()
     discard(links, further)
