@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ SHINGLE, FUNCTIONS, LENGTH, SIMILARITY = 5, 8, 50, 0.8
 ENOUGH, FURTHER, BESIDE = 2, 2, 18
 #: The number that stands for exact runs among the functions of a key; identifiers that are broadcast at most.
 EXACT, FEW = 15, 1_000_000
-#: Rows with whole sequences that a worker takes at once; turns in which pairs are verified, so that less of them lies on disk at a time.
-BATCH, TURNS = 1_000, 2
+#: Rows with whole sequences that a worker takes at once; turns in which pairs are verified, and in which windows meet, so that less of them lies on disk at a time.
+BATCH, TURNS, MEETINGS = 1_000, 8, 4
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"window %d" % i) | 1 for i in range(FUNCTIONS + FURTHER)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _UP = _DOWN = np.ones(1, np.uint64)
@@ -331,10 +332,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
     texts = texts.join(F.broadcast(gone) if copies.count() <= FEW else gone, "id", "left_anti")
     released(spark)
     every = written(spread(texts).mapInArrow(nodes, node), "nodes")
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    keyed = written(every.join(shared, "key", "left_semi"), "windows")
+    parts = []
+    for turn in range(MEETINGS):
+        some = every.where(F.pmod(F.shiftright("key", 4), F.lit(MEETINGS)) == turn)
+        shared = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        parts.append(written(some.join(shared, "key", "left_semi"), "windows"))
+        released(spark)
     discard(every)
-    released(spark)
+    keyed = reduce(DataFrame.unionByName, parts)
     first = firsts_of(keyed)
     links = cut(links_of(keyed, first))
     doubtful = keyed.join(first.where("n > 2").select("key"), "key", "left_semi")
@@ -362,8 +367,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
         pairs = cut(ends.groupBy("id", "first_id").agg(F.collect_list(anchor("low")).alias("low"), F.collect_list(anchor("high")).alias("high")).select("id", "first_id", F.concat("low", "high").alias("anchors")))  # two at most for each part of a text and distance
         found = None
         for turn in range(TURNS):  # both sequences travel with a pair: not all of them at once
-            some = pairs.where(F.pmod(F.xxhash64("first_id"), F.lit(TURNS)) == turn)
-            both = some.join(held, "id").join(held.select(F.col("id").alias("first_id"), F.col("words").alias("first_words")), "first_id")
+            mine = lambda c: F.pmod(F.xxhash64(c), F.lit(TURNS)) == turn
+            both = pairs.where(mine("first_id")).join(held, "id").join(held.where(mine("id")).select(F.col("id").alias("first_id"), F.col("words").alias("first_words")), "first_id")
             with batches_of(spark, BATCH):
                 part = cut(both.select("id", "first_id", "anchors", "words", "first_words").mapInArrow(verify, "id long, start int, end int, first_id long, first_start int, is_first boolean").distinct())
             found = part if found is None else found.unionByName(part)
@@ -396,7 +401,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
     known_too = links.join(further.select("id", "first_id").distinct(), ["id", "first_id"], "left_semi")
     found = found.unionByName(passages_of(further.unionByName(known_too.select(*further.columns)))).distinct()
     discard(links, further)
-    discard(keyed, first, involved, held, again)
+    discard(*parts, first, involved, held, again)
     place = lambda c, is_first: copies.select(F.col(c).alias("id"), F.lit(0).alias("start"), F.col("n").alias("end"), F.col("rep").alias("first_id"), F.lit(0).alias("first_start"), F.lit(is_first).alias("is_first"))
     found = found.unionByName(place("id", False)).unionByName(place("rep", True).distinct())
     return merged(found).withColumnRenamed("id", id_col)

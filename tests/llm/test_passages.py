@@ -97,3 +97,22 @@ def test_changed_passage_of_places_that_are_accounted_for(spark):
     found = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(2000 + p in found and 3000 + p in found for p in range(100))
     assert np.mean([4000 + p in found for p in range(100)]) >= 0.9
+
+
+def test_windows_meet_in_turns(spark, monkeypatch):
+    """No key is met in two turns, and no turn holds all keys: so much less of them lies on disk at a time."""
+    from cubelark.llm import passages as P
+
+    seen, plain = [], P.written
+
+    def spied(df, name="cut"):
+        out = plain(df, name)
+        if name == "windows":
+            seen.append({r.key for r in out.select("key").collect()})
+        return out
+
+    monkeypatch.setattr(P, "written", spied)
+    t = [f"w{k}" for k in range(400)]
+    found = repeated_passages(spark.createDataFrame([(1, " ".join(t)), (2, " ".join([*t, "more"]))], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end) for r in found} == {(1, 0, 400), (2, 0, 400)}
+    assert len(seen) == P.MEETINGS > 1 and all(seen) and sum(map(len, seen)) == len(set.union(*seen))
