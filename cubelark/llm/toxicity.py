@@ -22,6 +22,7 @@ choice half as many toxic texts are found (README).
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -43,7 +44,7 @@ LEAST_TEXTS, LEAST_ODDS = 3, 25
 AHEAD, AHEAD_SHARE = (1, 2, 3, 4, 6), (0.25, 0.35, 0.45, 0.55)
 #: Fixed phrases around a window, in capitals, which no lower-cased text has.
 BEFORE, AFTER = b" THE QUICK ONYX GOBLIN JUMPS OVER A LAZY DWARF ", b" PACK MY BOX WITH FIVE DOZEN LIQUOR JUGS "
-#: Windows whose advantage a worker keeps before it starts anew, and bytes of the longest that it keeps.
+#: Windows whose advantage a task keeps before it starts anew, and bytes of the longest that it keeps.
 MOST_WINDOWS, KEPT_BYTES = 400_000, 64
 PARAMETERS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 5, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY, "write_checksum": 0, "write_content_size": 0, "write_dict_id": 0}
 
@@ -67,7 +68,7 @@ class Distance:
     """Advantages of windows under a pair of dictionaries."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.kept: dict[bytes, tuple[int, float]] = {}
+        self.kept: dict[bytes, int] = {}
         self.lengths = [self._lengths(d) for d in (toxic, ordinary)]
 
     @staticmethod
@@ -77,23 +78,23 @@ class Distance:
         dictionary.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary).compress
 
-    def __call__(self, window: bytes) -> tuple[int, float]:
+    def __call__(self, window: bytes) -> int:
         toxic, ordinary = self.lengths
         framed = b"".join((BEFORE, b" ", window, b" ", AFTER))
         ahead = len(ordinary(framed)) - len(toxic(framed))
-        found = ahead, ahead / (len(window) + 1)
         if len(window) <= KEPT_BYTES:
-            self.kept[window] = found
-        return found
+            self.kept[window] = ahead
+        return ahead
 
     def features(self, text: str | None) -> np.ndarray:
         kept = self.kept
         if len(kept) > MOST_WINDOWS:
             kept.clear()
-        found = np.array([kept.get(w) or self(w) for w in windows(text)] or [(0, 0.0)])
-        bytes_, shares = found[:, 0], found[:, 1]
+        some = windows(text)
+        bytes_ = np.array([self(w) if (a := kept.get(w)) is None else a for w in some] or [0], np.float64)
+        shares = bytes_ / np.array([len(w) + 1 for w in some] or [1])
         n = np.array([(bytes_ >= k).sum() for k in AHEAD] + [(shares >= k).sum() for k in AHEAD_SHARE])
-        return np.array([1.0, *np.log1p(n), *(n / len(found)), min(float(bytes_.max()), 40.0) / 10, float(shares.max()), bytes_.mean()])
+        return np.array([1.0, *np.log1p(n), *(n / len(bytes_)), min(float(bytes_.max()), 40.0) / 10, float(shares.max()), bytes_.mean()])
 
 
 @lru_cache(maxsize=4)
@@ -203,9 +204,13 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str
     sent = spark.sparkContext.broadcast(model)  # two dictionaries of a fixed size
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = sent.value
-        return pd.Series([own.score(t) for t in texts], dtype="float64")
+        try:
+            for texts in batches:
+                yield pd.Series([own.score(t) for t in texts], dtype="float64")
+        finally:
+            distance.cache_clear()  # the worker goes on to other steps, and what a task keeps would stay with it
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     columns = [F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *([row] if carry else [])]

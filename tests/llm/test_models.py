@@ -110,6 +110,24 @@ def test_toxicity_accuracy(spark, docs, empty):
     assert toxicity.toxicity(empty, toxicity.train(empty, known.limit(0))).count() == 0
 
 
+def test_toxicity_leaves_no_windows_in_the_workers(spark):
+    """Workers go on to other steps: what a task keeps must not stay with them."""
+
+    def kept(batches):
+        import pandas as pd
+
+        from cubelark.llm import toxicity as own
+
+        for _ in batches:
+            yield pd.DataFrame({"n": [own.distance.cache_info().currsize]})
+
+    model = toxicity.Model(b"bad words", b"good words", 0.1, (0.0,) * 22)
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    assert toxicity.toxicity(texts, model).where("score = 0.5").count() == 40
+    left = spark.range(40).repartition(4).mapInPandas(kept, "n long").agg(F.max("n")).first()[0]
+    assert left == 0
+
+
 def spans_brute(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
