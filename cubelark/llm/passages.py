@@ -49,7 +49,7 @@ ENOUGH, FURTHER, BESIDE = 2, 2, 18
 #: The number that stands for exact runs among the functions of a key; identifiers that are broadcast at most.
 EXACT, FEW = 15, 1_000_000
 #: Rows with whole sequences that a worker takes at once; turns in which pairs are verified, and in which windows meet, so that less of them lies on disk at a time.
-BATCH, TURNS, MEETINGS = 1_000, 8, 4
+BATCH, TURNS, MEETINGS = 1_000, 4, 4
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"window %d" % i) | 1 for i in range(FUNCTIONS + FURTHER)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _UP = _DOWN = np.ones(1, np.uint64)
@@ -150,12 +150,23 @@ def windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.array(left, np.int64), c, np.array(right, np.int64)
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Of each value whether it is among the sorted ones."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), bool)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 class Membership:
     """For the shingles of a text, whether another text has them: prefix sums of 1 for those it has and -cost for the others."""
 
     def __init__(self, own: np.ndarray, other: np.ndarray, cost: float):
         self.own = own
-        sums = self.sums = np.concatenate(([0.0], np.where(np.isin(own, other), 1.0, -cost).cumsum()))
+        sums = self.sums = np.concatenate(([0.0], np.where(among(own, np.sort(other)), 1.0, -cost).cumsum()))
         place = np.arange(len(sums))
         lowest, highest = np.minimum.accumulate(sums), np.maximum.accumulate(sums[::-1])[::-1]
         self.lowest = np.maximum.accumulate(np.where(np.concatenate(([True], sums[1:] < lowest[:-1])), place, 0))  # first place of the smallest sum up to each place
@@ -187,8 +198,13 @@ def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int, int]],
             found.append((a0 + start, a0 + end, b0 + start, b0 + end))
     least, of_x, of_y = length - shingle + 1, None, None
     anchors = sorted(anchors)
-    for k, (a, b, functions) in enumerate(anchors):
-        if any(p <= a < q and r <= b < t for p, q, r, t in found):
+    ats, tos = np.array([t[0] for t in anchors], np.int64), np.array([t[1] for t in anchors], np.int64)
+    rest, equal = np.ones(len(anchors), bool), len(found)
+    for p, q, r, t in found:
+        rest &= (ats < p) | (ats >= q) | (tos < r) | (tos >= t)
+    for k in np.flatnonzero(rest).tolist():
+        a, b, functions = anchors[k]
+        if any(p <= a < q and r <= b < t for p, q, r, t in found[equal:]):
             continue
         for side in (-1, 1):  # functions of the links nearby
             at = k + side
@@ -205,8 +221,8 @@ def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int, int]],
         b0, b1 = of_y.stretch(b, least)
         if a1 - a0 < least or b1 - b0 < least or (same and a0 < b1 + shingle and b0 < a1 + shingle):
             continue
-        p, q = np.unique(of_x.own[a0:a1]), np.unique(of_y.own[b0:b1])
-        both = len(np.intersect1d(p, q, assume_unique=True))
+        p, q = distinct(of_x.own[a0:a1]), distinct(of_y.own[b0:b1])
+        both = int(among(p, q).sum())
         if both and both >= similarity * (len(p) + len(q) - both) - 1e-9:
             found.append((a0, a1 + shingle - 1, b0, b1 + shingle - 1))
     return found
@@ -277,24 +293,26 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
         for whole in batches:
             for k in range(0, whole.num_rows, 200):
                 some = whole.slice(k, 200)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([(word_hashes(t.as_py()) >> np.uint64(32)).astype("<u4").tobytes() for t in some.column(1)], pa.binary())], names=["id", "words"])
+                own = [(word_hashes(t.as_py()) >> np.uint64(32)).astype("<u4") for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(len, own), pa.int32()), pa.array([w.tobytes() for w in own], pa.binary())], names=["id", "n", "words"])
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The nodes of a text once more, with the smallest hashes on either side in their keys; those of the first function also as the exact runs of a passage's length that they stand for."""
         for whole in batches:
             for k in range(0, whole.num_rows, 200):
-                found = []
-                for r in whole.slice(k, 200).to_pylist():
-                    base = runs(np.frombuffer(r["words"], "<u4").astype(np.uint64), shingle)
-                    key, c, left, right = (np.array([x[n] for x in r["nodes"]], np.int64) for n in ("key", "at", "left", "right"))
-                    one = np.flatnonzero(np.array([x["exact"] for x in r["nodes"]], bool))
+                some, found = whole.slice(k, 200), []
+                for i, text, of_text in zip(some.column(0).to_pylist(), some.column(1), some.column(2), strict=True):
+                    own, fields = np.frombuffer(text.as_py(), "<u4").astype(np.uint64), of_text.values
+                    base = runs(own, shingle)
+                    key, c, left, right = (fields.field(n).to_numpy().astype(np.int64) for n in ("key", "at", "left", "right"))
+                    changed, exact = (fields.field(n).to_numpy(zero_copy_only=False) for n in ("changed", "exact"))
+                    one = np.flatnonzero(exact)
                     if len(one):
                         low, high = np.maximum(left[one], c[one] - least + 1), np.minimum(c[one], right[one] - least + 1)
-                        starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high, strict=True)])
-                        whole_runs = runs(np.frombuffer(r["words"], "<u4").astype(np.uint64), length)[starts]
-                        exact = (whole_runs & ~np.uint64(15)) | np.uint64(EXACT)
-                        found.append((exact, np.full(len(starts), r["id"], np.int64), starts, starts, starts + least - 1))
-                    some_nodes = np.flatnonzero(np.array([x["changed"] for x in r["nodes"]], bool))
+                        starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+                        exact_keys = (runs(own, length)[starts] & ~np.uint64(15)) | np.uint64(EXACT)
+                        found.append((exact_keys, np.full(len(starts), i, np.int64), starts, starts, starts + least - 1))
+                    some_nodes = np.flatnonzero(changed)
                     key, c, left, right = key[some_nodes], c[some_nodes], left[some_nodes], right[some_nodes]
                     for j in range(FUNCTIONS, FUNCTIONS + FURTHER) if len(key) else ():
                         low = base * _MULTIPLIERS[j]
@@ -308,7 +326,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
                             fits = (start >= 0) & (start < len(low))
                             mixed = (key[fits].view(np.uint64) ^ (low[start[fits]] * np.uint64(2 * j + side))) * _MULTIPLIERS[j]
                             mixed ^= mixed >> np.uint64(32)
-                            found.append((((mixed * _MULTIPLIERS[0]) & ~np.uint64(15)) | (key[fits].view(np.uint64) & np.uint64(15)), np.full(int(fits.sum()), r["id"], np.int64), c[fits], left[fits], right[fits]))
+                            found.append((((mixed * _MULTIPLIERS[0]) & ~np.uint64(15)) | (key[fits].view(np.uint64) & np.uint64(15)), np.full(int(fits.sum()), i, np.int64), c[fits], left[fits], right[fits]))
                 yield rows_of(found)
 
     def firsts_of(keyed: DataFrame) -> DataFrame:
@@ -346,17 +364,19 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
     involved = cut(links.select("id").union(links.select("first_id")).union(doubtful.select("id")).distinct())
     with batches_of(spark, BATCH):
         some = F.broadcast(involved) if involved.count() <= FEW else involved
-        held = written(spread(texts.join(some, "id", "left_semi")).mapInArrow(sequences, "id long, words binary"), "sequences")
+        held = written(spread(texts.join(some, "id", "left_semi")).mapInArrow(sequences, "id long, n int, words binary"), "sequences")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 100):  # a few rows at a time become Python objects
-                rows = []
-                for r in whole.slice(k, 100).to_pylist():
-                    x, y = (np.frombuffer(w, "<u4").astype(np.uint64) for w in (r["words"], r["first_words"]))
-                    pair = verified(x, y, list({(t["at"], t["to"], t["functions"]) for t in r["anchors"]}), shingle, length, similarity, r["id"] == r["first_id"])
-                    rows += [(r["id"], a, b, r["first_id"], at, False) for a, b, at in joined([(p, q, u) for p, q, u, _ in pair])]
-                    rows += [(r["first_id"], a, b, r["first_id"], a, True) for a, b, _ in joined([(u, v, u) for _, _, u, v in pair])]
+                some, rows = whole.slice(k, 100), []
+                ids, firsts = some.column(0).to_pylist(), some.column(1).to_pylist()
+                for i, first, of_pair, own, other in zip(ids, firsts, some.column(2), some.column(3), some.column(4), strict=True):
+                    x, y = (np.frombuffer(w.as_py(), "<u4").astype(np.uint64) for w in (own, other))
+                    anchors = set(zip(*(of_pair.values.field(c).to_pylist() for c in ("at", "to", "functions")), strict=True))
+                    pair = verified(x, y, list(anchors), shingle, length, similarity, i == first)
+                    rows += [(i, a, b, first, at, False) for a, b, at in joined([(p, q, u) for p, q, u, _ in pair])]
+                    rows += [(first, a, b, first, a, True) for a, b, _ in joined([(u, v, u) for _, _, u, v in pair])]
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, t, strict=True)) for t in rows], schema=schema)
 
     schema = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first_id", pa.int64()), ("first_start", pa.int32()), ("is_first", pa.bool_())])
@@ -364,13 +384,22 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
     def passages_of(links: DataFrame) -> DataFrame:
         ends = links.groupBy("id", "first_id", "shift", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("functions").alias("functions"))
         anchor = lambda c: F.struct(F.col(c).alias("at"), (F.col(c) - F.col("shift")).cast("int").alias("to"), F.col("functions"))
-        pairs = cut(ends.groupBy("id", "first_id").agg(F.collect_list(anchor("low")).alias("low"), F.collect_list(anchor("high")).alias("high")).select("id", "first_id", F.concat("low", "high").alias("anchors")))  # two at most for each part of a text and distance
+        pairs = ends.groupBy("id", "first_id").agg(F.collect_list(anchor("low")).alias("low"), F.collect_list(anchor("high")).alias("high")).select("id", "first_id", F.concat("low", "high").alias("anchors"))  # two at most for each part of a text and distance
+        sizes = held.select("id", "n")
+        turned = F.col("n") > F.col("first_n")  # the shorter sequence travels to the longer one
+        pairs = cut(pairs.join(sizes, "id").join(sizes.select(F.col("id").alias("first_id"), F.col("n").alias("first_n")), "first_id").select("id", "first_id", "anchors", turned.alias("turned"), F.when(turned, F.col("first_id")).otherwise(F.col("id")).alias("short"), F.when(turned, F.col("id")).otherwise(F.col("first_id")).alias("long")))
+        released(spark)
         found = None
-        for turn in range(TURNS):  # both sequences travel with a pair: not all of them at once
+        for turn in range(TURNS):  # not all pairs at once
             mine = lambda c: F.pmod(F.xxhash64(c), F.lit(TURNS)) == turn
-            both = pairs.where(mine("first_id")).join(held, "id").join(held.where(mine("id")).select(F.col("id").alias("first_id"), F.col("words").alias("first_words")), "first_id")
+            sequence = lambda c, words: held.select(F.col("id").alias(c), F.col("words").alias(words))
+            shorts, travel = pairs.where(mine("long")).select("short").distinct(), sequence("short", "a")
+            if shorts.count() <= FEW:  # of the others none is dealt
+                travel = travel.join(F.broadcast(shorts), "short", "left_semi")
+            both = pairs.where(mine("long")).join(travel, "short").join(sequence("long", "b").where(mine("long")), "long")
+            both = both.select("id", "first_id", "anchors", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("words"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("first_words"))
             with batches_of(spark, BATCH):
-                part = cut(both.select("id", "first_id", "anchors", "words", "first_words").mapInArrow(verify, "id long, start int, end int, first_id long, first_start int, is_first boolean").distinct())
+                part = cut(both.mapInArrow(verify, "id long, start int, end int, first_id long, first_start int, is_first boolean").distinct())
             found = part if found is None else found.unionByName(part)
             released(spark)
         discard(pairs)
@@ -387,6 +416,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
     one = F.col("key").bitwiseAND(F.lit(15)) == 0
     seen = doubtful.join(ranges, "id", "left").select("key", "id", "at", "left", "right", (~inside(F.greatest(F.col("left"), F.col("at") - length), F.least(F.col("right"), F.col("at") + length) + shingle)).alias("changed"), (one & ~inside(low, high)).alias("open"), inside(F.col("at"), F.col("at") + shingle).alias("placed"))
     seen = written(seen, "doubtful")
+    discard(*parts, first, involved)
+    released(spark)
     open_keys = seen.where("open").select("key").distinct().withColumn("exact", F.lit(True))
     left_over = seen.where(one).join(open_keys, "key", "left").select("key", "id", "at", "left", "right", "changed", F.coalesce("exact", F.lit(False)).alias("exact")).unionByName(seen.where(~one).select("key", "id", "at", "left", "right", "changed", F.lit(False).alias("exact"))).where("changed OR exact")
     by_text = left_over.groupBy("id").agg(F.collect_list(F.struct("key", "at", "left", "right", "changed", "exact")).alias("nodes"))  # of one text
@@ -397,11 +428,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
     discard(seen, placed)
     released(spark)
     further = cut(links_of(again, firsts_of(again)).unionByName(to_placed))
-    discard(to_placed)
+    discard(to_placed, again)
+    released(spark)
     known_too = links.join(further.select("id", "first_id").distinct(), ["id", "first_id"], "left_semi")
     found = found.unionByName(passages_of(further.unionByName(known_too.select(*further.columns)))).distinct()
-    discard(links, further)
-    discard(*parts, first, involved, held, again)
+    discard(links, further, held)
     place = lambda c, is_first: copies.select(F.col(c).alias("id"), F.lit(0).alias("start"), F.col("n").alias("end"), F.col("rep").alias("first_id"), F.lit(0).alias("first_start"), F.lit(is_first).alias("is_first"))
     found = found.unionByName(place("id", False)).unionByName(place("rep", True).distinct())
     return merged(found).withColumnRenamed("id", id_col)

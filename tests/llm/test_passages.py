@@ -116,3 +116,26 @@ def test_windows_meet_in_turns(spark, monkeypatch):
     found = repeated_passages(spark.createDataFrame([(1, " ".join(t)), (2, " ".join([*t, "more"]))], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.start, r.end) for r in found} == {(1, 0, 400), (2, 0, 400)}
     assert len(seen) == P.MEETINGS > 1 and all(seen) and sum(map(len, seen)) == len(set.union(*seen))
+
+
+def test_the_shorter_sequence_travels(spark, monkeypatch):
+    """A long text that shares a passage with each of many short ones is not dealt with every pair, whichever of them has the smaller id."""
+    from cubelark.llm import passages as P
+
+    seen, plain = [], P.cut
+
+    def spied(df):
+        out = plain(df)
+        if "anchors" in out.columns:
+            seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(P, "cut", spied)
+    long = [f"w{k}" for k in range(3000)]
+    short = {i: [f"x{i}"] * 5 + long[60 * i : 60 * i + 60 + i % 7] + [f"y{i}"] * 5 for i in range(1, 41)}
+    for own in (0, 99):
+        seen.clear()
+        size = {own: len(long)} | {i: len(w) for i, w in short.items()}
+        found = repeated_passages(spark.createDataFrame([(own, " ".join(long)), *((i, " ".join(w)) for i, w in short.items())], "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.start, r.end) for r in found if r.doc_id != own} >= {(i, 5, size[i] - 5) for i in short}
+        assert len(seen) >= 40 and all(size[r.short] <= size[r.long] and {r.short, r.long} == {r.id, r.first_id} for r in seen)
