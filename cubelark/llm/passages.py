@@ -57,6 +57,8 @@ FLAGGED = (*WINDOW, np.uint8)
 LINK = (np.int64, np.int64, np.int32, np.int32, np.uint8)
 #: Flags of a window: it reaches out of what is found, its exact runs do, it lies in a found passage; all of its key are laid out as exact runs.
 CHANGED, OPEN, PLACED, LAID = 1, 2, 4, 8
+#: The code of a word that is not in the vocabulary; texts, and characters of each, that the vocabulary is taken from. It makes sequences shorter, whatever is in it.
+UNKNOWN, VOCABULARY_TEXTS, VOCABULARY_CHARS = 65_535, 2_000, 20_000
 #: Bytes of text that are worked on at once.
 SLICE = 400_000
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"window %d" % i) | 1 for i in range(FUNCTIONS + FURTHER)], np.uint64)
@@ -246,6 +248,22 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
+def coded(hashes: np.ndarray, vocabulary: np.ndarray) -> bytes:
+    """Words as two bytes each, their places in the vocabulary, and after them those that are not in it; before them their number."""
+    known = among(hashes, vocabulary)
+    codes = np.where(known, np.searchsorted(vocabulary, hashes), UNKNOWN).astype("<u2")
+    return np.array([len(hashes)], "<u4").tobytes() + codes.tobytes() + hashes[~known].astype("<u4").tobytes()
+
+
+def decoded(blob: pa.Buffer, vocabulary: np.ndarray) -> np.ndarray:
+    """``vocabulary`` with UNKNOWN + 1 entries, the last ones of which mean nothing."""
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    codes, rest = np.frombuffer(blob, "<u2", n, 4), np.frombuffer(memoryview(blob)[4 + 2 * n :], "<u4")
+    out = vocabulary[codes]
+    out[codes == UNKNOWN] = rest
+    return out
+
+
 def grouped(*columns: np.ndarray) -> np.ndarray:
     """Of rows in order of these columns, where each group of equal ones begins."""
     new = np.ones(len(columns[0]), bool)
@@ -534,6 +552,12 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
     by_id = lambda i: place[mixed(i) % np.uint64(parts)]
     by_pair = lambda i, first: place[mixed(i, first) % np.uint64(parts)]
 
+    some_texts = [r["text"] for r in texts.select(F.substring("text", 1, VOCABULARY_CHARS).alias("text")).limit(VOCABULARY_TEXTS).collect()]
+    seen_words = [(hashes >> np.uint64(32)).astype("<u4") for _, hashes, _ in sliced(pa.array(some_texts, pa.string()))]
+    values, number = np.unique(np.concatenate([np.empty(0, "<u4"), *seen_words]), return_counts=True)
+    vocabulary = np.sort(values[np.argsort(-number, kind="stable")[:UNKNOWN]])
+    padded = np.append(vocabulary, np.zeros(UNKNOWN + 1 - len(vocabulary), "<u4"))
+
     def blobs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Buffer]:
         return (b.as_buffer() for batch in batches for b in batch.column(name) if b.is_valid)
 
@@ -629,14 +653,15 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
         order = np.argsort(columns[1], kind="stable")
         columns = [c[order] for c in columns]
         some = distinct(columns[1])
-        sequences = {i: w.as_buffer() for b in batches for i, w in zip(b.column("id").to_pylist(), b.column("words"), strict=True) if i is not None}
-        sizes, a = np.array([len(sequences[i]) // 4 for i in some.tolist()], np.int64), 0
+        wanted = set(some.tolist())
+        sequences = {i: decoded(w.as_buffer(), padded) for b in batches for i, w in zip(b.column("id").to_pylist(), b.column("words"), strict=True) if i in wanted}
+        sizes, a = np.array([len(sequences[i]) for i in some.tolist()], np.int64), 0
         before = np.concatenate(([0], sizes.cumsum()))
         while a < len(some):
             b = max(a + 1, int(np.searchsorted(before, before[a] + SLICE, "right")) - 1)
             low, high = np.searchsorted(columns[1], some[a]), np.searchsorted(columns[1], some[b - 1], "right")
             own = [c[low:high] for c in columns]
-            hashes = np.concatenate([np.frombuffer(sequences[i], "<u4") for i in some[a:b].tolist()]).astype(np.uint64)
+            hashes = np.concatenate([sequences[i] for i in some[a:b].tolist()]).astype(np.uint64)
             found = beside(own, np.searchsorted(some[a:b], own[1]), hashes, sizes[a:b], length, shingle)
             yield from dealt_rows(of_blobs, "windows", by_key(found[0]), found)
             a = b
@@ -653,7 +678,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
                 short, ends = (hashes >> np.uint64(32)).astype("<u4"), counts.cumsum()
                 held = np.flatnonzero(counts >= length)
                 i = ids[k + held]
-                yield rows_of(of_texts, to=by_id(i), id=i, n=counts[held].astype(np.int32), words=[short[e - n : e].tobytes() for e, n in zip(ends[held].tolist(), counts[held].tolist(), strict=True)])
+                yield rows_of(of_texts, to=by_id(i), id=i, n=counts[held].astype(np.int32), words=[coded(short[e - n : e], vocabulary) for e, n in zip(ends[held].tolist(), counts[held].tolist(), strict=True)])
 
     with batches_of(spark, BATCH):
         known = written(spread(texts).mapInArrow(digests, "id long, same binary, n int").where(F.col("n") >= length), "digests")
@@ -683,7 +708,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
         for b in batches:
             for i, first, links, words in zip(b.column("id").to_pylist(), b.column("first_id").to_pylist(), b.column("anchors"), b.column("words"), strict=True):
                 if first is None:
-                    sequence[i] = np.frombuffer(words.as_buffer(), "<u4").copy()  # not the whole batch stays
+                    sequence[i] = decoded(words.as_buffer(), padded)
                 else:
                     pairs.append((i, first, np.frombuffer(links.as_buffer(), np.int32).reshape(-1, 4).copy()))
         for k in range(0, len(pairs), BATCH):
@@ -716,6 +741,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, similarity: float =
             with batches_of(spark, BATCH):
                 some = cut(both.mapInArrow(verify, "id long, start int, end int, first_id long, first_start int, is_first boolean").distinct())
             found = some if found is None else found.unionByName(some)
+            del mine, needed, travel, both
             released(spark)
         discard(spread_out)
         discard(pairs)

@@ -139,3 +139,54 @@ def test_the_shorter_sequence_travels(spark, monkeypatch):
         found = repeated_passages(spark.createDataFrame([(own, " ".join(long)), *((i, " ".join(w)) for i, w in short.items())], "doc_id long, text string")).collect()
         assert {(r.doc_id, r.start, r.end) for r in found if r.doc_id != own} >= {(i, 5, size[i] - 5) for i in short}
         assert len(seen) >= 40 and all(size[r.short] <= size[r.long] and {r.short, r.long} == {r.id, r.first_id} for r in seen)
+
+
+def test_windows_travel_packed(spark, monkeypatch):
+    """Spark deals blobs of windows and links, not a row for each."""
+    from cubelark.llm import passages as P
+
+    rows, plain = {}, P.written
+
+    def spied(df, name="cut"):
+        out = plain(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(P, "written", spied)
+    t = [f"w{k}" for k in range(3000)]
+    repeated_passages(spark.createDataFrame([(1, " ".join(t)), (2, " ".join([*t, "more"]))], "doc_id long, text string").coalesce(1)).collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(P.all_windows(P.word_hashes(" ".join(t)), np.array([3000]), 50, 5)[0]) > 500
+    assert rows["nodes"] <= 2 * parts and rows["links"] <= 2 and rows["windows"] <= 2 * P.MEETINGS * parts
+
+
+def test_all_windows_at_once():
+    """The windows of many texts at once are those of each text alone; words are told apart at the ends of texts."""
+    import pyarrow as pa
+    from cubelark.llm import passages as P
+
+    rng = np.random.default_rng(4)
+    texts = [None, "", " a", "b ", *(" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (49, 50, 51, 400, 3)), "c", "d"]
+    for first, hashes, counts in P.sliced(pa.array(["skipped", *texts])[1:]):
+        assert first == 0 and counts.tolist() == [len(P.words(t)) for t in texts]
+        key, text, at, left, right = P.all_windows(hashes, counts, 50, 5)
+        for k, t in enumerate(texts):
+            own = P.word_hashes(t)
+            assert (hashes[counts[:k].sum() : counts[: k + 1].sum()] == own).all()
+            for j in range(P.FUNCTIONS):
+                values = P.runs(own, 5) * P._MULTIPLIERS[j]
+                values ^= values >> np.uint64(31)
+                mine = (text == k) & (key & np.uint64(15) == j)
+                assert all((a == b[mine]).all() and len(a) == mine.sum() for a, b in zip(P.windows(values, 46), (left, at, right), strict=True))
+
+
+def test_sequences_are_coded_without_loss():
+    import pyarrow as pa
+    from cubelark.llm import passages as P
+
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 32, 70_000).astype("<u4")
+    for vocabulary in (np.empty(0, "<u4"), np.unique(words[:300]), np.unique(words)[: P.UNKNOWN]):
+        padded = np.append(vocabulary, np.zeros(P.UNKNOWN + 1 - len(vocabulary), "<u4"))
+        for some in (words[:0], words[:1], words[250:400], words):
+            assert (P.decoded(pa.py_buffer(P.coded(some, vocabulary)), padded) == some).all()
